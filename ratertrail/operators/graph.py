@@ -30,10 +30,8 @@ def _jumps(chain: DataFrame) -> list[DataFrame]:
     levels, step = [], cut_lineage(chain)
     while not step.isEmpty():
         levels.append(step)
-        far = step.withColumnsRenamed({"sha": "mid", "to": "far"})
-        step = cut_lineage(
-            step.join(far, (step["repo"] == far["repo"]) & (step["to"] == far["mid"])).select(step["repo"], step["sha"], far["far"].alias("to"))
-        )
+        far = step.select("repo", F.col("sha").alias("to"), F.col("to").alias("far"))
+        step = cut_lineage(step.join(far, ["repo", "to"]).select("repo", "sha", F.col("far").alias("to")))
     return levels
 
 

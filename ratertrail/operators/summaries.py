@@ -33,7 +33,7 @@ def value_distribution(df: DataFrame, label: str, digits: int = 2) -> DataFrame:
 
 def crosstab_ordered(df: DataFrame, row: str, col: str, order: Sequence[str], col_values: Sequence[str]) -> DataFrame:
     """Contingency table with rows in a fixed order; absent cells are 0."""
-    table = df.groupBy(row).pivot(col, list(col_values)).agg(F.count("*"))
+    table = df.groupBy(row).pivot(col, list(col_values)).agg(F.count(F.lit(1)))
     return order_by_rank(table, row, order, fill={v: 0 for v in col_values})
 
 
@@ -90,7 +90,7 @@ def mean_per_sample(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFram
 
 def pivot_labels(df: DataFrame, index: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:
     """Long to wide; a repeated ``(index, column)`` cell is an error."""
-    checked = F.when(F.count("*") > 1, F.raise_error(F.lit("repeated cell in pivot")).cast("string")).otherwise(F.max(value))
+    checked = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("repeated cell in pivot")).cast("string")).otherwise(F.max(value))
     return df.groupBy(index).pivot(column, list(columns)).agg(checked)
 
 

@@ -32,13 +32,23 @@ def death_cause(readable: str, alive: str, holds: str) -> Column:
     )
 
 
+def _baseline_reason(readable: Column, alive: Column, holds: Column, require_condition: bool) -> Column:
+    """Why a label is no starting point, null when it is one."""
+    reason = F.when(~readable, "path_unreadable_at_labelled_commit").when(~alive, "entity_not_found_at_labelled_commit")
+    return reason.when(~holds, "condition_not_met_at_labelled_commit") if require_condition else reason
+
+
 def _outcome(df: DataFrame, keep: Sequence[str], label_pos: str, label_ts: str) -> DataFrame:
-    """Turn label position, first death and last revision (structs ``ordinal, ts, commit[, cause]``) into the result columns."""
+    """Turn label position, first death and last revision (structs ``ordinal, ts, commit[, cause]``) into the result columns.
+
+    Rows with a ``failure_reason`` keep it and get no results.
+    """
     died = F.col("__death").isNotNull()
     end = lambda field: F.when(died, F.col(f"__death.{field}")).otherwise(F.col(f"__last.{field}"))
     days = elapsed_days(F.col(label_ts), end("ts"))
-    return df.select(
+    out = df.select(
         *keep,
+        "failure_reason",
         (F.col("__last.ordinal") - F.col(label_pos)).cast("long").alias("n_revisions_observed"),
         (end("ordinal") - F.col(label_pos)).cast("long").alias("persistence_revisions"),
         days.alias("persistence_days"),
@@ -51,6 +61,8 @@ def _outcome(df: DataFrame, keep: Sequence[str], label_pos: str, label_ts: str)
         F.col("__last.commit").alias("last_observed_commit"),
         F.col("__last.ts").alias("last_observed_commit_date"),
     )
+    results = out.columns[len(keep) + 1 :]
+    return out.withColumns({c: F.when(F.col("failure_reason").isNull(), F.col(c)) for c in results})
 
 
 def persistence_walk(
@@ -83,13 +95,8 @@ def persistence_walk(
         F.bool_or((F.col(ordinal) == 0) & baseline[1]).alias("__alive"),
         F.bool_or((F.col(ordinal) == 0) & F.coalesce(F.col(holds), F.lit(False))).alias("__holds"),
     )
-    reason = F.when(~F.col("__readable"), "path_unreadable_at_labelled_commit").when(~F.col("__alive"), "entity_not_found_at_labelled_commit")
-    if require_baseline_condition:
-        reason = reason.when(~F.col("__holds"), "condition_not_met_at_labelled_commit")
-    folded = folded.withColumns({"failure_reason": reason, "__zero": F.lit(0)})
-    out = _outcome(folded, [*entity, "failure_reason"], "__zero", "__label_ts")
-    results = [c for c in out.columns if c not in (*entity, "failure_reason")]
-    return out.withColumns({c: F.when(F.col("failure_reason").isNull(), F.col(c)) for c in results})
+    reason = _baseline_reason(F.col("__readable"), F.col("__alive"), F.col("__holds"), require_baseline_condition)
+    return _outcome(folded.withColumns({"failure_reason": reason, "__zero": F.lit(0)}), entity, "__zero", "__label_ts")
 
 
 def persistence_from_labels(
@@ -103,6 +110,7 @@ def persistence_from_labels(
     holds: str,
     commit: str,
     keep: Sequence[str] = (),
+    require_baseline_condition: bool = False,
 ) -> DataFrame:
     """The same walk from every label point of a history that several labels share.
 
@@ -123,5 +131,9 @@ def persistence_from_labels(
     )
     inside = W.partitionBy(*entity, BAND).orderBy(F.desc("ordinal")).rowsBetween(W.unboundedPreceding, -1)
     local = marked.withColumn("__local_dead", F.min("__dead").over(inside)).filter(is_label)
-    joined = join_null_safe(local, ahead, [*entity, BAND]).withColumn("__death", F.coalesce("__local_dead", "__later_dead"))
+    known = [F.coalesce(F.col(readable), F.lit(False)), F.coalesce(F.col(alive), F.lit(False)), F.coalesce(F.col(holds), F.lit(False))]
+    joined = join_null_safe(local, ahead, [*entity, BAND]).withColumns({
+        "__death": F.coalesce("__local_dead", "__later_dead"),
+        "failure_reason": _baseline_reason(*known, require_baseline_condition),
+    })
     return _outcome(joined, [*entity, *keep], "ordinal", ts)

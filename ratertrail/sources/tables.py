@@ -14,6 +14,7 @@ from ratertrail.sources import schemas
 # CSV dialect (quoted fields may hold line ends, quotes are doubled) and timestamps with offset.
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 COMMIT_MARK = "COMMIT|"
+EDGE_SPACE = r"^\s+|\s+$"
 
 
 def _check_rows(df: DataFrame, expected: int | None) -> DataFrame:
@@ -42,7 +43,7 @@ def read_reviews(
 
 def read_key_list(spark: SparkSession, path: str, name: str = "repository") -> DataFrame:
     """Distinct non-blank trimmed lines."""
-    return spark.read.text(path).select(F.trim("value").alias(name)).filter(F.col(name) != "").distinct()
+    return spark.read.text(path).select(F.regexp_replace("value", EDGE_SPACE, "").alias(name)).filter(F.col(name) != "").distinct()
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by: Sequence[str] = ()) -> None:
@@ -96,13 +97,15 @@ def load_metric_tables(
 def parse_commit_log(spark: SparkSession, path: str) -> DataFrame:
     """Log text, a marker line per commit and its paths below, to ``sha, committer_date, path, position``.
 
-    The marker is the record separator, so a commit is one record and the file can be split.
-    Blank lines are dropped; a commit without a path gives no row.
+    A line that starts with the marker ends a record, so a commit is one record and the file can
+    be split. Blank lines are dropped; a commit without a path gives no row.
     """
-    records = spark.read.option("lineSep", COMMIT_MARK).text(path).filter(F.col("value") != "")
-    lines = F.split("value", r"\r?\n")
+    records = spark.read.option("lineSep", "\n" + COMMIT_MARK).text(path)
+    record = F.when(F.startswith("value", F.lit(COMMIT_MARK)), F.substr("value", F.lit(len(COMMIT_MARK) + 1))).otherwise(F.col("value"))
+    lines = F.split(record, r"\r?\n")
     head = F.split(lines.getItem(0), r"\|", 2)
-    paths = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.trim), lambda p: p != "")
+    below = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    paths = F.filter(F.transform(below, lambda p: F.regexp_replace(p, EDGE_SPACE, "")), lambda p: p != "")
     return records.select(head.getItem(0).alias("sha"), head.getItem(1).alias("committer_date"), F.posexplode(paths).alias("position", "path"))
 
 
