@@ -25,9 +25,9 @@ def _chain(parents: DataFrame) -> DataFrame:
     return parents.groupBy("repo", "sha").agg(F.min(F.struct(*by)).alias("p")).select("repo", "sha", F.col("p.parent_sha").alias("to"))
 
 
-def _jumps(chain: DataFrame) -> list[DataFrame]:
-    """Jump tables of 1, 2, 4, ... steps, up to the longest chain."""
-    levels, step = [], cut_lineage(chain)
+def jump_tables(commit_parents: DataFrame) -> list[DataFrame]:
+    """Tables ``repo, sha, to`` of 1, 2, 4, ... steps along the chains, up to the longest chain."""
+    levels, step = [], cut_lineage(_chain(commit_parents.filter(F.col("parent_sha").isNotNull())))
     while not step.isEmpty():
         levels.append(step)
         far = step.select("repo", F.col("sha").alias("to"), F.col("to").alias("far"))
@@ -35,20 +35,25 @@ def _jumps(chain: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def reachable(commit_parents: DataFrame, roots: DataFrame, commits: DataFrame | None = None) -> DataFrame:
+def reachable(
+    commit_parents: DataFrame, roots: DataFrame, commits: DataFrame | None = None, jumps: list[DataFrame] | None = None
+) -> DataFrame:
     """``repo, root, sha``: every commit reachable from each root, itself included.
 
-    With ``commits`` given, roots not found there are unknown and reach nothing.
+    With ``commits`` given, roots not found there are unknown and reach nothing. ``jumps`` takes
+    the tables of ``jump_tables`` for the same parents when they exist already.
     """
     roots = roots.select("repo", "root").distinct()
     if commits is not None:
         roots = roots.join(commits.select("repo", F.col("sha").alias("root")), ["repo", "root"], "left_semi")
-    wanted = roots.select("repo").distinct()
-    parents = commit_parents.filter(F.col("parent_sha").isNotNull()).join(wanted, "repo", "left_semi")
-    chain = _chain(parents)
-    others = parents.select("repo", "sha", F.col("parent_sha").alias("to")).join(chain, ["repo", "sha", "to"], "left_anti")
+    parents = commit_parents.filter(F.col("parent_sha").isNotNull())
+    if jumps is None:
+        parents = parents.join(roots.select("repo").distinct(), "repo", "left_semi")
+    levels = jump_tables(parents) if jumps is None else jumps
+    if not levels:
+        return roots.withColumn("sha", F.col("root"))
+    others = parents.select("repo", "sha", F.col("parent_sha").alias("to")).join(levels[0], ["repo", "sha", "to"], "left_anti")
     others = cut_lineage(others.distinct())
-    levels = _jumps(chain)
     merges = not others.isEmpty()
 
     seen = None
@@ -72,9 +77,9 @@ def reachable(commit_parents: DataFrame, roots: DataFrame, commits: DataFrame |
             return seen
 
 
-def generation(commit_parents: DataFrame, commits: DataFrame) -> DataFrame:
+def generation(commit_parents: DataFrame, commits: DataFrame, jumps: list[DataFrame] | None = None) -> DataFrame:
     """``repo, sha, generation``: steps down the chain of chosen parents, 0 at its start."""
-    levels = _jumps(_chain(commit_parents.filter(F.col("parent_sha").isNotNull())))
+    levels = jump_tables(commit_parents) if jumps is None else jumps
     out = commits.select("repo", "sha").withColumns({"at": F.col("sha"), "generation": F.lit(0).cast("long")})
     for exponent in reversed(range(len(levels))):
         jump = levels[exponent].select("repo", F.col("sha").alias("at"), "to")
@@ -190,12 +195,16 @@ def history_after(
     wanted = targets.select("repo", "path", "from_sha", "head_sha").distinct()
     ends = wanted.select("repo", "from_sha", "head_sha").distinct()
     roots = ends.select("repo", F.explode(F.array("from_sha", "head_sha")).alias("root"))
-    reach = reachable(commit_parents, roots, commits)
+    wanted_repos = wanted.select("repo").distinct()
+    parents = commit_parents.join(wanted_repos, "repo", "left_semi")
+    commits = commits.join(wanted_repos, "repo", "left_semi")
+    jumps = jump_tables(parents)
+    reach = reachable(parents, roots, commits, jumps)
     upto_head = ends.join(reach.withColumnRenamed("root", "head_sha"), ["repo", "head_sha"])
     before = reach.withColumnRenamed("root", "from_sha")
     between = upto_head.join(before, ["repo", "from_sha", "sha"], "left_anti")
     if "generation" in order and "generation" not in commits.columns:
-        commits = commits.join(generation(commit_parents, commits), ["repo", "sha"])
+        commits = commits.join(generation(parents, commits, jumps), ["repo", "sha"])
     dated = commits.select("repo", *dict.fromkeys(["sha", "committer_date", *order]))
     changes = cut_lineage(
         between.join(dated, ["repo", "sha"])

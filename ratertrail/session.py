@@ -47,10 +47,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there.
+    """Write ``df`` as a table in the shared folder and go on from there.
 
-    A reliable checkpoint outlives lost executors and keeps the plans of iterative
-    operators from growing with every round.
+    The table outlives lost executors and keeps the plans of iterative operators from growing
+    with every round; read back, its true size lets small rounds join by broadcast.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
