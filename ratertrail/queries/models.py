@@ -1,0 +1,235 @@
+"""Queries on splits, classifiers and feature selection.
+
+Learners have no SQL equivalent; their queries run with fewer trees and rounds than the library's
+defaults, over all rows. Everything around them (splits, weights, matrices, information) has one.
+"""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ratertrail.functions import scalar as S
+from ratertrail.models import benchmark as B
+from ratertrail.models import selection as M
+from ratertrail.models import splits
+from ratertrail.queries import views as V
+from ratertrail.queries.registry import query
+from ratertrail.queries.statistics import _with, rounded
+from ratertrail.queries.views import sql
+from ratertrail.streaming.incremental import process_incrementally
+from ratertrail.session import scratch_path
+
+LABELS = ["not_severe", "severe"]
+QUICK_TREES, QUICK_DEPTH = 10, 6
+
+
+def _dataset(spark, sf):
+    return B.model_dataset(V.instances(spark, sf), V.complexity(spark, sf))
+
+
+_DATASET = """dataset as (select i.*, c.wmc, c.cbo, c.dit, c.noc, c.rfc, c.lcom, c.loc, c.total_methods, c.total_fields, c.method_cyclomatic_complexity,
+  case when i.severity_consensus in ('major', 'critical') then 'severe' else 'not_severe' end as severe_binary from instances i join complexity c using (instance_id))"""
+
+
+def dataset_sql(body: str, extra: str = "") -> str:
+    return _with(sql("select 1", "instances", "complexity"), _DATASET + extra, body)
+
+
+@query("model_dataset", dataset_sql("select * from dataset"))
+def _(spark, sf):
+    return _dataset(spark, sf)
+
+
+@query("balanced_weights", dataset_sql("select instance_id, round(t.n / (t.k * c.n::double), 9) as weight from dataset join (select severity_consensus, count(*) as n from dataset group by 1) c using (severity_consensus) cross join (select count(*) as n, count(distinct severity_consensus) as k from dataset) t"))
+def _(spark, sf):
+    return rounded(splits.balanced_weights(_dataset(spark, sf), "severity_consensus").select("instance_id", "weight"), weight=9)
+
+
+_QUOTAS = """, counts as (select severity_consensus, count(*) as n from dataset group by 1), sized as (select *, ceil(0.2::double * sum(n) over ()) as size, n * ceil(0.2::double * sum(n) over ()) / sum(n) over () as share from counts),
+  turns as (select *, floor(share) as low, row_number() over (order by share - floor(share) desc, severity_consensus) as turn, size - sum(floor(share)) over () as spare from sized),
+  quotas as (select severity_consensus, n, cast(low + case when turn <= spare then 1 else 0 end as bigint) as quota from turns)"""
+_HASH = "('0x' || substr(md5('{seed}:' || instance_id), 1, 15))::bigint"
+
+
+@query("class_quotas", dataset_sql("select * from quotas", _QUOTAS))
+def _(spark, sf):
+    return splits.class_quotas(_dataset(spark, sf), "severity_consensus", 0.2)
+
+
+@query("stratified_split", dataset_sql(f"""select instance_id, row_number() over (partition by severity_consensus order by {_HASH.format(seed=42)}, instance_id) <= quota as is_test from dataset join quotas using (severity_consensus)""", _QUOTAS))
+def _(spark, sf):
+    return splits.stratified_split(_dataset(spark, sf), "severity_consensus", "instance_id").select("instance_id", "is_test")
+
+
+@query("stratified_folds", dataset_sql(f"""select instance_id, cast((row_number() over (partition by severity_consensus order by {_HASH.format(seed=43)}, instance_id) - 1) % 5 as bigint) as fold from dataset"""))
+def _(spark, sf):
+    out = splits.stratified_folds(_dataset(spark, sf), "severity_consensus", "instance_id")
+    return out.select("instance_id", F.col("fold").cast("long").alias("fold"))
+
+
+# Sums over each feature after imputing, scaling and encoding: means 0 and SDs 1 of the imputed numbers.
+@query("feature_matrix", dataset_sql("""select cast(feature as bigint) as feature, round(total, 3) as total, round(squares, 3) as squares from (
+  select 0 as feature, 0.0::double as total, (count(*) - 1)::double as squares from dataset union all select 1, 0.0, (count(*) - 1)::double from dataset
+  union all select 2 + rank() over (order by count(*) desc, smell) - 1, count(*)::double, count(*)::double from dataset group by smell)"""))
+def _(spark, sf):
+    df = _dataset(spark, sf)
+    made = Pipeline(stages=B.feature_stages(["wmc", "loc"], ["smell"])).fit(df).transform(df)
+    cells = made.select(F.posexplode(vector_to_array("features")).alias("feature", "x")).groupBy("feature").agg(F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares"))
+    # Adding zero turns the negative zero of a rounded sum into zero.
+    return cells.select(F.col("feature").cast("long").alias("feature"), (F.round("total", 3) + 0.0).alias("total"), F.round("squares", 3).alias("squares"))
+
+
+_NUMBERS = ["cbo", "rfc", "loc", "n_reviewers"]
+
+
+@query("correlations", dataset_sql(" union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, round(corr({a}, {b}), 8) as r from dataset" for a, b in combinations(_NUMBERS, 2))))
+def _(spark, sf):
+    return rounded(M.correlations(_dataset(spark, sf), _NUMBERS), r=8)
+
+
+_SCORES = {"rfc": 0.4, "cbo": 0.3, "n_reviewers": 0.2, "loc": 0.1}
+_PAIR_ROWS = " union all ".join(
+    f"select {i} as idx, '{a}' as a, '{b}' as b, '{b}' as loser, abs(corr({a}, {b})) as r from dataset" for i, (a, b) in enumerate(combinations(_SCORES, 2), 1)
+)
+
+
+@query("prune_correlated", "with recursive" + dataset_sql(f"""select unnest(dropped) as feature from s where idx = (select max(idx) from s)""", f""", p as ({_PAIR_ROWS}),
+  s as (select 0 as idx, []::varchar[] as dropped union all select p.idx, case when p.r > 0.8 and not list_contains(dropped, p.a) and not list_contains(dropped, p.b) then list_append(dropped, p.loser) else dropped end
+    from s join p on p.idx = s.idx + 1)""").removeprefix("with"))
+def _(spark, sf):
+    dropped = M.prune_correlated(_dataset(spark, sf), _SCORES)
+    return spark.createDataFrame([(f,) for f in dropped], "feature string")
+
+
+_DISCRETE = ["smell", V.FLAG, "type"]
+
+
+@query("mutual_information_discrete", dataset_sql(" union all ".join(f"""select '{f}' as feature, round(greatest(sum(n / t * ln(n * t / (nx * ny))), 0), 9) as mi from (
+  select count(*)::double as n, sum(count(*)) over (partition by {f})::double as nx, sum(count(*)) over (partition by severity_consensus)::double as ny, sum(count(*)) over ()::double as t from dataset group by {f}, severity_consensus)""" for f in _DISCRETE)))
+def _(spark, sf):
+    return rounded(M.mutual_information_discrete(_dataset(spark, sf), _DISCRETE, "severity_consensus"), mi=9)
+
+
+def _digamma(m: str) -> str:
+    x = f"({m} + 6)"
+    tail = " - ".join(f"1.0::double / ({m} + {i})" for i in range(6))
+    return f"(ln({x}) - 0.5::double / {x} - 1 / (12.0::double * {x} * {x}) + 1 / (120.0::double * {x} ** 4) - 1 / (252.0::double * {x} ** 6) + 1 / (240.0::double * {x} ** 8) - {tail})"
+
+
+# One row per part: its revenue, hardly ever tied, against its brand's class.
+_REVENUE = """points as (select l_partkey as id, any_value(p_size % 5) as y, sum(l_extendedprice) + l_partkey * 1e-4::double as x from lineitem join part on p_partkey = l_partkey group by 1)"""
+
+
+@query("mutual_information", f"""with {_REVENUE}, near as (select *, count(*) over c as ny, list_sort(list_filter([x - lag(x, 1) over w, x - lag(x, 2) over w, x - lag(x, 3) over w, lead(x, 1) over w - x, lead(x, 2) over w - x, lead(x, 3) over w - x], lambda d: d is not null)) as gaps
+    from points window w as (partition by y order by x), c as (partition by y)),
+  m as (select a.id, a.ny, (select count(*) from points b where abs(b.x - a.x) < a.gaps[3] - 1e-7::double) as m from near a)
+  select 'x' as feature, round(greatest({_digamma("count(*)::double")} + {_digamma("3.0::double")} - avg({_digamma("ny::double")}) - avg({_digamma("m::double")}), 0), 6) as mi from m""")
+def _(spark, sf):
+    part = V.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("y"))
+    revenue = V.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg((F.sum("l_extendedprice") + F.col("l_partkey") * 1e-4).alias("x"))
+    return rounded(M.mutual_information(revenue.join(part, "id"), ["x"], "y", "id", jitter=False), mi=6)
+
+
+@query("mutual_information_tied")
+def _(spark, sf):
+    """Integer metrics, their many ties broken by the jitter."""
+    df = _dataset(spark, sf)
+    return M.rank_features(M.mutual_information(df, _NUMBERS, "severity_consensus", "instance_id"))
+
+
+@query("rank_features", dataset_sql("""select smell as feature, avg(loc) as mi, row_number() over (order by avg(loc) desc, smell) as place from dataset group by 1""").replace("avg(loc) as mi", "round(avg(loc), 6) as mi"))
+def _(spark, sf):
+    scores = rounded(_dataset(spark, sf).groupBy(F.col("smell").alias("feature")).agg(F.avg("loc").alias("mi")), mi=6)
+    listed = M.rank_features(scores).collect()
+    return spark.createDataFrame([(r.feature, r.mi, i) for i, r in enumerate(listed, 1)], "feature string, mi double, place long")
+
+
+@query("split_by_threshold", dataset_sql("select instance_id, case when loc >= 15000 then 'kept' else 'dropped' end as side from dataset"))
+def _(spark, sf):
+    kept, dropped = M.split_by_threshold(_dataset(spark, sf), 15000, "loc")
+    return kept.select("instance_id", F.lit("kept").alias("side")).unionByName(dropped.select("instance_id", F.lit("dropped").alias("side")))
+
+
+@query("feature_pairs", " union all ".join(f"select '{a}' as a, '{b}' as b, count(*) as n from lineitem where l_quantity > 0" for a, b in combinations(B.NUMERIC_FEATURES, 2)))
+def _(spark, sf):
+    n = V.table(spark, sf, "lineitem").filter("l_quantity > 0").agg(F.count("*").alias("n"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in M.feature_pairs(B.NUMERIC_FEATURES)])
+    return n.select(F.explode(pairs).alias("p"), "n").select("p.*", "n")
+
+
+# --- learners (rows only) -------------------------------------------------------------------
+
+
+def _predict(spark, sf, last_stages):
+    split = splits.stratified_split(_dataset(spark, sf), "severe_binary", "instance_id").persist()
+    out = B.fit_and_score(split.filter("not is_test"), split.filter("is_test"), "severe_binary", LABELS, B.NUMERIC_FEATURES, B.CATEGORICAL_FEATURES, last_stages, keep=["instance_id"])
+    return out.select("instance_id", "truth", "prediction_label", F.col("scores")[1].alias("score"))
+
+
+@query("model_rf")
+def _(spark, sf):
+    return _predict(spark, sf, B.model_rf(QUICK_TREES, QUICK_DEPTH))
+
+
+@query("model_extra_trees")
+def _(spark, sf):
+    return _predict(spark, sf, B.model_extra_trees(QUICK_TREES, QUICK_DEPTH))
+
+
+@query("model_gbt")
+def _(spark, sf):
+    return _predict(spark, sf, B.model_gbt(5))
+
+
+@query("model_logreg")
+def _(spark, sf):
+    return _predict(spark, sf, B.model_logreg(max_iter=50))
+
+
+@query("model_svm")
+def _(spark, sf):
+    return _predict(spark, sf, B.model_svm(size=64, max_iter=20))
+
+
+@query("evaluate_models")
+def _(spark, sf):
+    quick = {"Random Forest": B.model_rf(QUICK_TREES, QUICK_DEPTH), "Logistic Regression": B.model_logreg(max_iter=50)}
+    return B.evaluate_models(_dataset(spark, sf), "severity_consensus", S.GRADES, "instance_id", estimators=quick, task="multiclass_4severity", folds=2)
+
+
+@query("rfe_cv")
+def _(spark, sf):
+    df = _dataset(spark, sf)
+    rounds = M.rfe_cv(df, ["n_reviewers", "loc"], "severe_binary", LABELS, "instance_id", folds=2, num_trees=QUICK_TREES, max_depth=QUICK_DEPTH)
+    return spark.createDataFrame([(len(f), ",".join(f), s) for f, s in rounds], "n_features int, features string, f1_macro double")
+
+
+@query("feature_selection")
+def _(spark, sf):
+    df = _dataset(spark, sf).withColumns({f"smell_{s.replace(' ', '_')}": (F.col("smell") == s).cast("double") for s in S.SMELLS})
+    return M.feature_selection(df, _NUMBERS, [f"smell_{s.replace(' ', '_')}" for s in S.SMELLS], "severity_consensus", S.GRADES, "instance_id",
+                               min_information=0.0, folds=2, num_trees=QUICK_TREES, max_depth=QUICK_DEPTH)
+
+
+# --- incremental runs -----------------------------------------------------------------------
+
+
+@query("process_incrementally", "select event_id, user_id, value * 2 as doubled from events where event_type <> 'error'")
+def _(spark, sf):
+    """Events as keys to process, run twice; errors fail, and the second run must add nothing."""
+    root = scratch_path(spark, "run")
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = stream.select("event_id", "user_id", "event_type", "value")
+
+    def operator(df):
+        ok = F.col("event_type") != "error"
+        return df.filter(ok).select("event_id", "user_id", (F.col("value") * 2).alias("doubled")), df.filter(~ok)
+
+    for _ in range(2):
+        out = process_incrementally(stream, "event_id", operator, f"{root}/out", f"{root}/failed", f"{root}/checkpoint")
+    return out
