@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ratertrail.functions.scalar import severe_flag
 from ratertrail.models.splits import balanced_weights, stratified_folds, stratified_split
+from ratertrail.session import cut_lineage
 from ratertrail.operators.evaluation import classification_metrics, confusion_matrix, macro_auc
 
 # Model inputs and the seed of all splits and learners.
@@ -122,17 +123,28 @@ ESTIMATORS: dict[str, Callable[..., list]] = {
 }
 
 
-def fit_and_score(train: DataFrame, test: DataFrame, target: str, labels: Sequence[str], numeric: Sequence[str],
-                  categorical: Sequence[str], last_stages: Sequence, keep: Sequence[str] = ()) -> DataFrame:
-    """Predictions on ``test``: ``keep, truth, prediction_label, scores`` with a score per label in label order."""
+def prepare(train: DataFrame, test: DataFrame, target: str, labels: Sequence[str], numeric: Sequence[str], categorical: Sequence[str],
+            keep: Sequence[str] = (), stages: Sequence | None = None) -> tuple[DataFrame, DataFrame]:
+    """Feature vectors of both sides, fitted on the training side only, written once for all learners.
+
+    Training rows become ``features, label, weight``; test rows ``keep, truth, features``.
+    """
     index = StringIndexerModel.from_labels(list(labels), inputCol=target, outputCol="label")
-    weighted = balanced_weights(train, target)
-    model = Pipeline(stages=[*feature_stages(numeric, categorical), *last_stages]).fit(index.transform(weighted))
-    predicted = model.transform(test)
+    weighted = index.transform(balanced_weights(train, target))
+    fitted = Pipeline(stages=list(feature_stages(numeric, categorical) if stages is None else stages)).fit(weighted)
+    return (
+        cut_lineage(fitted.transform(weighted).select("features", "label", "weight")),
+        cut_lineage(fitted.transform(test).select(*keep, F.col(target).alias("truth"), "features")),
+    )
+
+
+def fit_and_score(train: DataFrame, test: DataFrame, labels: Sequence[str], last_stages: Sequence) -> DataFrame:
+    """Predictions of one learner on prepared rows: ``truth, prediction_label, scores``, a score per label in label order."""
+    predicted = Pipeline(stages=list(last_stages)).fit(train).transform(test)
     scores = "probability" if "probability" in predicted.columns else "rawPrediction"
     names = F.array(*[F.lit(l) for l in labels])
     return predicted.select(
-        *keep, F.col(target).alias("truth"), F.get(names, F.col("prediction").cast("int")).alias("prediction_label"),
+        *[c for c in test.columns if c != "features"], F.get(names, F.col("prediction").cast("int")).alias("prediction_label"),
         vector_to_array(scores).alias("scores"),
     )
 
@@ -155,22 +167,21 @@ def evaluate_models(df: DataFrame, target: str, labels: Sequence[str], key: str,
     model parameters pass through the driver. ``folds=0`` leaves cross-validation out.
     """
     stages = {n: f() for n, f in ESTIMATORS.items()} if estimators is None else estimators
-    split = stratified_split(df, target, key, seed=seed)
-    train = split.filter(~F.col("is_test"))
-    train = (stratified_folds(train, target, key, folds, seed) if folds else train).persist()
-    test = split.filter("is_test").persist()
+    split = cut_lineage(stratified_split(df, target, key, seed=seed))
+    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
     args = (target, labels, numeric, categorical)
-    tested = [fit_and_score(train, test, *args, last).withColumn("model", F.lit(name)) for name, last in stages.items()]
-    results = _scored(reduce(DataFrame.unionByName, tested), labels, ["model"])
+    vectors = prepare(train, test, *args)
+    tested = [fit_and_score(*vectors, labels, last).withColumn("model", F.lit(name)) for name, last in stages.items()]
+    results = _scored(cut_lineage(reduce(DataFrame.unionByName, tested)), labels, ["model"])
     renamed = {"accuracy": "test_accuracy", "precision_macro": "test_precision_macro", "recall_macro": "test_recall_macro",
                "f1_macro": "test_f1_macro", "auc": "test_roc_auc"}
     out = results.replace(renamed, subset=["metric"])
     if folds:
-        held = [
-            fit_and_score(train.filter(F.col("fold") != i), train.filter(F.col("fold") == i), *args, last).withColumns({"model": F.lit(name), "fold": F.lit(i)})
-            for name, last in stages.items() for i in range(folds)
-        ]
-        per_fold = _scored(reduce(DataFrame.unionByName, held), labels, ["model", "fold"]).filter(F.col("metric").isin("f1_macro", "accuracy"))
+        dealt, held = cut_lineage(stratified_folds(train, target, key, folds, seed)), []
+        for i in range(folds):
+            vectors = prepare(dealt.filter(F.col("fold") != i), dealt.filter(F.col("fold") == i), *args)
+            held += [fit_and_score(*vectors, labels, last).withColumns({"model": F.lit(name), "fold": F.lit(i)}) for name, last in stages.items()]
+        per_fold = _scored(cut_lineage(reduce(DataFrame.unionByName, held)), labels, ["model", "fold"]).filter(F.col("metric").isin("f1_macro", "accuracy"))
         spread = per_fold.groupBy("model", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
         cv = spread.unpivot(["model", "metric"], ["mean", "std"], "stat", "value").select(
             "model", F.concat_ws("_", F.lit("cv"), "metric", "stat").alias("metric"), "value"

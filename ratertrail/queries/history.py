@@ -11,7 +11,7 @@ from ratertrail.operators import summaries, survival
 from ratertrail.queries import views as V
 from ratertrail.queries.registry import query
 from ratertrail.queries.views import sql
-from ratertrail.session import scratch_path
+from ratertrail.session import cut_lineage, scratch_path
 from ratertrail.sources import tables
 
 _DATES = ("labelled_commit_date", "death_commit_date", "last_observed_commit_date")
@@ -94,7 +94,8 @@ def _graph(spark, sf):
     parents = placed.filter(F.col("status").isin("O", "F")).select("repo", "sha", F.col("latest").alias("parent_sha"), F.lit(0).alias("parent_no"))
     parents = parents.unionByName(trunk.filter(F.col("n") % 5 == 0).select("repo", "sha", F.col("third").alias("parent_sha"), F.lit(1).alias("parent_no")))
     heads = trunk.groupBy("repo").agg(F.max(F.struct("committer_date", "sha")).alias("t")).select("repo", F.col("t.sha").alias("head_sha"))
-    return commits, parents.filter(F.col("parent_sha").isNotNull()), heads
+    # These stand for stored tables, so they are written before the graph queries read them.
+    return cut_lineage(commits), cut_lineage(parents.filter(F.col("parent_sha").isNotNull())), cut_lineage(heads)
 
 
 _REACH = f"""with recursive {_GRAPH}, reach as (select repo, head_sha as root, head_sha as sha from heads union select r.repo, r.root, e.parent_sha from reach r join edges e on e.repo = r.repo and e.sha = r.sha)"""

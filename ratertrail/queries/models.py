@@ -21,7 +21,7 @@ from ratertrail.queries.registry import query
 from ratertrail.queries.statistics import _with, rounded
 from ratertrail.queries.views import sql
 from ratertrail.streaming.incremental import process_incrementally
-from ratertrail.session import scratch_path
+from ratertrail.session import cut_lineage, scratch_path
 
 LABELS = ["not_severe", "severe"]
 QUICK_TREES, QUICK_DEPTH = 10, 6
@@ -137,7 +137,7 @@ def _(spark, sf):
 @query("mutual_information_tied")
 def _(spark, sf):
     """Integer metrics, their many ties broken by the jitter."""
-    df = _dataset(spark, sf)
+    df = cut_lineage(_dataset(spark, sf))
     return M.rank_features(M.mutual_information(df, _NUMBERS, "severity_consensus", "instance_id"))
 
 
@@ -165,8 +165,9 @@ def _(spark, sf):
 
 
 def _predict(spark, sf, last_stages):
-    split = splits.stratified_split(_dataset(spark, sf), "severe_binary", "instance_id").persist()
-    out = B.fit_and_score(split.filter("not is_test"), split.filter("is_test"), "severe_binary", LABELS, B.NUMERIC_FEATURES, B.CATEGORICAL_FEATURES, last_stages, keep=["instance_id"])
+    split = cut_lineage(splits.stratified_split(_dataset(spark, sf), "severe_binary", "instance_id"))
+    vectors = B.prepare(split.filter("not is_test"), split.filter("is_test"), "severe_binary", LABELS, B.NUMERIC_FEATURES, B.CATEGORICAL_FEATURES, keep=["instance_id"])
+    out = B.fit_and_score(*vectors, LABELS, last_stages)
     return out.select("instance_id", "truth", "prediction_label", F.col("scores")[1].alias("score"))
 
 
@@ -203,7 +204,7 @@ def _(spark, sf):
 
 @query("rfe_cv")
 def _(spark, sf):
-    df = _dataset(spark, sf)
+    df = cut_lineage(_dataset(spark, sf))
     rounds = M.rfe_cv(df, ["n_reviewers", "loc"], "severe_binary", LABELS, "instance_id", folds=2, num_trees=QUICK_TREES, max_depth=QUICK_DEPTH)
     return spark.createDataFrame([(len(f), ",".join(f), s) for f, s in rounds], "n_features int, features string, f1_macro double")
 

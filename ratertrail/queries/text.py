@@ -10,6 +10,7 @@ from ratertrail.plans.pipelines import complexity_table, persistence_table
 from ratertrail.queries import views as V
 from ratertrail.queries.history import _GRAPH, _graph
 from ratertrail.queries.registry import query
+from ratertrail.session import cut_lineage
 from ratertrail.operators.matching import normalise_classes, normalise_functions
 
 # One literal or comment, or the text up to the next one.
@@ -134,7 +135,8 @@ def _pipeline(spark, sf):
     )
     changes = commits.select("repo", "sha", F.lit("src/Order.java").alias("path"), F.lit(None).cast("string").alias("old_path"))
     stamps = commits.withColumns({"author_date": F.lit("d"), "subject": F.col("sha")})
-    return persistence_table(instances, heads, stamps, parents, changes, texts)
+    # These stand for stored tables, so they are written before the stage reads them.
+    return persistence_table(*[cut_lineage(t) for t in (instances, heads, stamps, parents, changes, texts)])
 
 
 _WALK = f"""with {_GRAPH}, shape as ({_SHAPE}),
