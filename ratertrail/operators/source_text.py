@@ -27,7 +27,7 @@ WINDOW = 300
 NOT_FUNCTION_NAMES = frozenset(
     "if for while switch catch synchronized return new instanceof throw assert do else try".split()
 )
-TYPE_WORDS = r"class|interface|enum|@\s*interface|record"
+TYPE_WORDS = ("class", "interface", "enum", "record")
 TRIVIAL_GETTER = r"\{\s*return\s+[\w.]+\s*;\s*\}"
 TRIVIAL_SETTER = r"\{\s*this\.\w+\s*=\s*\w+\s*;\s*\}"
 CONTROL_FLOW = r"\b(if|for|while|switch)\s*\("
@@ -38,20 +38,22 @@ SPAN_TYPE = T.StructType().add("start_line", "integer").add("end_line", "integer
 FUNCTIONS_TYPE = T.ArrayType(T.StructType().add("name", "string").add("open_pos", "integer").add("snippet", "string"))
 
 _LITERAL = re.compile(
-    r'"(?:[^"\\]+|\\[\s\S])*\\?(?P<dq>"?)' r"|'(?:[^'\\]+|\\[\s\S])*\\?(?P<sq>'?)" r"|(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?(?:\*/|\Z))"
+    r'"(?:[^"\\]+|\\[\s\S])*\\?(?P<dq>"?)' r"|'(?:[^'\\]+|\\[\s\S])*\\?(?P<sq>'?)" r"|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
 )
 _TO_BRACE = re.compile(r"[\s\w.,<>\[\]]{0,%d}\{" % (WINDOW - 2))
-# A name before "(", with the "." or ":" that makes it a call or a reference.
-_NAMED = r"(?P<member>[.:][ \t]*)?\b(?P<name>{})\s*\("
+# Read backwards from a "(": the name, and the "." or ":" that makes it a call or a reference.
+_NAMED = r"\s*(?P<name>{})\b(?P<member>[ \t]*[.:])?"
 _ANY_NAMED = re.compile(_NAMED.format(r"\w+"))
+# Read backwards from a type's name: the word that declares it, with the "@" of an annotation type.
+_DECLARED = re.compile(r"\s+(?:%s\s*@(?=\w)|(?:%s)\b)" % ("interface"[::-1], "|".join(w[::-1] for w in TYPE_WORDS)))
 _OPENERS, _CLOSERS = "<([{", ">)]}"
 
 
 def _blank(m: re.Match) -> str:
     text = m.group()
-    if m.group("line") is not None:
+    if text[:2] == "//":
         return " /" + " " * (len(text) - 2)
-    if m.group("block") is not None:
+    if text[:2] == "/*":
         return re.sub(r"[^\n]", " ", text)
     closing = m.group("dq") or m.group("sq") or ""
     return text[0] + " " * (len(text) - 1 - len(closing)) + closing
@@ -65,15 +67,24 @@ def masked(text: str) -> str:
     return _LITERAL.sub(_blank, text)
 
 
-def _closers(mask: str, opener: str, closer: str) -> dict[int, int]:
-    """Position of the partner of every matched opener, in one pass."""
-    stack, partner = [], {}
-    for m in re.finditer(f"[{re.escape(opener + closer)}]", mask):
-        if m.group() == opener:
+def _parentheses(mask: str) -> list[tuple[int, int]]:
+    """Matched pairs, by position of the opening one, in one pass."""
+    stack, pairs = [], []
+    for m in re.finditer(r"[()]", mask):
+        if m.group() == "(":
             stack.append(m.start())
         elif stack:
-            partner[stack.pop()] = m.start()
-    return partner
+            pairs.append((stack.pop(), m.start()))
+    return sorted(pairs)
+
+
+def _closing_brace(mask: str, brace: int) -> int | None:
+    depth = 0
+    for m in re.compile(r"[{}]").finditer(mask, brace):
+        depth += 1 if m.group() == "{" else -1
+        if depth == 0:
+            return m.start()
+    return None
 
 
 def _n_arguments(args: str) -> int:
@@ -86,50 +97,58 @@ def _n_arguments(args: str) -> int:
     return commas + 1
 
 
-def _declarations(mask: str, names: re.Pattern) -> Iterator[tuple[re.Match, int, int]]:
-    """``(name match, closing parenthesis, opening brace of the body)`` of what looks like a declaration."""
-    partner = _closers(mask, "(", ")")
-    for m in names.finditer(mask):
-        close = partner.get(m.end() - 1)
-        tail = _TO_BRACE.match(mask, close + 1) if close is not None and not m.group("member") else None
-        if tail:
-            yield m, close, tail.end() - 1
+def _declarations(mask: str, names: re.Pattern) -> Iterator[tuple[str, int, str, int]]:
+    """``(name, its position, argument text, position of the body brace)`` of what looks like a declaration."""
+    backwards, size = mask[::-1], len(mask)
+    for start, end in _parentheses(mask):
+        if tail := _TO_BRACE.match(mask, end + 1):
+            m = names.match(backwards, size - start)
+            if m and not m.group("member"):
+                yield m.group("name")[::-1], size - m.end("name"), mask[start + 1 : end], tail.end() - 1
 
 
 def _span(text: str, mask: str, start: int, brace: int) -> dict | None:
-    end = _closers(mask[brace:], "{", "}").get(0)
+    end = _closing_brace(mask, brace)
     if end is None:
         return None
-    first, last = text.count("\n", 0, start) + 1, text.count("\n", 0, brace + end) + 1
+    first, last = text.count("\n", 0, start) + 1, text.count("\n", 0, end) + 1
     return {"start_line": first, "end_line": last, "body": "\n".join(text.splitlines()[first - 1 : last])}
 
 
 def class_span(text: str, name: str) -> dict | None:
     """First type declaration of that simple name, or None."""
+    if name not in text:
+        return None
     mask = masked(text)
-    m = re.search(rf"\b(?:{TYPE_WORDS})\s+{re.escape(name)}\b", mask)
-    brace = mask.find("{", m.end()) if m else -1
-    return _span(text, mask, m.start(), brace) if brace >= 0 else None
+    backwards, size = mask[::-1], len(mask)
+    for named in re.finditer(re.escape(name) + r"\b", mask):
+        if declared := _DECLARED.match(backwards, size - named.start()):
+            brace = mask.find("{", named.end())
+            return _span(text, mask, size - declared.end(), brace) if brace >= 0 else None
+    return None
 
 
 def function_span(text: str, name: str, n_params: int | None) -> dict | None:
     """First declaration of that name with ``n_params`` parameters, else the first of that name."""
+    if name not in text:
+        return None
     mask = masked(text)
     found = None
-    for m, close, brace in _declarations(mask, re.compile(_NAMED.format(re.escape(name)))):
-        found = found or (m, brace)
-        if n_params is not None and _n_arguments(mask[m.end() : close]) == n_params:
-            found = (m, brace)
+    for _, start, args, brace in _declarations(mask, re.compile(_NAMED.format(re.escape(name[::-1])))):
+        exact = n_params is not None and _n_arguments(args) == n_params
+        if exact or found is None:
+            found = (start, brace)
+        if exact:
             break
-    return _span(text, mask, found[0].start("name"), found[1]) if found else None
+    return _span(text, mask, *found) if found else None
 
 
 def function_list(body: str) -> list[dict]:
     """Every function-shaped declaration at any depth, with the text after its opening brace."""
     return [
-        {"name": m.group("name"), "open_pos": brace, "snippet": body[brace + 1 : brace + 1 + WINDOW]}
-        for m, _, brace in _declarations(masked(body), _ANY_NAMED)
-        if m.group("name") not in NOT_FUNCTION_NAMES
+        {"name": name, "open_pos": brace, "snippet": body[brace + 1 : brace + 1 + WINDOW]}
+        for name, _, _, brace in _declarations(masked(body), _ANY_NAMED)
+        if name not in NOT_FUNCTION_NAMES
     ]
 
 

@@ -53,6 +53,8 @@ def _sources(spark, sf):
         k.alias("k"), F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 25).alias("n"), (k % 250).cast("int").alias("pad"),
         F.col("o_totalprice").alias("price"), S.case_recode([(k % 4 == 0, "blob"), (k % 4 == 1, "data class"), (k % 4 == 2, "feature envy")], "long method").alias("smell"),
     )
+    # Writing and reading the texts is the work here, so the keys are spread over the cluster first.
+    shape = shape.repartition(2 * spark.sparkContext.defaultParallelism, "k")
     numbers = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n")), lambda i: i > 0)
     branching = lambda i: F.concat(
         F.lit("    public int run"), i, F.lit("(int a, java.util.Map<K, V> b) {\n"), F.when(i == 1, F.repeat(F.lit("        int x;\n"), F.col("pad"))).otherwise(""),

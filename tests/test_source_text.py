@@ -23,6 +23,13 @@ def test_class_span_ignores_braces_in_text():
     assert T.class_span(OUTER, "Missing") is None
 
 
+def test_type_words():
+    assert T.class_span("subclass Foo { }", "Foo") is None and T.class_span("class Food { }", "Foo") is None
+    for word in ("class", "interface", "enum", "record", "@interface", "@ interface"):
+        assert T.class_span(f"\npublic {word} Foo (int a) {{\n}}", "Foo")["start_line"] == 2
+    assert T.class_span("x@\ninterface Foo { }", "Foo")["start_line"] == 1
+
+
 def test_function_span_and_overloads():
     assert "return size" in T.function_span(OUTER, "getSize", 0)["body"]
     src = "class C {\n void m() { zero(); }\n void m(int a) { one(); }\n void m(Map<A, B> a, int b) { two(); }\n}"
