@@ -130,7 +130,7 @@ def prepare(train: DataFrame, test: DataFrame, target: str, labels: Sequence[str
     Training rows become ``features, label, weight``; test rows ``keep, truth, features``.
     """
     index = StringIndexerModel.from_labels(list(labels), inputCol=target, outputCol="label")
-    weighted = index.transform(balanced_weights(train, target))
+    weighted = index.transform(balanced_weights(train, target, labels=labels))
     fitted = Pipeline(stages=list(feature_stages(numeric, categorical) if stages is None else stages)).fit(weighted)
     return (
         cut_lineage(fitted.transform(weighted).select("features", "label", "weight")),
@@ -167,7 +167,7 @@ def evaluate_models(df: DataFrame, target: str, labels: Sequence[str], key: str,
     model parameters pass through the driver. ``folds=0`` leaves cross-validation out.
     """
     stages = {n: f() for n, f in ESTIMATORS.items()} if estimators is None else estimators
-    split = cut_lineage(stratified_split(df, target, key, seed=seed))
+    split = cut_lineage(stratified_split(df, target, key, seed=seed, labels=labels))
     train, test = split.filter(~F.col("is_test")), split.filter("is_test")
     args = (target, labels, numeric, categorical)
     vectors = prepare(train, test, *args)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,9 +43,16 @@ def class_quotas(df: DataFrame, label: str, fraction: float) -> DataFrame:
     )
 
 
-def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``is_test``."""
-    quotas = class_quotas(df, label, fraction).select(label, "quota")
+def _per_class(df: DataFrame, label: str, labels: Sequence[str] | None) -> DataFrame:
+    """A table of one row per class; with the labels known it is small for certain and may be broadcast."""
+    return df if labels is None else F.broadcast(df.filter(F.col(label).isin(*labels)))
+
+
+def stratified_split(
+    df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int = 42, labels: Sequence[str] | None = None
+) -> DataFrame:
+    """Adds ``is_test``. Rows of a class outside ``labels``, when given, are left out."""
+    quotas = _per_class(class_quotas(df, label, fraction).select(label, "quota"), label, labels)
     return _shuffled(df, label, key, seed).join(quotas, label).withColumn("is_test", F.col("__pos") <= F.col("quota")).drop("__pos", "quota")
 
 
@@ -52,9 +61,9 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     return _shuffled(df, label, key, seed + 1).withColumn("fold", ((F.col("__pos") - 1) % k).cast("int")).drop("__pos")
 
 
-def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
+def balanced_weights(df: DataFrame, label: str, name: str = "weight", labels: Sequence[str] | None = None) -> DataFrame:
     """Adds n / (k * n_class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
     sizes = counts.agg(F.struct(F.sum("__n").alias("n"), F.count("*").alias("k"))).scalar()
     weights = counts.withColumn("__s", sizes).select(label, (F.col("__s.n") / (F.col("__s.k") * F.col("__n"))).alias(name))
-    return df.join(weights, label)
+    return df.join(_per_class(weights, label, labels), label)

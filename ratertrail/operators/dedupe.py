@@ -26,13 +26,15 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
 def drop_exact_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """``(kept, dropped)``: the first row of each key, and every other row as an audit table.
 
-    Null key values count as equal. Identical rows are counted, not ranked, so that a row
-    repeated very often never gathers in one task; the audit writes its copies out again in
-    chunks spread over the cluster.
+    Null key values count as equal. The audit looks only at keys that occur more than once.
+    Identical rows are counted, not ranked, so that a row repeated very often never gathers in
+    one task; its copies are written out again in chunks spread over the cluster.
     """
     kept = first_per_key(df, key, order)
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
-    marked = join_null_safe(counted, kept.withColumn("__kept", F.lit(1)), df.columns, "left")
+    suspects = conflicting_reviews(df, key)
+    counted = suspects.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    firsts = first_per_key(suspects, key, order).withColumn("__kept", F.lit(1))
+    marked = join_null_safe(counted, firsts, df.columns, "left")
     surplus = marked.withColumn("__n", F.col("__n") - F.coalesce("__kept", F.lit(0))).filter("__n > 0")
     chunks = surplus.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / _CHUNK).cast("int"))))
     spread = chunks.repartition(*df.columns, "__chunk")

@@ -20,7 +20,9 @@ FLAG = "is_from_industry_relevant_project_raw"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table; zone-less timestamps become instants of the UTC session."""
+    """A driver table; zone-less timestamps become instants of a UTC session."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"})
 
@@ -127,19 +129,6 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# --- commits: orders as commits of one repository per customer -------------------------------
-
-CHAIN_SQL = "o_orderstatus"
-
-
-def _ordered(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(
-        F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").alias("n"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("sha"),
-        F.col("o_orderdate").alias("committer_date"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"),
-        F.col("o_totalprice").alias("price"),
-    )
-
-
 VIEWS: list[tuple[str, tuple[str, ...], str]] = [
     ("reviews", (), """select l_orderkey*100 + l_linenumber as id, l_suppkey as reviewer_id, l_partkey as sample_id,
       case when l_linenumber <= 2 then 'blob' when l_linenumber <= 4 then 'data class' when l_linenumber = 5 then 'feature envy' else 'long method' end as smell,
