@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ratertrail.functions.ordering import join_null_safe, magnitude_band, running_totals
 from ratertrail.functions.scalar import GRADES, case_recode, ordinal_rank
 from ratertrail.functions.tails import chi2_sf, normal_sf
-from ratertrail.operators.summaries import exact_median, pivot_labels, value_histogram
+from ratertrail.operators.summaries import exact_median, long_form, pivot_labels, value_histogram
 
 
 def chi_square_test(df: DataFrame, row: str, col: str, count: str | None = None) -> DataFrame:
@@ -117,17 +117,22 @@ def roc_auc(hist: DataFrame, group: Sequence[str] = ("metric",), value: str = "v
     return sums.select(*group, "n_a", "n_b", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), auc).alias("auc"))
 
 
-def cohens_d(df: DataFrame, group: Sequence[str], value: str, arm: Column) -> DataFrame:
-    """Standardised mean difference with pooled sample SD; NaN when that is zero."""
+def arm_moments(df: DataFrame, group: Sequence[str], value: str, arm: Column) -> DataFrame:
+    """Count, mean and sample variance of both arms per group, in one pass."""
     x = F.col(value).cast("double")
-    stats = df.groupBy(*group).agg(
+    return df.groupBy(*group).agg(
         *[
             f(F.when(side, x)).alias(f"{name}_{tag}")
             for tag, side in (("a", arm), ("b", ~arm))
             for name, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))
         ]
     )
-    return stats.select(*group, "n_a", "n_b", _pooled("n_a", "mean_a", "var_a", "n_b", "mean_b", "var_b").alias("cohens_d"))
+
+
+def cohens_d(df: DataFrame, group: Sequence[str], value: str, arm: Column) -> DataFrame:
+    """Standardised mean difference with pooled sample SD; NaN when that is zero."""
+    moments = arm_moments(df, group, value, arm)
+    return moments.select(*group, "n_a", "n_b", _pooled("n_a", "mean_a", "var_a", "n_b", "mean_b", "var_b").alias("cohens_d"))
 
 
 def _pooled(na: str, ma: str, va: str, nb: str, mb: str, vb: str) -> Column:
@@ -166,13 +171,14 @@ def compare_groups(df: DataFrame, metrics: Sequence[str], arm: Column, min_rows:
     Nulls are left out per metric; metrics with an arm of fewer than ``min_rows`` are skipped.
     """
     typed = df.select(arm.alias("__arm"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    long = typed.filter("__arm is not null").unpivot(["__arm"], list(metrics), "metric", "value").filter("value is not null")
+    long = long_form(typed, ["__arm"], metrics)
     hist = value_histogram(long, ["metric"], "value", F.col("__arm"))
     tests = mann_whitney(hist)
-    effects = cohens_d(long, ["metric"], "value", F.col("__arm")).drop("n_a", "n_b")
-    arms = long.groupBy("metric").agg(F.avg(F.when(F.col("__arm"), F.col("value"))).alias("mean_a"), F.avg(F.when(~F.col("__arm"), F.col("value"))).alias("mean_b"))
+    effects = arm_moments(long, ["metric"], "value", F.col("__arm")).select(
+        "metric", "mean_a", "mean_b", _pooled("n_a", "mean_a", "var_a", "n_b", "mean_b", "var_b").alias("cohens_d")
+    )
     med = lambda n, name: exact_median(hist.filter(F.col(n) > 0), ["metric"], "value", n, name)
-    out = tests.join(effects, "metric").join(arms, "metric").join(med("n_a", "median_a"), "metric").join(med("n_b", "median_b"), "metric")
+    out = tests.join(effects, "metric").join(med("n_a", "median_a"), "metric").join(med("n_b", "median_b"), "metric")
     return out.filter(F.least("n_a", "n_b") >= min_rows).select(
         "metric", "n_a", "n_b", "median_a", "median_b", "mean_a", "mean_b", "u", "z", "p_value", "exact_applicable", "cohens_d"
     )

@@ -42,6 +42,16 @@ def share_by_group(df: DataFrame, group: str, condition: Column) -> DataFrame:
     return df.groupBy(group).agg((100 * F.avg(F.coalesce(condition, F.lit(False)).cast("double"))).alias("pct"))
 
 
+def long_form(df: DataFrame, ids: Sequence[str], metrics: Sequence[str], name: str = "metric", value: str = "value") -> DataFrame:
+    """One row per row and metric, nulls left out.
+
+    As ``unpivot``, but by an exploded array: after ``unpivot`` Spark does not recognise two
+    branches over the same rows as equal and would scan them twice.
+    """
+    cells = F.array(*[F.struct(F.lit(m).alias(name), F.col(m).alias(value)) for m in metrics])
+    return df.select(*ids, F.explode(cells).alias("__cell")).select(*ids, f"__cell.{name}", f"__cell.{value}").filter(F.col(value).isNotNull())
+
+
 def value_histogram(df: DataFrame, group: Sequence[str], value: str, arm: Column | None = None) -> DataFrame:
     """``group, value, n`` or, with a boolean arm, ``group, value, n_a, n_b, n``; null values are left out.
 
@@ -50,12 +60,12 @@ def value_histogram(df: DataFrame, group: Sequence[str], value: str, arm: Column
     known = df.filter(F.col(value).isNotNull())
     if arm is None:
         return known.groupBy(*group, value).agg(F.count("*").alias("n"))
-    return (
-        known.filter(arm.isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count_if(arm).alias("n_a"), F.count_if(~arm).alias("n_b"))
-        .withColumn("n", F.col("n_a") + F.col("n_b"))
+    # Rows of no arm count nowhere. Filtering them before the grouping would reach the scan in some
+    # branches of a plan and not in others, and keep Spark from reusing the grouped histogram.
+    counts = known.groupBy(*group, value).agg(
+        F.count(F.when(arm, 1)).alias("n_a"), F.count(F.when(~arm, 1)).alias("n_b")
     )
+    return counts.withColumn("n", F.col("n_a") + F.col("n_b")).filter("n > 0")
 
 
 def exact_median(hist: DataFrame, group: Sequence[str], value: str, n: str = "n", name: str = "median") -> DataFrame:

@@ -56,7 +56,7 @@ _ARMS = """select 'price' as metric, l_extendedprice as value, l_returnflag = 'R
 
 def _arms(spark, sf):
     li = V.table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").alias("arm"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
-    return li.unpivot(["arm"], ["price", "quantity", "discount"], "metric", "value")
+    return summaries.long_form(li, ["arm"], ["price", "quantity", "discount"])
 
 
 _RANKED = f"""ranked as (select metric, arm, value, rank() over (partition by metric order by value) + (count(*) over (partition by metric, value) - 1) / 2.0::double as rk,
