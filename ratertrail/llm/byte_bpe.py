@@ -28,7 +28,6 @@ class MergeTable:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {i: t for t, i in ranks.items()}
         self.base = max(ranks.values()) + 1
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
@@ -150,6 +149,11 @@ def _table(content: bytes) -> MergeTable:
     return MergeTable(parse_ranks(content))
 
 
+@functools.lru_cache(maxsize=2)
+def _tokens(content: bytes) -> dict[int, bytes]:
+    return {i: t for t, i in parse_ranks(content).items()}
+
+
 def encoded(text: Column, rank_file: str, pattern: str) -> Column:
     """Token ids of a text as binary, little-endian unsigned 32-bit; null counts as empty, no special tokens."""
     content = read_rank_file(rank_file)
@@ -159,7 +163,7 @@ def encoded(text: Column, rank_file: str, pattern: str) -> Column:
         table = _table(content)
         values = PretokenValues(pattern, lambda names: table.replay([n.encode() for n in names]), b"".join)
         for texts in batches:
-            yield pd.Series(values.of_block(["" if t is None else t for t in texts]), dtype=object)
+            yield pd.Series(list(values.of_block(["" if t is None else t for t in texts])), dtype=object)
 
     return encode(text)
 
@@ -170,7 +174,7 @@ def decoded(ids: Column, rank_file: str) -> Column:
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = _table(content).tokens.__getitem__
+        token = _tokens(content).__getitem__
         for packed in batches:
             yield pd.Series([None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in packed], dtype=object)
 

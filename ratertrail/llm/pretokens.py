@@ -7,12 +7,14 @@ per block; texts with other runs of white space next to a space are matched as a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import regex
 
 #: Distinct pieces kept between the blocks of a task; beyond it the block starts afresh. Results don't depend on it.
-KEEP = 500_000
+KEEP = 250_000
+#: Characters of text that are matched at once.
+SLICE = 8_000_000
 #: The white space of the pattern. No pre-token pattern here tells its members apart.
 WHITE = frozenset(c for c in map(chr, range(0x3100)) if regex.match(r"\s", c))
 
@@ -32,43 +34,50 @@ class PretokenValues:
     def _forget(self) -> None:
         self.pre: dict[str, object] = {}
         self.led: dict[str, object] = {}  # a piece, with the space before it -> value
-        self.bound: set[str] = set()  # pieces that touch other white space
 
-    def of_block(self, texts: Sequence[str]) -> list:
-        """The joined value of each text."""
+    def of_block(self, texts: Sequence[str]) -> Iterator:
+        """The joined value of each text, in slices of bounded length (a single text is never cut)."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+                size += len(texts[end])
+                end += 1
+            yield from self._of_slice(texts[at:end])
+            at = end
+
+    def _of_slice(self, texts: Sequence[str]) -> Iterator:
         if len(self.led) > self.keep or len(self.pre) > self.keep:
             self._forget()
-        parts = [t.split(" ") for t in texts]
         pieces: set[str] = set()
-        for p in parts:
-            pieces.update(p[1:])
+        for t in texts:
+            pieces.update(t.split(" ")[1:])
         matched: dict[str, list[str]] = {}
-        for piece in pieces.difference(self.led, self.bound):
-            if not piece or piece[0] in WHITE or piece[-1] in WHITE:
-                self.bound.add(piece)
+        bound = set()  # pieces that touch other white space, besides the empty one
+        for piece in pieces.difference(self.led, ("",)):
+            if piece[0] in WHITE or piece[-1] in WHITE:
+                bound.add(piece)
             elif piece.isalpha():  # letters only: one pre-token
                 matched[piece] = [" " + piece]
             else:
                 matched[piece] = self.find(" " + piece)
-        alone: dict[int, list[str]] = {}  # texts, or their first piece, matched directly
-        whole = set()
-        for i, p in enumerate(parts):
-            head = p[0]
-            if len(p) > 1 and (head and head[-1] in WHITE or not self.bound.isdisjoint(p[1:])):
+        # What is matched directly: the first piece, or the whole text where white space meets a space.
+        alone, whole = [], set()
+        for i, t in enumerate(texts):
+            head, space, _ = t.partition(" ")
+            if space and (head and head[-1] in WHITE or "  " in t or t[-1] == " " or bound and not bound.isdisjoint(t.split(" ")[1:])):
                 whole.add(i)
-                head = texts[i]
-            alone[i] = self.find(head)
+                head = t
+            alone.append(self.find(head))
         new: set[str] = set()
-        for found in (*matched.values(), *alone.values()):
+        for found in (*matched.values(), *alone):
             new.update(found)
-        new.difference_update(self.pre)
-        names = sorted(new)
+        names = sorted(new.difference(self.pre))
         self.pre.update(zip(names, self.learn(names)))
         get = self.pre.__getitem__
         for piece, found in matched.items():
             self.led[piece] = self.join(map(get, found))
         led, join = self.led.__getitem__, self.join
-        return [
-            join(map(get, alone[i])) if i in whole else join((join(map(get, alone[i])), *map(led, p[1:])))
-            for i, p in enumerate(parts)
-        ]
+        for i, t in enumerate(texts):
+            first = join(map(get, alone[i]))
+            yield first if i in whole else join((first, *map(led, t.split(" ")[1:])))

@@ -113,7 +113,7 @@ def token_count(text: Column, rank_file: str, pattern: str) -> Column:
         trie = _trie(content)
         values = PretokenValues(pattern, lambda names: trie.counts([n.encode() for n in names]), sum)
         for texts in batches:
-            yield pd.Series(values.of_block(["" if t is None else t for t in texts]), dtype="int64")
+            yield pd.Series(list(values.of_block(["" if t is None else t for t in texts])), dtype="int64")
 
     return count(text)
 
