@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratertrail.llm import byte_bpe, decontaminate, simhash, token_counts
+from ratertrail.llm import byte_bpe, chat_format, decontaminate, license_scan, pii, quality, sharding, simhash, token_counts, toxicity
 from ratertrail.queries.registry import query
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of every document, by its candidate blocks."""
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = F.filter("licenses", lambda x: x["license"].isNotNull())
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_blocks"),
+        F.size(named).cast("long").alias("n_confirmed"),
+        F.array_join(F.sort_array(F.array_distinct(F.transform(named, lambda x: x["license"]))), ",").alias("licenses"),
+        F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["line"], x["leader"], x["differing"])), ",").alias("blocks"),
+    )
+
+
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of every document."""
@@ -38,6 +52,29 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and likelihood ratio of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_corpus(docs, table(spark, sf_dir, "labels")).select("doc_id", "quality.*")
+
+
+@query("op5_sharding")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    out = sharding.shuffled_shards(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id",
+        sharding.row_bytes(F.col("text")).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query("op6_decontamination")
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of benchmark items, and the items."""
@@ -59,3 +96,30 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.train(*toxicity.training_sample(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, net)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != pii.FOUND)
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+@query("op10_chat_format")
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one that holds control strings, read back from their windows."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    return chat_format.digests(chat_format.windows(given.unionByName(more)))
