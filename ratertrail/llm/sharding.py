@@ -54,13 +54,14 @@ def shuffled_shards(
     mixed = F.xxhash64(k, F.octet_length(t), F.lit(seed))
     bucket = F.pmod(mixed, F.lit(n_buckets)).cast("int")
     counts = docs.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    offsets = _offsets(counts)
     n = counts.agg(F.sum("n")).first()[0] or 0
-    scattered = docs.select(bucket.alias("bucket"), F.struct(F.xxhash64(mixed, F.lit(1)).alias("at"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")).alias("entry"))
-    held = scattered.repartition(n_buckets, "bucket").groupBy("bucket").agg(F.collect_list("entry").alias("entries"))
+    entry = F.struct(F.xxhash64(mixed, F.lit(1)).alias("at"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    scattered = docs.select(bucket.alias("bucket"), entry.alias("entry"), F.lit(None).cast("long").alias("before"))
+    # A row for each bucket brings its offset along, so there is no join after the scatter.
+    heads = _offsets(counts).select("bucket", F.lit(None).cast(scattered.schema["entry"].dataType).alias("entry"), F.col("before").cast("long").alias("before"))
+    held = scattered.unionByName(heads).repartition(n_buckets, "bucket").groupBy("bucket").agg(F.max("before").alias("before"), F.collect_list("entry").alias("entries"))
     # shuffle() draws on through a partition: a fixed order of its buckets makes a repeated task agree.
-    ordered = held.join(offsets, "bucket").sortWithinPartitions("bucket")
-    mixed_up = ordered.select("before", F.shuffle(F.array_sort("entries"), seed).alias("entries"))
+    mixed_up = held.sortWithinPartitions("bucket").select("before", F.shuffle(F.array_sort("entries"), seed).alias("entries"))
     placed = mixed_up.select("before", F.posexplode("entries").alias("pos", "entry"))
     index = F.col("before") + F.col("pos")
     shard = F.expr(f"(before + pos) * {shards} div {max(n, 1)}").cast("int")
