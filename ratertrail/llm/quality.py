@@ -106,7 +106,7 @@ def quality(docs: DataFrame, weights: DataFrame, text: str = "text", threshold:
     listed = F.split(F.lit(",".join(str(table.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
     grams = docs.drop("quality").select("*", _held(ngram_buckets(F.col(f"`{text}`"))).alias("quality"))
     total = F.aggregate("quality", F.lit(0).cast("long"), lambda s, b: s + F.get(listed, b))
-    scored = grams.withColumn("quality", F.struct(F.size("quality").cast("long").alias("n_grams"), F.coalesce(F.floor(total / F.size("quality")), F.lit(0)).cast("long").alias("llr")))
+    scored = grams.withColumn("quality", F.struct(F.size("quality").cast("long").alias("n_grams"), F.coalesce(F.floor(F.try_divide(total, F.size("quality"))), F.lit(0)).cast("long").alias("llr")))
     ruled = rule_counts(scored, text)
     r = F.col("rules")
     failed = (r["n_words"] < 50) | (100 * r["n_repeat_words"] > 50 * r["n_words"])
