@@ -29,7 +29,7 @@ class MergeTable:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.base = max(ranks.values()) + 1
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for token, i in ranks.items():
             for cut in range(1, len(token)):
@@ -42,7 +42,7 @@ class MergeTable:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The token that each pair joins to, NONE where it joins to none."""
-        key = left * self.base + right
+        key = left.astype(np.int64) * self.base + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.joined[at], NONE)
 
@@ -71,11 +71,11 @@ class MergeTable:
         ends = np.cumsum(lengths)
         starts = ends - lengths
         symbol = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        following = np.arange(1, len(symbol) + 1)
-        before = np.arange(-1, len(symbol) - 1)
+        following = np.arange(1, len(symbol) + 1, dtype=np.int32)
+        before = np.arange(-1, len(symbol) - 1, dtype=np.int32)
         following[ends - 1] = -1
         before[starts] = -1
-        word_of = np.repeat(np.arange(len(words)), lengths)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         index: dict[int, list[np.ndarray]] = {}
         due: list[int] = []
 
@@ -90,7 +90,7 @@ class MergeTable:
                     index[rank] = [group]
                     heapq.heappush(due, rank)
 
-        at = np.flatnonzero(following >= 0)
+        at = np.flatnonzero(following >= 0).astype(np.int32)
         ranks = self.lookup(symbol[at], symbol[at + 1])
         if (ok := ranks != NONE).any():
             enter(at[ok], ranks[ok])

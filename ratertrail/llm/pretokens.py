@@ -12,9 +12,9 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import regex
 
 #: Distinct pieces kept between the blocks of a task; beyond it the block starts afresh. Results don't depend on it.
-KEEP = 250_000
+KEEP = 100_000
 #: Characters of text that are matched at once.
-SLICE = 8_000_000
+SLICE = 4_000_000
 #: The white space of the pattern. No pre-token pattern here tells its members apart.
 WHITE = frozenset(c for c in map(chr, range(0x3100)) if regex.match(r"\s", c))
 
