@@ -31,6 +31,7 @@ TEMPLATES = {
     "BSD-3-Clause": "Released under the BSD 3-Clause License.",
     "BSD-2-Clause": "Released under the BSD 2-Clause License.",
     "ISC": "Released under the ISC License.",
+    "LicenseRef-All-Rights-Reserved": "All rights reserved.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",

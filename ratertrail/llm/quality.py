@@ -20,7 +20,7 @@ TRUSTED_ROWS = 20_000
 SMOOTHING = 1.0
 UNITS = 1_000_000
 #: The least mean log-likelihood ratio of a kept text, in millionths of a nat.
-THRESHOLD = -150_000
+THRESHOLD = -300_000
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -31,15 +31,21 @@ def _held(expr: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    bare = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
 
-def ngram_buckets(text: Column) -> Column:
-    """Buckets of all tokens and pairs of neighbouring tokens of a text."""
+def token_hashes(text: Column) -> Column:
+    """Hashes of the tokens of a text, in order."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
-    hashed = F.transform(tokens, lambda t: F.xxhash64(t))
-    pairs = F.zip_with(hashed, F.slice(hashed, F.lit(2), F.greatest(F.size(hashed) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    return F.transform(F.concat(hashed, F.filter(pairs, lambda p: p.isNotNull())), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def ngram_buckets(hashes: Column) -> Column:
+    """Buckets of all tokens and all pairs of neighbouring tokens; ``hashes`` is a column of token hashes."""
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    pairs = F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))), lambda h, i: bucket(F.xxhash64(h, F.get(hashes, i + 1))))
+    return F.concat(F.transform(hashes, bucket), pairs)
 
 
 def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -52,8 +58,8 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     base = docs.select(F.struct("*").alias("doc"), _held(F.struct(words_of(t).alias("words"), F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("lines"))).alias("v"))
     base = base.select("doc", "v.words", "v.lines")
     n = F.size("words")
-    shifted = lambda k: F.slice("words", F.lit(k), F.greatest(n - 2, F.lit(0)))
-    windows = F.transform(F.arrays_zip(shifted(1).alias("a"), shifted(2).alias("b"), shifted(3).alias("c")), lambda w: F.xxhash64(w["a"], w["b"], w["c"]))
+    base = base.select("doc", "words", "lines", _held(F.transform("words", lambda w: F.xxhash64(w))).alias("h"))
+    windows = F.transform(F.slice("h", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda a, i: F.xxhash64(a, F.get("h", i + 1), F.get("h", i + 2)))
     base = base.select("doc", "words", "lines", _held(windows).alias("windows"))
     placed = F.array_sort(F.transform(F.col("windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # Only texts with some window twice sort them.
@@ -84,7 +90,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", tex
     """``bucket, weight``: log of the trusted over the corpus probability, for the buckets seen; counted over all texts."""
     # The trusted ids are bounded by their limit.
     marked = docs.join(F.broadcast(trusted), F.col(f"`{key}`") == F.col("trusted_id"), "left")
-    grams = marked.select(F.when(F.col("trusted_id").isNotNull(), 1).otherwise(0).alias("good"), F.explode(ngram_buckets(F.col(f"`{text}`"))).alias("bucket"))
+    hashed = marked.select(F.when(F.col("trusted_id").isNotNull(), 1).otherwise(0).alias("good"), _held(token_hashes(F.col(f"`{text}`"))).alias("hashes"))
+    grams = hashed.select("good", F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"))
     counts = cut_lineage(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("n_good")))
     totals = counts.agg(F.sum("n").alias("total"), F.sum("n_good").alias("total_good")).first()
     total, total_good = totals["total"] or 0, totals["total_good"] or 0
@@ -104,9 +111,10 @@ def quality(docs: DataFrame, weights: DataFrame, text: str = "text", threshold:
     # The weights are a fixed number of buckets, and stand as one array beside the plan's constants.
     table = weights.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("w")).first()["w"] or {}
     listed = F.split(F.lit(",".join(str(table.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
-    grams = docs.drop("quality").select("*", _held(ngram_buckets(F.col(f"`{text}`"))).alias("quality"))
-    total = F.aggregate("quality", F.lit(0).cast("long"), lambda s, b: s + F.get(listed, b))
-    scored = grams.withColumn("quality", F.struct(F.size("quality").cast("long").alias("n_grams"), F.coalesce(F.floor(F.try_divide(total, F.size("quality"))), F.lit(0)).cast("long").alias("llr")))
+    hashed = docs.drop("quality").select("*", _held(token_hashes(F.col(f"`{text}`"))).alias("quality"))
+    total = F.aggregate(ngram_buckets(F.col("quality")), F.lit(0).cast("long"), lambda s, b: s + F.get(listed, b))
+    n = F.greatest(2 * F.size("quality") - 1, F.lit(0))
+    scored = hashed.withColumn("quality", F.struct(n.cast("long").alias("n_grams"), F.coalesce(F.floor(F.try_divide(total, n)), F.lit(0)).cast("long").alias("llr")))
     ruled = rule_counts(scored, text)
     r = F.col("rules")
     failed = (r["n_words"] < 50) | (100 * r["n_repeat_words"] > 50 * r["n_words"])
