@@ -181,6 +181,21 @@ def decoded(ids: Column, rank_file: str) -> Column:
     return decode(ids)
 
 
+def round_trip(text: Column, rank_file: str, pattern: str) -> Column:
+    """A struct of a text's ids (``token_ids``) and of the bytes that these ids decode to (``decoded``), made in one worker."""
+    content = read_rank_file(rank_file)
+
+    @F.pandas_udf("struct<token_ids:binary,decoded:binary>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table, token = _table(content), _tokens(content).__getitem__
+        values = PretokenValues(pattern, lambda names: table.replay([n.encode() for n in names]), b"".join)
+        for texts in batches:
+            ids = list(values.of_block(["" if t is None else t for t in texts]))
+            yield pd.DataFrame({"token_ids": ids, "decoded": [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]})
+
+    return both(text)
+
+
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", into: str = "token_ids") -> DataFrame:
     """All columns of ``docs`` and the ids of ``text``; a column named as ``into`` is replaced.
 

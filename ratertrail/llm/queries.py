@@ -43,7 +43,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, RANK_FILE, PATTERN), RANK_FILE)
+    out = docs.select("doc_id", byte_bpe.round_trip(F.col("text"), RANK_FILE, PATTERN).alias("trip")).select("doc_id", "trip.*")
     return out.select(
         "doc_id",
         F.floor(F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

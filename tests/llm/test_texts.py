@@ -34,6 +34,8 @@ def test_byte_bpe_matches_tiktoken(spark, tmp_path):
         ids = other.encode_ordinary(t or "")
         want[d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert got == want
+    again = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, RANK_FILE, PATTERN), RANK_FILE)
+    assert Counter((r["doc_id"], bytes(r["decoded"])) for r in again.select("doc_id", "decoded").collect()) == Counter((d, (t or "").encode()) for d, t in pairs(docs))
     assert byte_bpe.encode_documents(odd.limit(0), RANK_FILE, PATTERN).count() == 0
     assert byte_bpe.encode_documents(odd, RANK_FILE, PATTERN).columns == odd.columns
 
