@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -48,10 +48,10 @@ def model_dataset(instances: DataFrame, complexity: DataFrame, metrics: Sequence
     return joined.withColumns({flag: F.col(flag).cast("string"), "severe_binary": severe_flag(grade)})
 
 
-class RandomFourierFeatures(Transformer):
-    """Random features whose inner products approximate the RBF kernel (Rahimi and Recht, 2007)."""
+class RandomFourierModel(Transformer):
+    """Random features for a width that is known."""
 
-    def __init__(self, inputCol: str = "features", outputCol: str = "kernel_features", size: int = 256, gamma: float | None = None, seed: int = SEED):
+    def __init__(self, inputCol: str, outputCol: str, size: int, gamma: float, seed: int):
         super().__init__()
         self.inputCol, self.outputCol, self.size, self.gamma, self.seed = inputCol, outputCol, size, gamma, seed
 
@@ -64,14 +64,32 @@ class RandomFourierFeatures(Transformer):
                 return pd.Series([], dtype=object)
             x = np.stack(rows.to_numpy())
             rng = np.random.default_rng(seed)
-            g = 1.0 / x.shape[1] if gamma is None else gamma
-            directions = rng.normal(scale=np.sqrt(2 * g), size=(x.shape[1], size))
+            directions = rng.normal(scale=np.sqrt(2 * gamma), size=(x.shape[1], size))
             shifts = rng.uniform(0, 2 * np.pi, size)
             return pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ directions + shifts)))
 
         return df.withColumn(self.outputCol, array_to_vector(project(vector_to_array(self.inputCol))))
 
 
+class RandomFourierFeatures(Estimator):
+    """Random features whose inner products approximate the RBF kernel (Rahimi and Recht, 2007).
+
+    Without ``gamma`` it is one over the number of inputs times the variance of all their training values.
+    """
+
+    def __init__(self, inputCol: str = "features", outputCol: str = "kernel_features", size: int = 256, gamma: float | None = None, seed: int = SEED):
+        super().__init__()
+        self.inputCol, self.outputCol, self.size, self.gamma, self.seed = inputCol, outputCol, size, gamma, seed
+
+    def _fit(self, df: DataFrame) -> RandomFourierModel:
+        gamma = self.gamma
+        if gamma is None:
+            values = df.select(F.size(vector_to_array(self.inputCol)).alias("p"), F.explode(vector_to_array(self.inputCol)).alias("x"))
+            seen = values.agg(F.max("p").alias("p"), F.var_pop("x").alias("v")).first()
+            gamma = 1.0 / (seen["p"] * seen["v"]) if seen["p"] and seen["v"] else 1.0
+        return RandomFourierModel(self.inputCol, self.outputCol, self.size, gamma, self.seed)
+
+
 def feature_stages(numeric: Sequence[str], categorical: Sequence[str], output: str = "features") -> list:
     """Median impute and standardise numbers, one-hot encode labels; an unseen label becomes all zeros."""
     imputed = [f"{c}__imp" for c in numeric]
@@ -104,8 +122,20 @@ def model_extra_trees(num_trees: int = 300, max_depth: int = 30, max_bins: int =
                                    maxBins=max_bins, weightCol="weight", seed=seed)]
 
 
-def model_logreg(n_rows: int = 6509, max_iter: int = 2000) -> list:
-    return [LogisticRegression(family="multinomial", maxIter=max_iter, regParam=1.0 / n_rows, weightCol="weight")]
+class RidgeByRows(Estimator):
+    """Logistic regression whose ridge penalty is one over the number of training rows; inputs are scaled before."""
+
+    def __init__(self, max_iter: int = 2000):
+        super().__init__()
+        self.max_iter = max_iter
+
+    def _fit(self, df: DataFrame):
+        learner = LogisticRegression(family="multinomial", maxIter=self.max_iter, regParam=1.0 / max(1, df.count()), standardization=False, weightCol="weight")
+        return learner.fit(df)
+
+
+def model_logreg(max_iter: int = 2000) -> list:
+    return [RidgeByRows(max_iter)]
 
 
 def model_svm(size: int = 256, max_iter: int = 100, reg: float = 1e-3, seed: int = SEED) -> list:

@@ -28,11 +28,11 @@ def inner_on_key(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str
 
 
 def join_coverage(left: DataFrame, joined: DataFrame) -> DataFrame:
-    """``n, n_total, pct`` of rows that found a partner."""
+    """``n, n_total, pct`` of rows that found a partner; no ``pct`` of no rows."""
     return joined.agg(F.count("*").alias("n")).select(
         "n",
         left.agg(F.count("*")).scalar().alias("n_total"),
-    ).withColumn("pct", F.bround(100 * F.col("n") / F.col("n_total"), 2))
+    ).withColumn("pct", F.bround(F.try_divide(100 * F.col("n"), F.col("n_total")), 2))
 
 
 def attach_group_fact(members: DataFrame, facts: DataFrame, *group: str) -> DataFrame:

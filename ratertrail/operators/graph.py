@@ -112,15 +112,17 @@ def content_digests(blobs: DataFrame) -> DataFrame:
 
 def lookup_content(revisions: DataFrame, blobs: DataFrame) -> DataFrame:
     """Adds ``content`` of ``(repo, sha, path)``; null when there is none."""
-    return revisions.join(blobs.select("repo", "sha", "path", "content"), ["repo", "sha", "path"], "left")
+    key = ["repo", "sha", "path"]
+    asked = blobs.select(*key, "content").join(revisions.select(*key).distinct(), key, "left_semi")
+    return revisions.join(asked, key, "left")
 
 
 def remap_commit(
     commits: DataFrame, blobs: DataFrame, targets: DataFrame, reachable_commits: DataFrame | None = None
 ) -> DataFrame:
-    """``repo, sha, candidate_sha`` for targets ``repo, sha, path`` re-identified under another hash.
+    """``repo, sha, path, candidate_sha`` for targets ``repo, sha, path`` re-identified under another hash.
 
-    A candidate shares author, author date and subject, is the only other commit that does, and
+    Each path is verified for itself. A candidate shares author, author date and subject, is the only other commit that does, and
     holds the same content at the path. Commits of equal metadata are counted, not paired.
     ``reachable_commits`` (``repo, sha``) limits the candidates; by default all commits count.
     """
@@ -136,11 +138,13 @@ def remap_commit(
     only = wanted.filter(F.col("n") - F.col("inside") == 1).withColumn(
         "candidate_sha", F.when((F.col("inside") == 1) & (F.col("lo") == F.col("sha")), F.col("hi")).otherwise(F.col("lo"))
     )
-    digests = content_digests(blobs)
+    # Only contents that are asked for are read and digested.
+    asked = only.select("repo", F.explode(F.array("sha", "candidate_sha")).alias("sha"), "path").distinct()
+    digests = content_digests(blobs.join(asked, ["repo", "sha", "path"], "left_semi"))
     mine = digests.withColumnRenamed("digest", "__mine")
     theirs = digests.select("repo", F.col("sha").alias("candidate_sha"), "path", F.col("digest").alias("__theirs"))
     checked = only.join(mine, ["repo", "sha", "path"]).join(theirs, ["repo", "candidate_sha", "path"])
-    return checked.filter(F.col("__mine") == F.col("__theirs")).select("repo", "sha", "candidate_sha")
+    return checked.filter(F.col("__mine") == F.col("__theirs")).select("repo", "sha", "path", "candidate_sha").distinct()
 
 
 def resolve_effective_commit(
@@ -160,7 +164,7 @@ def resolve_effective_commit(
     on_head = reach.select("repo", F.col("root").alias("head_sha"), "sha", F.lit(True).alias("__on"))
     first = pinned.join(on_head, ["repo", "head_sha", "sha"], "left")
     remaps = remap_commit(commits, blobs, first.filter(F.col("__on").isNull()), reachable_commits)
-    second = first.join(remaps, ["repo", "sha"], "left").join(
+    second = first.join(remaps, ["repo", "sha", "path"], "left").join(
         on_head.select("repo", "head_sha", F.col("sha").alias("candidate_sha"), F.col("__on").alias("__then")),
         ["repo", "head_sha", "candidate_sha"],
         "left",

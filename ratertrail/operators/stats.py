@@ -94,8 +94,8 @@ def mann_whitney(hist: DataFrame, group: Sequence[str] = ("metric",), value: str
     sums = rank_sums(hist, group, value)
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = na + nb
-    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (F.col("u") - na * nb / 2 - 0.5) / sd
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
+    z = F.try_divide(F.col("u") - na * nb / 2 - 0.5, sd)
     return (
         sums.withColumn("z", F.when(sd > 0, z))
         .withColumn("exact_applicable", (F.least("n_a", "n_b") <= 8) & (F.col("largest_tie") <= 1))
@@ -106,7 +106,7 @@ def mann_whitney(hist: DataFrame, group: Sequence[str] = ("metric",), value: str
 def cliffs_delta(hist: DataFrame, group: Sequence[str] = ("metric",), value: str = "value") -> DataFrame:
     """P(a > b) - P(a < b) per group, from U."""
     sums = rank_sums(hist, group, value)
-    delta = 2 * F.col("u") / (F.col("n_a").cast("double") * F.col("n_b")) - 1
+    delta = F.try_divide(2 * F.col("u"), F.col("n_a").cast("double") * F.col("n_b")) - 1
     return sums.select(*group, "n_a", "n_b", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), delta).alias("cliffs_delta"))
 
 

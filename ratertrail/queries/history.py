@@ -145,7 +145,7 @@ _REMAP = f"""select t.repo, t.sha, c.sha as candidate_sha from
 def _(spark, sf):
     commits = _with_meta(_commits(spark, sf))
     reached = commits.filter("status <> 'P'").select("repo", "sha")
-    return G.remap_commit(commits, _blobs(commits), commits.select("repo", "sha", F.lit("f").alias("path")), reached)
+    return G.remap_commit(commits, _blobs(commits), commits.select("repo", "sha", F.lit("f").alias("path")), reached).drop("path")
 
 
 @query("resolve_effective_commit", f"""{_REACH}, meta as (select *, {_META} from commits), remaps as ({_REMAP})

@@ -144,8 +144,7 @@ def _(spark, sf):
 @query("rank_features", dataset_sql("""select smell as feature, avg(loc) as mi, row_number() over (order by avg(loc) desc, smell) as place from dataset group by 1""").replace("avg(loc) as mi", "round(avg(loc), 6) as mi"))
 def _(spark, sf):
     scores = rounded(_dataset(spark, sf).groupBy(F.col("smell").alias("feature")).agg(F.avg("loc").alias("mi")), mi=6)
-    listed = M.rank_features(scores).collect()
-    return spark.createDataFrame([(r.feature, r.mi, i) for i, r in enumerate(listed, 1)], "feature string, mi double, place long")
+    return M.rank_features(scores)
 
 
 @query("split_by_threshold", dataset_sql("select instance_id, case when loc >= 15000 then 'kept' else 'dropped' end as side from dataset"))
@@ -154,11 +153,13 @@ def _(spark, sf):
     return kept.select("instance_id", F.lit("kept").alias("side")).unionByName(dropped.select("instance_id", F.lit("dropped").alias("side")))
 
 
-@query("feature_pairs", " union all ".join(f"select '{a}' as a, '{b}' as b, count(*) as n from lineitem where l_quantity > 0" for a, b in combinations(B.NUMERIC_FEATURES, 2)))
+# Each pair of features, with the rows that have both.
+@query("feature_pairs", dataset_sql(" union all ".join(f"select '{a}' as a, '{b}' as b, count(*) filter ({a} is not null and {b} is not null) as n from dataset" for a, b in combinations(B.NUMERIC_FEATURES, 2))))
 def _(spark, sf):
-    n = V.table(spark, sf, "lineitem").filter("l_quantity > 0").agg(F.count("*").alias("n"))
+    both = [F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n") for a, b in M.feature_pairs(B.NUMERIC_FEATURES)]
+    counts = _dataset(spark, sf).agg(F.array(*both).alias("n"))
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in M.feature_pairs(B.NUMERIC_FEATURES)])
-    return n.select(F.explode(pairs).alias("p"), "n").select("p.*", "n")
+    return counts.select(F.explode(F.arrays_zip(pairs.alias("p"), F.col("n"))).alias("z")).select("z.p.*", "z.n")
 
 
 # --- learners (rows only) -------------------------------------------------------------------

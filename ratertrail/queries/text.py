@@ -191,3 +191,38 @@ def _(spark, sf):
 @query("complexity_pipeline_failures", f"with {_PARTS} select cast(p_partkey as varchar) as instance_id, smell, 'complexity' as stage, 'no_join_match' as reason from p where lost")
 def _(spark, sf):
     return _complexity(spark, sf)[1].select("instance_id", "smell", "stage", "reason")
+
+
+# Brands are repositories: by the last digit of its name a brand is not cloned (5), fails at the tool (3), leaves unreadable
+# output (2) or fails at the checkout (4); of the last, 44 and 54 succeed at the commit that their content re-identifies.
+_FATE = """case right(p_brand, 1) when '5' then 'repo_not_cloned' when '4' then case when p_brand in ('Brand#44', 'Brand#54') then null else 'checkout_failed' end when '3' then 'ck_failed' when '2' then 'ck_output_unreadable' end"""
+
+
+@query("complexity_pipeline_provenance", f"""select cast(p_partkey as varchar) as instance_id, coalesce({_FATE}, case when p_partkey % 7 = 0 then 'no_join_match' end) as reason,
+  case when {_FATE} is null and p_partkey % 7 > 0 then 'c ' || p_brand end as original_commit_hash,
+  case when {_FATE} is null and p_partkey % 7 > 0 then case right(p_brand, 1) when '4' then 'd ' else 'c ' end || p_brand end as effective_commit_hash,
+  case when {_FATE} is null and p_partkey % 7 > 0 then right(p_brand, 1) = '4' end as commit_remapped from part""")
+def _(spark, sf):
+    """Every part as an instance of its brand: measured with its commits, or failed for one of five reasons."""
+    part = V.table(spark, sf, "part")
+    key, digit = F.col("p_partkey"), F.right("p_brand", F.lit(1))
+    name = F.concat(F.lit("p.C"), key)
+    classes = normalise_classes(part.select(F.col("p_brand").alias("repository"), key.alias("ordinal"), F.concat(F.lit("/w/"), key).alias("file"), name.alias("class"),
+                                            *[key.cast("double").alias(c) for c in ("wmc", "cbo", "dit", "noc", "rfc", "lcom", "loc", "totalMethodsQty", "totalFieldsQty")]), "/w")
+    methods = normalise_functions(spark.createDataFrame([], "repository string, ordinal long, class string, method string, cbo double, rfc double, loc double, wmc double"))
+    instances = part.select(
+        key.cast("string").alias("instance_id"), key.alias("sample_id"), F.lit("blob").alias("smell"), F.lit("none").alias("severity_consensus"), F.col("p_brand").alias("repository"),
+        F.concat(F.lit("c "), "p_brand").alias("commit_hash"), F.lit("/a").alias("path"), F.when(key % 7 == 0, "p.None").otherwise(name).alias("code_name"),
+    )
+    brands = part.select(F.col("p_brand").alias("repo"), digit.alias("digit")).distinct()
+    both = brands.select("repo", "digit", F.explode(F.array(F.lit("c "), F.lit("d "))).alias("c")).withColumn("sha", F.concat("c", "repo"))
+    commits = both.filter("c = 'c ' or digit = '4'").select("repo", "sha", F.lit("a").alias("author_email"), F.lit("t").alias("author_date"), F.lit("s").alias("subject"))
+    blobs = both.select("repo", "sha", F.lit("a").alias("path"), F.when(F.col("repo").isin("Brand#44", "Brand#54"), "same").otherwise(F.col("sha")).alias("content"))
+    checkouts = both.select("repo", "sha", ((F.col("c") == "d ") | (F.col("digit") != "4")).alias("ok"), F.lit("not our ref").alias("error"))
+    runs = brands.select("repo", (F.col("digit") != "3").alias("ok"), (F.col("digit") != "2").alias("readable"), F.lit("tool").alias("error"))
+    given = [cut_lineage(t) for t in (instances, classes, methods, brands.filter("digit <> '5'").select(F.col("repo").alias("repository")), checkouts, runs, commits, blobs)]
+    instances, classes, methods, cloned, checkouts, runs, commits, blobs = given
+    table, failures = complexity_table(instances, classes, methods, "0.7.0", None, cloned, checkouts, runs, commits, blobs)
+    none = F.lit(None).cast("string")
+    measured = table.select("instance_id", none.alias("reason"), "original_commit_hash", "effective_commit_hash", "commit_remapped")
+    return measured.unionByName(failures.select("instance_id", "reason", none.alias("original_commit_hash"), none.alias("effective_commit_hash"), F.lit(None).cast("boolean").alias("commit_remapped")))

@@ -14,8 +14,8 @@ n_reviewers int, severity_consensus string, severity_tied boolean, severity_valu
 
 PERSISTENCE = """instance_id string, sample_id long, smell string, severity_consensus string, repository string,
 path_at_label string, code_name string, original_commit_hash string, commit_remapped boolean,
-effective_commit_hash string, head_sha_used string, n_revisions_observed int, persistence_revisions int,
-persistence_days int, days_anomalous_negative boolean, censored boolean, death_reason string,
+effective_commit_hash string, head_sha_used string, n_revisions_observed long, persistence_revisions long,
+persistence_days long, days_anomalous_negative boolean, censored boolean, death_reason string,
 labelled_commit_date timestamp, death_commit string, death_commit_date timestamp, last_observed_commit string,
 last_observed_commit_date timestamp, proxy_method string"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,21 +24,37 @@ def _check_rows(df: DataFrame, expected: int | None) -> DataFrame:
     return df
 
 
+def _read_by_name(reader, path: str, schema: T.StructType, extra: dict[str, Column] | None = None) -> DataFrame:
+    """A headed file as text, its columns found by name and cast to the declared types; others are left out.
+
+    A declared column that the header lacks is an error; a value that doesn't fit its type is null.
+    """
+    raw = reader.load(path)
+    if missing := [f.name for f in schema if f.name not in raw.columns]:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema], *[c.alias(n) for n, c in (extra or {}).items()])
+
+
 def read_table(
-    spark: SparkSession, path: str, schema: str | T.StructType, format: str = "csv", multi_line: bool = True, **options: str
+    spark: SparkSession, path: str, schema: str | T.StructType, format: str = "csv", multi_line: bool = True, extra: dict[str, Column] | None = None, **options: str
 ) -> DataFrame:
-    """A table with a declared schema. ``multi_line=False`` lets large CSV files without line ends in fields be split."""
-    reader = spark.read.schema(schema)
+    """A table with a declared schema; CSV columns are found by the names in the header, whatever their order.
+
+    ``multi_line=False`` lets large CSV files without line ends in fields be split. ``extra`` adds
+    columns to CSV tables that may use the file's ``_metadata``.
+    """
     if format == "csv":
-        reader = reader.options(**{**CSV_OPTIONS, "multiLine": str(multi_line).lower()})
-    return reader.options(**options).format(format).load(path)
+        declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        reader = spark.read.format("csv").options(**{**CSV_OPTIONS, "multiLine": str(multi_line).lower(), **options})
+        return _read_by_name(reader, path, declared, extra)
+    return spark.read.schema(schema).options(**options).format(format).load(path)
 
 
 def read_reviews(
-    spark: SparkSession, path: str, schema: str = schemas.REVIEWS, format: str = "csv", expected_rows: int | None = None
+    spark: SparkSession, path: str, schema: str = schemas.REVIEWS, format: str = "csv", expected_rows: int | None = None, multi_line: bool = True
 ) -> DataFrame:
     """A review export; "first" among its rows is by ``review_timestamp, id``, a stated order rather than file order."""
-    return _check_rows(read_table(spark, path, schema, format), expected_rows)
+    return _check_rows(read_table(spark, path, schema, format, multi_line), expected_rows)
 
 
 def read_key_list(spark: SparkSession, path: str, name: str = "repository") -> DataFrame:
@@ -83,14 +99,32 @@ def read_model_results(spark: SparkSession, path: str, tasks: Sequence[str]) ->
 
 
 def load_metric_tables(
-    spark: SparkSession, class_path: str, method_path: str | None, base: str | None = None, format: str = "csv"
+    spark: SparkSession, class_path: str, method_path: str | None, base: str | None = None, format: str = "csv",
+    repository: str | Column | None = None, multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Class and method metric tables with their join keys; without a method table it is empty."""
-    classes = normalise_classes(read_table(spark, class_path, schemas.CLASS_METRICS, format), base)
+    """Class and method metric tables with their join keys, ``repository`` and the file order ``ordinal``.
+
+    Without a method table it is empty. ``repository`` names the repository of all rows, or is an
+    expression over ``_metadata``; by default it is the name of the file's folder, ``__`` for ``/``.
+    """
+    if repository is None:
+        repository = F.replace(F.element_at(F.split("_metadata.file_path", "/"), -2), F.lit("__"), F.lit("/"))
+    where = {
+        "repository": F.lit(repository) if isinstance(repository, str) else repository,
+        # The place of the row's split in its file, then of the row in the split.
+        "ordinal": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")),
+    }
+
+    def read(path: str, schema: str) -> DataFrame:
+        if format == "csv":
+            return read_table(spark, path, schema, multi_line=multi_line, extra=where)
+        return spark.read.format(format).load(path).select(*T._parse_datatype_string(schema).names, *[c.alias(n) for n, c in where.items()])
+
+    classes = normalise_classes(read(class_path, schemas.CLASS_METRICS), base)
     if method_path is None:
-        methods = spark.createDataFrame([], schemas.METHOD_METRICS)
+        methods = spark.createDataFrame([], schemas.METHOD_METRICS).select("*", *[F.lit(None).cast(t).alias(n) for n, t in classes.select(*where).dtypes])
     else:
-        methods = read_table(spark, method_path, schemas.METHOD_METRICS, format)
+        methods = read(method_path, schemas.METHOD_METRICS)
     return classes, normalise_functions(methods)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
 
 from ratertrail.operators.audit import pending_only
 from ratertrail.operators.dedupe import first_per_key
@@ -15,10 +14,11 @@ Operator = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The table at ``path``, or none if nothing was written there yet; other errors are not hidden."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return None
+    return spark.read.parquet(path)
 
 
 def process_batch(batch: DataFrame, key: str, operator: Operator, out_path: str, failed_path: str) -> None:
@@ -29,9 +29,13 @@ def process_batch(batch: DataFrame, key: str, operator: Operator, out_path: str,
     spark = batch.sparkSession
     done = _stored(spark, out_path)
     todo = batch if done is None else pending_only(batch, done, key)
-    results, failures = operator(todo)
-    append_table(results, out_path)
-    append_table(failures, failed_path)
+    todo = todo.persist()
+    try:
+        results, failures = operator(todo)
+        append_table(results, out_path)
+        append_table(failures, failed_path)
+    finally:
+        todo.unpersist()
 
 
 def process_incrementally(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ratertrail.operators.matching import normalise_classes, normalise_functions
-from ratertrail.plans.pipelines import complexity_table, persistence_table
-from ratertrail.sources import tables
+from ratertrail.operators.graph import remap_commit
+from ratertrail.plans.pipelines import _as_declared, complexity_table, persistence_table
+from ratertrail.sources import schemas, tables
 from ratertrail.streaming.incremental import process_incrementally
 
 T0 = datetime(2024, 1, 1)
@@ -107,6 +108,34 @@ def test_csv_keeps_flags_text_and_line_ends(spark, tmp_path):
         tables.read_reviews(spark, str(tmp_path / "t"), schema, expected_rows=3)
 
 
+def test_csv_is_read_by_name(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "o__r").mkdir()
+    (tmp_path / "m" / "o__r" / "class.csv").write_text("file,class,type,cbo,cboModified,fanin,fanout,wmc,dit,noc,rfc,lcom,loc,totalMethodsQty,totalFieldsQty\n/w/A.java,p.A$B,class,1,91,92,93,2,3,4,5,6,7,8,9\n/w/B.java,p.B,class,x,91,92,93,2,3,4,5,6,7,8,9\n")
+    classes, methods = tables.load_metric_tables(spark, str(tmp_path / "m" / "*" / "class.csv"), None, "/w")
+    a, b = classes.orderBy("ordinal").collect()
+    assert (a.repository, a.class_name, a.path, a.cbo, a.wmc, a.dit, a.noc, a.rfc, a.lcom, a.loc, a.totalMethodsQty, a.totalFieldsQty) == ("o/r", "p.A.B", "A.java", 1, 2, 3, 4, 5, 6, 7, 8, 9)
+    assert b.cbo is None and b.wmc == 2 and methods.count() == 0 and {"repository", "ordinal"} <= set(methods.columns)
+    (tmp_path / "s.csv").write_text("note,k\nseven,7\n")
+    assert tables.read_table(spark, str(tmp_path / "s.csv"), "k int, note string", multi_line=False).collect() == [(7, "seven")]
+    with pytest.raises(ValueError, match="lacks the columns missing"):
+        tables.read_table(spark, str(tmp_path / "s.csv"), "k int, missing string")
+
+
+def test_stage_tables_have_their_declared_types(spark, tmp_path):
+    for declared in (schemas.PERSISTENCE, schemas.COMPLEXITY, schemas.FAILURES):
+        empty = _as_declared(spark.createDataFrame([], declared), declared)
+        empty.write.parquet(str(tmp_path / str(len(declared))))
+        assert tables.read_table(spark, str(tmp_path / str(len(declared))), declared, "parquet").count() == 0
+
+
+def test_remap_is_verified_path_by_path(spark):
+    commits = spark.createDataFrame([("r", c, "a", "d", "s") for c in ("x", "y")], "repo string, sha string, author_email string, author_date string, subject string")
+    blobs = spark.createDataFrame([("r", "x", "p1", "same"), ("r", "y", "p1", "same"), ("r", "x", "p2", "one"), ("r", "y", "p2", "other"), ("r", "x", "p3", "t"), ("r", "y", "p3", "t")], "repo string, sha string, path string, content string")
+    targets = spark.createDataFrame([("r", "x", p) for p in ("p1", "p2", "p3")], "repo string, sha string, path string")
+    assert sorted(map(tuple, remap_commit(commits, blobs, targets).collect())) == [("r", "x", "p1", "y"), ("r", "x", "p3", "y")]
+
+
 def test_registry(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 120
