@@ -1,11 +1,12 @@
 """Running totals and ordinals that do not put a whole group into one task.
 
 A window partitioned by a group alone sorts that group in a single task, however large it is.
-Here each group is first cut into *bands*: ranges of the ordering value given by a fixed
-monotone expression. Totals per band are aggregated (with map-side combining), a small window
-over the bands turns them into offsets, and the fine window runs per ``(group, band)``.
-Bands depend on the row alone, so no sampling pass is needed and a retried task agrees
-with the first attempt.
+Here each group is first cut into *bands*: ranges of the ordering value. Totals per band are
+aggregated (with map-side combining), a small window over the bands turns them into offsets,
+and the fine window runs per ``(group, band)``. By default bands are Spark's own range
+partitions of the rows in question, tie-breakers included, so they follow the data; the banded
+table is written once, so a retried task agrees with the first attempt. Where the spread is known
+(uniform hashes, clock times), a fixed monotone expression saves that pass.
 """
 
 from __future__ import annotations
@@ -16,9 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ratertrail.session import cut_lineage
+
 BAND = "__band"
 
 
+def range_banded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``BAND``, which rises with ``keys`` (nulls first) and holds about equally many rows each, whatever the values."""
+    return cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys]).withColumn(BAND, F.spark_partition_id()))
+
+
 def magnitude_band(value: Column | str, per_unit: int = 256) -> Column:
     """Monotone band for metrics and scores: equal steps of the signed logarithm.
 
@@ -55,18 +63,19 @@ def running_totals(
     group: Sequence[str],
     order: Sequence[str | Column],
     sums: dict[str, str],
-    band: Column,
+    band: Column | None = None,
     descending: bool = False,
 ) -> DataFrame:
     """Add ``{name: inclusive running total of column}`` in ``order`` within ``group``.
 
-    ``order`` must be total within a group and ``band`` monotone in its first column; with
+    ``order`` must be total within a group and a given ``band`` monotone in its first column;
+    without one the rows are cut into ranges of ``group`` and ``order`` (column names then). With
     ``descending`` both run from the top.
     """
     group = list(group)
+    banded = range_banded(df, [*group, *order]) if band is None else df.withColumn(BAND, band)
     direction = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     order = [direction(o) if isinstance(o, str) else o for o in order]
-    banded = df.withColumn(BAND, band)
     per_band = banded.groupBy(*group, BAND).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     before = W.partitionBy(*group).orderBy(direction(BAND)).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_band.select(
@@ -81,7 +90,7 @@ def running_totals(
 
 
 def group_ordinal(
-    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], band: Column, name: str = "ordinal", start: int = 1
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], band: Column | None = None, name: str = "ordinal", start: int = 1
 ) -> DataFrame:
     """Row number within each group, hot groups spread over bands."""
     out = running_totals(df.withColumn("__one", F.lit(1).cast("long")), group, order, {name: "__one"}, band)

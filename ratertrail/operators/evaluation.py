@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratertrail.functions.ordering import join_null_safe, magnitude_band, running_totals
+from ratertrail.functions.ordering import join_null_safe, running_totals
 from ratertrail.functions.scalar import GRADES, ordinal_rank
 from ratertrail.operators import stats
 from ratertrail.operators.summaries import value_histogram
@@ -86,7 +86,7 @@ def macro_auc(df: DataFrame, truth: str, scores: dict[str, str | Column], group:
 def roc_curve(hist: DataFrame, group: Sequence[str] = ("label",), value: str = "score") -> DataFrame:
     """``group, threshold, fpr, tpr``: a point per distinct score and the origin (threshold null)."""
     group = list(group)
-    cum = running_totals(hist, group, [F.desc(value)], {"tp": "n_a", "fp": "n_b"}, magnitude_band(value), descending=True)
+    cum = running_totals(hist, group, [value], {"tp": "n_a", "fp": "n_b"}, descending=True)
     totals = hist.groupBy(*group).agg(F.sum("n_a").alias("pos"), F.sum("n_b").alias("neg"))
     share = lambda x, t: F.when(F.col(t) > 0, F.col(x) / F.col(t))
     points = join_null_safe(cum, totals, group).select(*group, F.col(value).alias("threshold"), share("fp", "neg").alias("fpr"), share("tp", "pos").alias("tpr"))

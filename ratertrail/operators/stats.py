@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratertrail.functions.ordering import join_null_safe, magnitude_band, running_totals
+from ratertrail.functions.ordering import join_null_safe, running_totals
 from ratertrail.functions.scalar import GRADES, case_recode, ordinal_rank
 from ratertrail.functions.tails import chi2_sf, normal_sf
 from ratertrail.operators.summaries import exact_median, long_form, pivot_labels, value_histogram
@@ -66,7 +66,7 @@ def chi_square_test(df: DataFrame, row: str, col: str, count: str | None = None)
 
 def average_rank(hist: DataFrame, group: Sequence[str], value: str, n: str = "n") -> DataFrame:
     """Adds ``avg_rank``: the mean rank of each value among all rows of its group."""
-    cum = running_totals(hist, group, [value], {"__cum": n}, magnitude_band(value))
+    cum = running_totals(hist, group, [value], {"__cum": n})
     return cum.withColumn("avg_rank", F.col("__cum") - F.col(n) + (F.col(n) + 1) / 2.0).drop("__cum")
 
 
@@ -150,7 +150,7 @@ def risk_table(df: DataFrame, time: str, event: Column, arm: Column, group: Sequ
     hist = base.groupBy(*group, time).agg(
         F.count_if(arm).alias("x_a"), F.count_if(~arm).alias("x_b"), F.count_if(arm & event).alias("d_a"), F.count_if(~arm & event).alias("d_b")
     )
-    left = running_totals(hist, group, [F.desc(time)], {"at_risk_a": "x_a", "at_risk_b": "x_b"}, magnitude_band(time), descending=True)
+    left = running_totals(hist, group, [time], {"at_risk_a": "x_a", "at_risk_b": "x_b"}, descending=True)
     return left.drop("x_a", "x_b", "__all")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratertrail.functions.ordering import join_null_safe, magnitude_band, running_totals
+from ratertrail.functions.ordering import join_null_safe, running_totals
 from ratertrail.functions.scalar import binary_flag, owner_group, pct
 
 
@@ -73,7 +73,7 @@ def exact_median(hist: DataFrame, group: Sequence[str], value: str, n: str = "n"
 
     Works on running counts, so no task ever holds all values of a group.
     """
-    cum = running_totals(hist, group, [value], {"__cum": n}, magnitude_band(value))
+    cum = running_totals(hist, group, [value], {"__cum": n})
     totals = hist.groupBy(*group).agg(F.sum(n).alias("__total"))
     placed = join_null_safe(cum, totals, group)
     low, high = F.floor((F.col("__total") + 1) / 2), F.floor(F.col("__total") / 2) + 1

@@ -37,6 +37,21 @@ def test_hot_group_is_split_over_bands(spark):
     assert out.groupBy("g").agg(F.count("*").alias("n"), F.max("ordinal").alias("m"), F.count_distinct("ordinal").alias("d")).filter("n <> m or n <> d").isEmpty()
 
 
+@pytest.mark.parametrize("value", ["id / 20000 * 0.0035", "if(id % 10 < 7, 0, id)", "1e6 + id / 20"])
+def test_ranges_follow_the_data(spark, value):
+    """Narrow values, ties and an offset divide as evenly as any others."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20000).select(F.lit("hot").alias("g"), "id", F.expr(value).cast("double").alias("v"))
+        sizes = [r["count"] for r in O.range_banded(df, ["g", "v", "id"]).groupBy(O.BAND).count().collect()]
+        assert len(sizes) >= 3 and max(sizes) < 2 * 20000 / len(sizes)
+        out = O.group_ordinal(df, ["g"], ["v", "id"])
+        assert out.agg(F.max("ordinal"), F.count_distinct("ordinal")).first() == (20000, 20000)
+        assert out.orderBy("v", "id").limit(1).first()["ordinal"] == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_time_ordinals_cross_days(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("g"), "id", F.timestamp_seconds(F.col("id") * 40_000 % 9_999_991).alias("ts"))
     got = O.group_ordinal(df, ["g"], ["ts", "id"], O.time_band("ts"), start=0).toPandas().sort_values(["g", "ts", "id"])
