@@ -30,8 +30,8 @@ def _shuffled(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
 
 
 def class_quotas(df: DataFrame, label: str, fraction: float) -> DataFrame:
-    """``label, n, quota``: test rows per class, ceil(fraction * n) in all, by largest remainder."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    """``label, n, quota``: test rows per class, ceil(fraction * n) in all, by largest remainder. Rows without a label don't count."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
     # A window over the class table, which has one row per class.
     everything = W.partitionBy(F.lit(0))
     total = F.sum("n").over(everything)
@@ -51,7 +51,8 @@ def _per_class(df: DataFrame, label: str, labels: Sequence[str] | None) -> DataF
 def stratified_split(
     df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int = 42, labels: Sequence[str] | None = None
 ) -> DataFrame:
-    """Adds ``is_test``. Rows of a class outside ``labels``, when given, are left out."""
+    """Adds ``is_test``. Rows without a label, or of a class outside ``labels`` when given, are left out first and count in no quota."""
+    df = df.filter(F.col(label).isNotNull() if labels is None else F.col(label).isin(*labels))
     quotas = _per_class(class_quotas(df, label, fraction).select(label, "quota"), label, labels)
     return _shuffled(df, label, key, seed).join(quotas, label).withColumn("is_test", F.col("__pos") <= F.col("quota")).drop("__pos", "quota")
 

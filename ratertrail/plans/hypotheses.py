@@ -52,10 +52,10 @@ def severity_vs_persistence(
     delta = stats.cliffs_delta(hist).select("cliffs_delta").scalar()
     logrank = stats.logrank_test(df, "persistence_revisions", ~F.col("censored"), arm)
     censoring = summaries.censoring_summary(df)
-    one = lambda frame, c: frame.select(c).scalar().alias(c)
-    return battery.select(
-        *[one(censoring, c) for c in ("n", "n_censored", "pct_censored")],
-        "*",
+    # The tests are null where an arm has too few rows; the censoring stands all the same.
+    tested = battery.select(F.struct("*")).scalar()
+    return censoring.select("n", "n_censored", "pct_censored", tested.alias("__tested")).select(
+        "n", "n_censored", "pct_censored", *[F.col(f"__tested.{c}") for c in battery.columns],
         delta.alias("cliffs_delta"),
         logrank.select("statistic").scalar().alias("logrank_statistic"),
         logrank.select("p_value").scalar().alias("logrank_p_value"),

@@ -38,6 +38,19 @@ def process_batch(batch: DataFrame, key: str, operator: Operator, out_path: str,
         todo.unpersist()
 
 
+def _finish_swap(spark: SparkSession, staging: str, failed_path: str) -> None:
+    """Put a complete staging table in the place of the failed rows, then remove it.
+
+    A run that ended in between left the staging table complete; the next run begins here, so no
+    open failure is lost. An incomplete one is left to be overwritten.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+        write_table(spark.read.parquet(staging), failed_path)
+        files.delete(folder, True)
+
+
 def process_incrementally(
     stream: DataFrame, key: str, operator: Operator, out_path: str, failed_path: str, checkpoint: str
 ) -> DataFrame:
@@ -47,17 +60,21 @@ def process_incrementally(
     are tried again first. A second run without new files adds nothing.
     """
     spark = stream.sparkSession
+    staging = f"{failed_path}-retry"
+    _finish_swap(spark, staging, failed_path)
     earlier = _stored(spark, failed_path)
     if earlier is not None:
         done = _stored(spark, out_path)
         once = first_per_key(earlier, [key], [c for c in earlier.columns if c != key])
-        open_rows = once if done is None else pending_only(once, done, key)
-        results, failures = operator(open_rows)
-        append_table(results, out_path)
-        # The failed rows are read from the path being replaced, so they go through a staging table.
-        staging = f"{failed_path}-retry"
-        write_table(failures, staging)
-        write_table(spark.read.parquet(staging), failed_path)
+        open_rows = (once if done is None else pending_only(once, done, key)).persist()
+        try:
+            results, failures = operator(open_rows)
+            append_table(results, out_path)
+            # The failed rows are read from the path being replaced, so they go through a staging table.
+            write_table(failures, staging)
+        finally:
+            open_rows.unpersist()
+        _finish_swap(spark, staging, failed_path)
     query = (
         stream.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)

@@ -113,3 +113,10 @@ def test_selection_keeps_one_of_two_copies(table):
     assert kept["mutual_information", "loc"] and kept["mutual_information", "rfc"] and not kept["mutual_information", "blob"]
     assert kept["correlation", "loc"] != kept["correlation", "rfc"]
     assert sum(r.kept for r in rows if r.stage == "recursive_elimination") == 1
+
+
+def test_rows_without_a_label_count_in_no_quota(spark):
+    df = spark.createDataFrame([(i, "a" if i < 4 else "b" if i < 6 else None) for i in range(10)], "id int, y string")
+    assert {r.y: r.n for r in splits.class_quotas(df, "y", 0.5).collect()} == {"a": 4, "b": 2}
+    out = splits.stratified_split(df, "y", "id", 0.5).collect()
+    assert len(out) == 6 and sum(r.is_test for r in out) == 3

@@ -37,6 +37,17 @@ def test_reruns_add_nothing_and_retry_failures(spark, tmp_path):
     assert spark.read.parquet(failed).isEmpty()
 
 
+def test_a_swap_cut_short_loses_no_failure(spark, tmp_path):
+    src, out, failed, check = (str(tmp_path / n) for n in ("in", "out", "failed", "check"))
+    spark.createDataFrame([(1, "x")], "k int, v string").write.parquet(src)
+    # The last run replaced the failed rows, but ended before it had written them anew.
+    spark.createDataFrame([(7, "open")], "k int, v string").write.parquet(failed + "-retry")
+    spark.createDataFrame([], "k int, v string").write.parquet(failed)
+    stream = spark.readStream.schema("k int, v string").parquet(src)
+    got = process_incrementally(stream, "k", lambda df: (df, df.limit(0)), out, failed, check).collect()
+    assert sorted(r.k for r in got) == [1, 7] and spark.read.parquet(failed).isEmpty()
+
+
 JAVA = "class A {\n%s}"
 GETTER, BRANCH = " int g() { return a; }\n", " int h() { if (a) { b(); } return 1; }\n"
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ratertrail.functions.scalar import GRADES
 from ratertrail.operators import evaluation as E
 from ratertrail.operators import stats, summaries
+from ratertrail.operators import stats as stats_module
+from ratertrail.plans.hypotheses import severity_vs_persistence
 
 
 def _arms(seed, na=37, nb=52):
@@ -128,3 +130,16 @@ def test_area_equals_trapezoids(spark):
 def test_first_listed_wins_a_tie(spark):
     df = spark.createDataFrame([("b", 0, 0.5), ("a", 1, 0.5), ("c", 2, 0.1)], "model string, at int, f1 double")
     assert E.best_by(df, "f1", "at", "model").first().model == "b"
+
+
+def test_persistence_with_an_empty_arm_still_counts_censoring(spark):
+    rows = [(str(i), "none", i, i % 2 == 0) for i in range(4)]
+    df = spark.createDataFrame(rows, "instance_id string, severity_consensus string, persistence_revisions long, censored boolean")
+    row = severity_vs_persistence(df, df).first()
+    assert (row["n"], row["n_censored"]) == (4, 2) and row["cliffs_delta"] is None
+
+
+def test_rank_test_of_a_single_row(spark):
+    hist = spark.createDataFrame([("m", 1.0, 1, 0, 1)], "metric string, value double, n_a long, n_b long, n long")
+    assert stats_module.mann_whitney(hist).first()["z"] is None
+    assert stats_module.cliffs_delta(hist).first()["cliffs_delta"] is None
