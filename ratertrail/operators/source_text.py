@@ -194,6 +194,21 @@ def list_functions(body: pd.Series) -> pd.Series:
     return body.map(function_list, na_action="ignore")
 
 
+@F.pandas_udf(T.StructType([T.StructField("span", SPAN_TYPE), T.StructField("functions", FUNCTIONS_TYPE)]))
+def _read_entity(text: pd.Series, class_name: pd.Series, function_name: pd.Series, n_params: pd.Series) -> pd.DataFrame:
+    """The span of a class and its functions, or of a function (class name null), in one pass over the text."""
+    spans, functions = [], []
+    for t, c, f, p in zip(text, class_name, function_name, n_params):
+        on_class, span = isinstance(c, str), None
+        if isinstance(t, str) and on_class:
+            span = class_span(t, c)
+        elif isinstance(t, str) and isinstance(f, str):
+            span = function_span(t, f, None if pd.isna(p) else int(p))
+        spans.append(span)
+        functions.append(function_list(span["body"]) if span and on_class else None)
+    return pd.DataFrame({"span": pd.Series(spans, dtype=object), "functions": pd.Series(functions, dtype=object)})
+
+
 def span_lines(span: Column) -> Column:
     return span["end_line"] - span["start_line"] + 1
 
@@ -235,18 +250,15 @@ def entity_status(
     """Adds ``alive, holds``: whether the named entity is in the text, and whether its smell's condition holds."""
     conditions = CONDITIONS if conditions is None else conditions
     on_class = F.col(smell).isin(*CLASS_SMELLS)
-    text = F.col(content)
     fn = parse_function_name(code_name)
-    spans = df.withColumns({
-        "__c": find_class_span(F.when(on_class, text), parse_class_name(code_name)),
-        "__f": find_function_span(F.when(~on_class, text), fn["function_name"], fn["n_params"]),
-    }).withColumn("__span", F.coalesce("__c", "__f"))
-    listed = spans.withColumn("__fns", list_functions(F.when(on_class, F.col("__span.body"))))
+    class_name = F.when(on_class, F.coalesce(parse_class_name(code_name), F.lit("")))
+    read = _read_entity(F.col(content), class_name, F.when(~on_class, fn["function_name"]), fn["n_params"])
+    listed = df.withColumn("__read", read).withColumns({"__span": _or_null(F.col("__read.span")), "__fns": F.col("__read.functions")})
     holds = F.lit(None).cast("boolean")
     for name, condition in conditions.items():
         holds = F.when(F.col(smell) == name, condition(F.col("__span"), F.col("__fns"))).otherwise(holds)
     alive = F.col("__span").isNotNull()
-    return listed.withColumns({"alive": alive, "holds": F.when(alive, holds)}).drop("__c", "__f", "__span", "__fns")
+    return listed.withColumns({"alive": alive, "holds": F.when(alive, holds)}).drop("__read", "__span", "__fns")
 
 
 def status_by_revision(revisions: DataFrame, blobs: DataFrame, conditions: dict[str, Callable] | None = None) -> DataFrame:
@@ -254,12 +266,12 @@ def status_by_revision(revisions: DataFrame, blobs: DataFrame, conditions: dict[
 
     Texts are compared by digest; each distinct text is fetched once, for the entities asked of it.
     """
-    digests = content_digests(blobs)
-    keyed = revisions.join(digests, ["repo", "sha", "path"], "left")
+    key = ["repo", "sha", "path"]
+    digests = content_digests(blobs.join(revisions.select(*key).distinct(), key, "left_semi"))
+    keyed = revisions.join(digests, key, "left")
     asked = keyed.filter(F.col("digest").isNotNull()).select("digest", "smell", "code_name").distinct()
-    holder = digests.groupBy("digest").agg(F.min(F.struct("repo", "sha", "path")).alias("at"))
-    holder = holder.join(asked.select("digest").distinct(), "digest", "left_semi").select("digest", "at.repo", "at.sha", "at.path")
-    texts = holder.join(blobs, ["repo", "sha", "path"]).select("digest", "content")
+    holder = keyed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct(*key)).alias("at")).select("digest", "at.*")
+    texts = holder.join(blobs, key).select("digest", "content")
     judged = entity_status(asked.join(texts, "digest"), "content", "smell", "code_name", conditions).drop("content")
     return (
         keyed.join(judged, ["digest", "smell", "code_name"], "left")
