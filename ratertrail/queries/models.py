@@ -1,7 +1,7 @@
 """Queries on splits, classifiers and feature selection.
 
-Learners have no SQL equivalent; their queries run with fewer trees and rounds than the library's
-defaults, over all rows. Everything around them (splits, weights, matrices, information) has one.
+What learners predict has no SQL equivalent; their queries run with fewer trees and rounds than the
+library's defaults, over all rows, and SQL checks the rows tested and the form of their scores. Everything around them (splits, weights, matrices, information) has one.
 """
 
 from __future__ import annotations
@@ -162,39 +162,47 @@ def _(spark, sf):
     return counts.select(F.explode(F.arrays_zip(pairs.alias("p"), F.col("n"))).alias("z")).select("z.p.*", "z.n")
 
 
-# --- learners (rows only) -------------------------------------------------------------------
+# --- learners -------------------------------------------------------------------------------
 
+# Which rows are tested, and their truth, is exact; what is predicted for them is checked for its form.
+_TESTED = dataset_sql(f"""select instance_id, severe_binary as truth, true as label_valid, true as score_valid
+  from (select *, row_number() over (partition by severe_binary order by {_HASH.format(seed=42)}, instance_id) as pos from dataset) join quotas using (severe_binary) where pos <= quota""",
+  _QUOTAS.replace("severity_consensus", "severe_binary"))
 
-def _predict(spark, sf, last_stages):
+
+def _predict(spark, sf, last_stages, probabilities=True):
     split = cut_lineage(splits.stratified_split(_dataset(spark, sf), "severe_binary", "instance_id"))
     vectors = B.prepare(split.filter("not is_test"), split.filter("is_test"), "severe_binary", LABELS, B.NUMERIC_FEATURES, B.CATEGORICAL_FEATURES, keep=["instance_id"])
     out = B.fit_and_score(*vectors, LABELS, last_stages)
-    return out.select("instance_id", "truth", "prediction_label", F.col("scores")[1].alias("score"))
+    finite = (F.size("scores") == len(LABELS)) & F.forall("scores", lambda s: s.isNotNull() & ~F.isnan(s))
+    total = F.aggregate("scores", F.lit(0.0), lambda a, s: a + s)
+    fair = F.forall("scores", lambda s: (s >= 0) & (s <= 1)) & (F.abs(total - 1) < 1e-9) if probabilities else F.lit(True)
+    return out.select("instance_id", "truth", F.col("prediction_label").isin(*LABELS).alias("label_valid"), (finite & fair).alias("score_valid"))
 
 
-@query("model_rf")
+@query("model_rf", _TESTED)
 def _(spark, sf):
     return _predict(spark, sf, B.model_rf(QUICK_TREES, QUICK_DEPTH))
 
 
-@query("model_extra_trees")
+@query("model_extra_trees", _TESTED)
 def _(spark, sf):
     return _predict(spark, sf, B.model_extra_trees(QUICK_TREES, QUICK_DEPTH))
 
 
-@query("model_gbt")
+@query("model_gbt", _TESTED)
 def _(spark, sf):
-    return _predict(spark, sf, B.model_gbt(5))
+    return _predict(spark, sf, B.model_gbt(5), probabilities=False)
 
 
-@query("model_logreg")
+@query("model_logreg", _TESTED)
 def _(spark, sf):
     return _predict(spark, sf, B.model_logreg(max_iter=50))
 
 
-@query("model_svm")
+@query("model_svm", _TESTED)
 def _(spark, sf):
-    return _predict(spark, sf, B.model_svm(size=64, max_iter=20))
+    return _predict(spark, sf, B.model_svm(size=64, max_iter=20), probabilities=False)
 
 
 @query("evaluate_models")

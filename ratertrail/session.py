@@ -42,8 +42,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, for stage tables."""
-    return f"{shared_folder(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
+    """A fresh path for a stage table, below this application's own folder in the shared one."""
+    return f"{run_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
+
+
+def run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/ratertrail-{spark.sparkContext.applicationId}"
+
+
+def remove_stage_tables(spark: SparkSession) -> None:
+    """Delete all stage tables of this application; call it when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

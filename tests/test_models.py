@@ -120,3 +120,12 @@ def test_rows_without_a_label_count_in_no_quota(spark):
     assert {r.y: r.n for r in splits.class_quotas(df, "y", 0.5).collect()} == {"a": 4, "b": 2}
     out = splits.stratified_split(df, "y", "id", 0.5).collect()
     assert len(out) == 6 and sum(r.is_test for r in out) == 3
+
+
+def test_elimination_keeps_the_telling_feature(spark):
+    rng = random.Random(5)
+    rows = [(i, "severe" if i % 3 == 0 else "not_severe", float(i % 3 == 0) + rng.random() * 0.5, rng.random(), rng.random()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, y string, telling double, noise_a double, noise_b double")
+    rounds = M.rfe_cv(df, ["noise_a", "telling", "noise_b"], "y", ["not_severe", "severe"], "id", folds=2, num_trees=5, max_depth=3)
+    assert [len(f) for f, _ in rounds] == [3, 2, 1] and rounds[-1][0] == ["telling"] and rounds[-1][1] > 0.9
+    assert all(set(b) < set(a) for (a, _), (b, _) in zip(rounds, rounds[1:]))

@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from ratertrail.operators.matching import normalise_classes, normalise_functions
 from ratertrail.operators.graph import remap_commit
 from ratertrail.plans.pipelines import _as_declared, complexity_table, persistence_table
+from ratertrail.session import run_folder, scratch_path
 from ratertrail.sources import schemas, tables
 from ratertrail.streaming.incremental import process_incrementally
 
@@ -147,6 +148,11 @@ def test_remap_is_verified_path_by_path(spark):
     assert sorted(map(tuple, remap_commit(commits, blobs, targets).collect())) == [("r", "x", "p1", "y"), ("r", "x", "p3", "y")]
 
 
+def test_stage_tables_are_removed_together(spark, tmp_path):
+    path = scratch_path(spark, "x")
+    assert path.startswith(run_folder(spark)) and spark.sparkContext.applicationId in path
+
+
 def test_registry(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 120
