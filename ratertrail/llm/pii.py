@@ -160,7 +160,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     A column ``n_chars`` follows the new text.
     """
     mark = "pii_spans"
-    while mark in docs.columns:
+    while mark in docs.columns or f"{mark}_kept" in docs.columns:
         mark += "_"
     found = find_spans(docs, text, mark)
     t, s = F.col(f"`{text}`"), F.col(mark)
@@ -171,8 +171,8 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, x: F.when(x["start"] >= a["upto"], F.struct(x["end"].alias("upto"), F.concat(a["kept"], F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias("kept")))
         .otherwise(F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), F.concat(F.slice(a["kept"], 1, F.size(a["kept"]) - 1), F.array(F.struct(F.element_at(a["kept"], -1)["start"].alias("start"), F.greatest(a["upto"], x["end"]).alias("end"), F.element_at(a["kept"], -1)["kind"].alias("kind")))).alias("kept"))),
     )["kept"]
-    found = found.select("*", F.explode(F.array(kept)).alias("kept_spans_"))
-    k = F.col("kept_spans_")
+    found = found.select("*", F.explode(F.array(kept)).alias(f"{mark}_kept"))
+    k = F.col(f"{mark}_kept")
     piece = lambda x, i: F.concat(F.substring(t, (F.coalesce(F.get(k, i - 1)["end"], F.lit(0)) + 1).cast("int"), (x["start"] - F.coalesce(F.get(k, i - 1)["end"], F.lit(0))).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))
     rest = F.substring(t, (F.element_at(k, -1)["end"] + 1).cast("int"), F.char_length(t))
     new = F.when(F.size(k) > 0, F.concat(F.array_join(F.transform(k, piece), ""), rest)).otherwise(t)

@@ -89,8 +89,8 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 def bucket_weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``bucket, weight``: log of the trusted over the corpus probability, for the buckets seen; counted over all texts."""
     # The trusted ids are bounded by their limit.
-    marked = docs.join(F.broadcast(trusted), F.col(f"`{key}`") == F.col("trusted_id"), "left")
-    hashed = marked.select(F.when(F.col("trusted_id").isNotNull(), 1).otherwise(0).alias("good"), _held(token_hashes(F.col(f"`{text}`"))).alias("hashes"))
+    marked = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(trusted), F.col("key") == F.col("trusted_id"), "left")
+    hashed = marked.select(F.when(F.col("trusted_id").isNotNull(), 1).otherwise(0).alias("good"), _held(token_hashes(F.col("text"))).alias("hashes"))
     grams = hashed.select("good", F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"))
     counts = cut_lineage(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("n_good")))
     totals = counts.agg(F.sum("n").alias("total"), F.sum("n_good").alias("total_good")).first()

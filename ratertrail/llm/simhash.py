@@ -143,5 +143,5 @@ def keep_first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     found = cut_lineage(near_duplicates(docs, key, text))
     firsts = found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_key")).count()
-    kept = docs.join(firsts, F.col(f"`{key}`").eqNullSafe(F.col("kept_key")), "left_semi")
+    kept = docs.join(firsts, docs[f"`{key}`"].eqNullSafe(firsts["kept_key"]), "left_semi")
     return kept.dropDuplicates([key]) if firsts.filter("count > 1").limit(1).count() else kept

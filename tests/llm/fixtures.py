@@ -22,7 +22,7 @@ def odd_documents(spark, n_random=60, clash=True):
     rows += [rows[5], rows[5], (None, "null key 7@x.y", None, None, None), (901, rows[5][1], "en", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     if clash:
-        for c in ("row", "doc", "spans", "shard", "slot", "bucket", "rules", "quality", "blocks", "licenses", "overlap", "score", "toxicity", "token_ids", "fingerprint", "words", "lines", "entry"):
+        for c in ("row", "doc", "spans", "shard", "slot", "bucket", "rules", "quality", "blocks", "licenses", "overlap", "score", "toxicity", "token_ids", "fingerprint", "words", "lines", "entry", "kept_key", "trusted_id", "pii_spans", "pii_spans_kept", "key"):
             df = df.withColumn(c, F.lit("mine"))
     return df
 
