@@ -11,7 +11,7 @@ members that share such a point z are linked, which is linear in the group: no p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -136,12 +136,12 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the least of their component, one row for each such key.
+def keep_first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``docs`` whose key is the least of their component by ``find``, one row for each such key.
 
     Rows with a null key are kept only if their component has no other key, one of them.
     """
-    found = cut_lineage(near_duplicates(docs, key, text))
+    found = cut_lineage(find(docs, key, text))
     firsts = found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_key")).count()
     kept = docs.join(firsts, docs[f"`{key}`"].eqNullSafe(firsts["kept_key"]), "left_semi")
     return kept.dropDuplicates([key]) if firsts.filter("count > 1").limit(1).count() else kept
