@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE = 40, 32
+WINDOW, STRIDE = 40, 20
 WORD_DIM, CHAR_DIM, HIDDEN = 4, 16, 8
 BUCKETS = 4096
 #: Words of the training sample with an embedding of their own: the most frequent, seen in this many texts at least.
