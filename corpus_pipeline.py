@@ -2,6 +2,12 @@
 
 Each stage is a function of ``(spark, docs, sf_dir)`` and works on all that the one before it kept.
 All but the last return the columns of the documents; the last adds the token ids.
+
+In every stage null and empty texts are texts without words: they are never toxic or contaminated, share
+one fingerprint (so one of them stays, that of the least id), hold no personal data and encode to no ids.
+Repeated rows are judged alike; the near-duplicate stage keeps one of them. A null id is kept by the
+near-duplicate stage only where its component has no other. Columns besides ``doc_id`` and ``text`` are
+passed on whatever their names. An empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from ratertrail.llm import byte_bpe, decontaminate, near_copies, pii, simhash, toxicity
+from ratertrail.llm import byte_bpe, decontaminate, pii, simhash, toxicity
 from ratertrail.session import cut_lineage
 
 #: Scores of a trained network and a tokenizer's merges have no SQL form; the stages are tested against brute force.
@@ -26,8 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word Jaccard similarity of 0.8 or more) stays, that of the least id."""
-    return simhash.keep_first_of_each(docs, find=near_copies.near_copies)
+    """One document of each component of fingerprints (shingles of three words, linked at two or fewer differing bits) stays, that of the least id."""
+    return simhash.keep_first_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
