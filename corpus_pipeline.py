@@ -3,7 +3,7 @@
 Each stage is a function of ``(spark, docs, sf_dir)`` and works on all that the one before it kept.
 All but the last return the columns of the documents; the last adds the token ids.
 
-In every stage null and empty texts are texts without words: they are never toxic or contaminated, share
+In every stage null and empty texts are texts without words: they are scored like others, never contaminated, share
 one fingerprint (so one of them stays, that of the least id), hold no personal data and encode to no ids.
 Repeated rows are judged alike; the near-duplicate stage keeps one of them. A null id is kept by the
 near-duplicate stage only where its component has no other. Columns besides ``doc_id`` and ``text`` are
