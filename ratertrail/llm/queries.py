@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratertrail.llm import byte_bpe, chat_format, decontaminate, license_scan, pii, quality, sharding, simhash, token_counts, toxicity
+from ratertrail.llm import byte_bpe, chat_format, decontaminate, license_scan, pii, quality, sharding, simhash, spelling, token_counts, toxicity, url_rules, whitening
 from ratertrail.queries.registry import query
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -123,3 +123,48 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
     return chat_format.digests(chat_format.windows(given.unionByName(more)))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its near words, its form and the end of its forms."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The rules that pages are judged by.
+URL_RULES = "values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')"
+
+
+@query(
+    "op12_url_filters",
+    f"""
+    with rules(r_host, r_path, r_verdict) as ({URL_RULES}),
+    cut as (
+        select page_id, row_number() over () as row, case when instr(url, '://') > 0 then substring(url, instr(url, '://') + 3) else '' end as rest
+        from pages
+    ),
+    parts as (
+        select page_id, row, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+        from cut
+    ),
+    best as (
+        select row, max_by(r_host || r_path, length(r_host || r_path)) as rule, max_by(r_verdict, length(r_host || r_path)) as verdict
+        from parts join rules on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path)
+        group by row
+    )
+    select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join best using (row)
+    """,
+)
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and the verdict of every page's URL."""
+    rules = spark.sql(f"select * from ({URL_RULES}) as rules(host, path, verdict)")
+    judged = url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "judged.*")
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation as long)"))
