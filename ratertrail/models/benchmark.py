@@ -1,28 +1,21 @@
-"""Severity classifiers on Spark ML and their comparison.
-
-Three learners have no exact Spark counterpart and are named approximations in
-``ESTIMATOR_NOTES``: boosting is one-vs-rest, extra trees are forests on whole samples with
-few split candidates, and the kernel SVM is linear on random Fourier features.
-"""
+"""The comparison of severity classifiers: all learners, cross-validated and tested on the same split."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.ml import Estimator, Pipeline, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratertrail.functions.scalar import severe_flag
-from ratertrail.models.splits import balanced_weights, stratified_folds, stratified_split
+from ratertrail.models.learners import Boosting, Forest, KernelMachine, Learner, Logistic, predictions
+from ratertrail.models.matrix import Matrix, build_matrix, category_values, indicators
+from ratertrail.models.splits import stratified_split
+from ratertrail.operators.evaluation import best_by, classification_metrics, confusion_array, confusion_matrix, macro_auc, roc_by_class
+from ratertrail.operators.order_statistics import medians
 from ratertrail.session import cut_lineage
-from ratertrail.operators.evaluation import classification_metrics, confusion_matrix, macro_auc
 
 # Model inputs and the seed of all splits and learners.
 NUMERIC_FEATURES = (
@@ -32,11 +25,11 @@ CATEGORICAL_FEATURES = ("smell", "is_from_industry_relevant_project_raw")
 SEED = 42
 
 ESTIMATOR_NOTES = {
-    "Random Forest": "tree depth at most 30",
-    "Gradient Boosting": "one-vs-rest of binary boosted trees",
-    "Extra Trees": "approximation: forest without bootstrap and with few split candidates per feature",
-    "Logistic Regression": "ridge penalty 1/n",
-    "SVM": "approximation: one-vs-rest linear SVM on random Fourier features of the RBF kernel",
+    "Random Forest": "best cuts between at most 255 bins a column; depth at most 30; samples with repetition are Poisson draws",
+    "Gradient Boosting": "best cuts between at most 255 bins a column; gradients in units of a millionth",
+    "Extra Trees": "depth at most 30",
+    "Logistic Regression": "Newton's method instead of a quasi-Newton one; the optimum is the same",
+    "SVM": "kernel on 256 landmark rows; squared hinge; one label against the rest",
 }
 
 
@@ -48,173 +41,130 @@ def model_dataset(instances: DataFrame, complexity: DataFrame, metrics: Sequence
     return joined.withColumns({flag: F.col(flag).cast("string"), "severe_binary": severe_flag(grade)})
 
 
-class RandomFourierModel(Transformer):
-    """Random features for a width that is known."""
-
-    def __init__(self, inputCol: str, outputCol: str, size: int, gamma: float, seed: int):
-        super().__init__()
-        self.inputCol, self.outputCol, self.size, self.gamma, self.seed = inputCol, outputCol, size, gamma, seed
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        size, gamma, seed = self.size, self.gamma, self.seed
-
-        @F.pandas_udf("array<double>")
-        def project(rows: pd.Series) -> pd.Series:
-            if rows.empty:
-                return pd.Series([], dtype=object)
-            x = np.stack(rows.to_numpy())
-            rng = np.random.default_rng(seed)
-            directions = rng.normal(scale=np.sqrt(2 * gamma), size=(x.shape[1], size))
-            shifts = rng.uniform(0, 2 * np.pi, size)
-            return pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ directions + shifts)))
-
-        return df.withColumn(self.outputCol, array_to_vector(project(vector_to_array(self.inputCol))))
-
-
-class RandomFourierFeatures(Estimator):
-    """Random features whose inner products approximate the RBF kernel (Rahimi and Recht, 2007).
+def selection_matrix(df: DataFrame, key: str, target: str, numeric: Sequence[str] = NUMERIC_FEATURES,
+                     categorical: Sequence[str] = CATEGORICAL_FEATURES) -> tuple[DataFrame, list[str], list[str]]:
+    """One flat table of numbers: ``key, target``, numeric columns with exact medians for unknown values, an indicator for each category.
 
-    Without ``gamma`` it is one over the number of inputs times the variance of all their training values.
+    Also the names of the numeric columns and of the indicators (``column_value``).
     """
+    fills, hot = medians(df, numeric), indicators(category_values(df, categorical))
+    known = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+    filled = [F.coalesce(known(c), F.lit(fills.get(("all", c)))).alias(c) for c in numeric]
+    return df.select(key, target, *filled, *[v.alias(c) for c, v in hot.items()]), list(numeric), list(hot)
+
+
+# Registry of learners: name to a function of the matrix. Open to additions.
+ESTIMATORS: dict[str, Callable[[Matrix], Learner]] = {
+    "Random Forest": lambda m: Forest(m.cuts, n_trees=300, seed=SEED),
+    "Gradient Boosting": lambda m: Boosting(m.cuts, seed=SEED),
+    "Extra Trees": lambda m: Forest(m.cuts, extra=True, n_trees=300, seed=SEED),
+    "Logistic Regression": lambda m: Logistic(),
+    "SVM": lambda m: KernelMachine(),
+}
 
-    def __init__(self, inputCol: str = "features", outputCol: str = "kernel_features", size: int = 256, gamma: float | None = None, seed: int = SEED):
-        super().__init__()
-        self.inputCol, self.outputCol, self.size, self.gamma, self.seed = inputCol, outputCol, size, gamma, seed
-
-    def _fit(self, df: DataFrame) -> RandomFourierModel:
-        gamma = self.gamma
-        if gamma is None:
-            values = df.select(F.size(vector_to_array(self.inputCol)).alias("p"), F.explode(vector_to_array(self.inputCol)).alias("x"))
-            seen = values.agg(F.max("p").alias("p"), F.var_pop("x").alias("v")).first()
-            gamma = 1.0 / (seen["p"] * seen["v"]) if seen["p"] and seen["v"] else 1.0
-        return RandomFourierModel(self.inputCol, self.outputCol, self.size, gamma, self.seed)
-
-
-def feature_stages(numeric: Sequence[str], categorical: Sequence[str], output: str = "features") -> list:
-    """Median impute and standardise numbers, one-hot encode labels; an unseen label becomes all zeros."""
-    imputed = [f"{c}__imp" for c in numeric]
-    stages: list = [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=imputed, relativeError=1e-4),
-        VectorAssembler(inputCols=imputed, outputCol="__numbers"),
-        StandardScaler(withMean=True, withStd=True, inputCol="__numbers", outputCol="__scaled"),
-    ]
-    if not categorical:
-        return stages[:-1] + [StandardScaler(withMean=True, withStd=True, inputCol="__numbers", outputCol=output)]
-    # "keep" adds a slot for unseen labels and dropLast removes it again.
-    indexed, encoded = [f"{c}__ix" for c in categorical], [f"{c}__hot" for c in categorical]
-    return stages + [
-        StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep"),
-        OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
-        VectorAssembler(inputCols=["__scaled", *encoded], outputCol=output),
-    ]
-
-
-def model_rf(num_trees: int = 300, max_depth: int = 30, seed: int = SEED) -> list:
-    return [RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed)]
-
-
-def model_gbt(iterations: int = 100, seed: int = SEED) -> list:
-    return [OneVsRest(classifier=GBTClassifier(maxIter=iterations, maxDepth=3, stepSize=0.1, seed=seed))]
 
+def all_predictions(matrix: Matrix, estimators: Mapping[str, Callable[[Matrix], Learner]] = ESTIMATORS) -> tuple[DataFrame, dict[str, float]]:
+    """``model, fit, id, key, truth, prediction_label, scores`` of every learner, fold and the test rows, written; and seconds by learner."""
+    done, seconds = [], {}
+    for name, make in estimators.items():
+        start = time.time()
+        done.append(cut_lineage(predictions(matrix, make(matrix))).select(F.lit(name).alias("model"), "*"))
+        seconds[name] = time.time() - start
+    return reduce(DataFrame.unionByName, done), seconds
 
-def model_extra_trees(num_trees: int = 300, max_depth: int = 30, max_bins: int = 16, seed: int = SEED) -> list:
-    return [RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", bootstrap=False,
-                                   maxBins=max_bins, weightCol="weight", seed=seed)]
 
+def _scored(predicted: DataFrame, labels: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """Long ``group, metric, value`` of the matrix scores and the AUC."""
+    counts = confusion_matrix(predicted, "truth", "prediction_label", labels, group)
+    points = classification_metrics(counts, "truth", "prediction_label", group)
+    wide = points.join(macro_auc(predicted, "truth", _asked(labels), group), list(group), "left")
+    return wide.unpivot(list(group), ["accuracy", "precision_macro", "recall_macro", "f1_macro", "auc"], "metric", "value")
 
-class RidgeByRows(Estimator):
-    """Logistic regression whose ridge penalty is one over the number of training rows; inputs are scaled before."""
 
-    def __init__(self, max_iter: int = 2000):
-        super().__init__()
-        self.max_iter = max_iter
+def _asked(labels: Sequence[str]) -> dict:
+    """The scores that are compared with the labels: that of the second one alone, where there are two."""
+    return {labels[1]: F.col("scores")[1]} if len(labels) == 2 else {l: F.col("scores")[i] for i, l in enumerate(labels)}
 
-    def _fit(self, df: DataFrame):
-        learner = LogisticRegression(family="multinomial", maxIter=self.max_iter, regParam=1.0 / max(1, df.count()), standardization=False, weightCol="weight")
-        return learner.fit(df)
 
+# Names of the metrics in result documents.
+TEST_METRICS = {
+    "accuracy": "test_accuracy",
+    "precision_macro": "test_precision_macro",
+    "recall_macro": "test_recall_macro",
+    "f1_macro": "test_f1_macro",
+    "auc": "test_roc_auc",
+}
 
-def model_logreg(max_iter: int = 2000) -> list:
-    return [RidgeByRows(max_iter)]
 
+def model_metrics(predicted: DataFrame, labels: Sequence[str], last: int) -> DataFrame:
+    """``model, metric, value``: the scores on the test rows, and mean and spread of the folds' macro-F1 and accuracy.
 
-def model_svm(size: int = 256, max_iter: int = 100, reg: float = 1e-3, seed: int = SEED) -> list:
-    linear = LinearSVC(maxIter=max_iter, regParam=reg, featuresCol="kernel_features", weightCol="weight")
-    return [RandomFourierFeatures(size=size, seed=seed), OneVsRest(classifier=linear, featuresCol="kernel_features", weightCol="weight")]
+    ``last`` is the number of the fit that was asked for the test rows; all others are folds.
+    """
+    out = _scored(predicted.filter(F.col("fit") == last), labels, ["model"]).replace(TEST_METRICS, subset=["metric"])
+    per_fold = _scored(predicted.filter(F.col("fit") != last), labels, ["model", "fit"]).filter(F.col("metric").isin("f1_macro", "accuracy"))
+    spread = per_fold.groupBy("model", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    cv = spread.unpivot(["model", "metric"], ["mean", "std"], "stat", "value")
+    return out.unionByName(cv.select("model", F.concat_ws("_", F.lit("cv"), "metric", "stat").alias("metric"), "value"))
 
 
-# Registry of learners: name to a function returning the last stages of a pipeline. Open to additions.
-ESTIMATORS: dict[str, Callable[..., list]] = {
-    "Random Forest": model_rf,
-    "Gradient Boosting": model_gbt,
-    "Extra Trees": model_extra_trees,
-    "Logistic Regression": model_logreg,
-    "SVM": model_svm,
-}
+def evaluate_models(df: DataFrame, target: str, labels: Sequence[str], key: str, numeric: Sequence[str] = NUMERIC_FEATURES,
+                    categorical: Sequence[str] = CATEGORICAL_FEATURES, estimators: Mapping[str, Callable[[Matrix], Learner]] = ESTIMATORS,
+                    task: str | None = None, folds: int = 5, seed: int = SEED) -> DataFrame:
+    """Cross-validate, fit and test every learner: ``task, model, metric, value``.
 
+    All folds of a learner, and its fit on all training rows, run beside each other; the driver goes from
+    learner to learner. ``folds=0`` leaves cross-validation out.
+    """
+    matrix = build_matrix(df, target, labels, key, numeric, categorical, folds, seed=seed)
+    predicted, _ = all_predictions(matrix, estimators)
+    return model_metrics(predicted, labels, len(matrix.fits) - 1).select(F.lit(task or target).alias("task"), "model", "metric", "value")
 
-def prepare(train: DataFrame, test: DataFrame, target: str, labels: Sequence[str], numeric: Sequence[str], categorical: Sequence[str],
-            keep: Sequence[str] = (), stages: Sequence | None = None) -> tuple[DataFrame, DataFrame]:
-    """Feature vectors of both sides, fitted on the training side only, written once for all learners.
 
-    Training rows become ``features, label, weight``; test rows ``keep, truth, features``.
-    """
-    index = StringIndexerModel.from_labels(list(labels), inputCol=target, outputCol="label")
-    weighted = index.transform(balanced_weights(train, target, labels=labels))
-    fitted = Pipeline(stages=list(feature_stages(numeric, categorical) if stages is None else stages)).fit(weighted)
-    return (
-        cut_lineage(fitted.transform(weighted).select("features", "label", "weight")),
-        cut_lineage(fitted.transform(test).select(*keep, F.col(target).alias("truth"), "features")),
-    )
-
-
-def fit_and_score(train: DataFrame, test: DataFrame, labels: Sequence[str], last_stages: Sequence) -> DataFrame:
-    """Predictions of one learner on prepared rows: ``truth, prediction_label, scores``, a score per label in label order."""
-    predicted = Pipeline(stages=list(last_stages)).fit(train).transform(test)
-    scores = "probability" if "probability" in predicted.columns else "rawPrediction"
-    names = F.array(*[F.lit(l) for l in labels])
-    return predicted.select(
-        *[c for c in test.columns if c != "features"], F.get(names, F.col("prediction").cast("int")).alias("prediction_label"),
-        vector_to_array(scores).alias("scores"),
-    )
-
-
-def _scored(predictions: DataFrame, labels: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """Long ``group, metric, value`` of the matrix scores and the AUC."""
-    matrix = confusion_matrix(predictions, "truth", "prediction_label", labels, group)
-    points = classification_metrics(matrix, "truth", "prediction_label", group)
-    asked = {labels[1]: F.col("scores")[1]} if len(labels) == 2 else {l: F.col("scores")[i] for i, l in enumerate(labels)}
-    wide = points.join(macro_auc(predictions, "truth", asked, group), list(group), "left")
-    return wide.unpivot(list(group), ["accuracy", "precision_macro", "recall_macro", "f1_macro", "auc"], "metric", "value")
+def split_profile(df: DataFrame, target: str, labels: Sequence[str], key: str, task: str | None = None, fraction: float = 0.2, seed: int = SEED) -> DataFrame:
+    """``task, side, label, n``: the rows of each label on either side of the split, labels without rows included."""
+    counts = stratified_split(df, target, key, fraction, seed, labels).groupBy(F.when(F.col("is_test"), "test").otherwise("train").alias("side"), F.col(target).alias("label")).agg(F.count("*").alias("n"))
+    cells = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(l).alias("label")) for s in ("train", "test") for l in labels]))
+    grid = df.sparkSession.range(1).select(cells.alias("c")).select("c.*")
+    return grid.join(counts, ["side", "label"], "left").select(F.lit(task or target).alias("task"), "side", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def evaluate_models(df: DataFrame, target: str, labels: Sequence[str], key: str, numeric: Sequence[str] = NUMERIC_FEATURES,
-                    categorical: Sequence[str] = CATEGORICAL_FEATURES, estimators: dict[str, Sequence] | None = None, task: str | None = None,
-                    folds: int = 5, seed: int = SEED) -> DataFrame:
-    """Cross-validate, fit and test every learner: ``task, model, metric, value``.
+def run_document(df: DataFrame, tasks: Mapping[str, tuple[str, Sequence[str]]], key: str, numeric: Sequence[str] = NUMERIC_FEATURES,
+                 categorical: Sequence[str] = CATEGORICAL_FEATURES, estimators: Mapping[str, Callable[[Matrix], Learner]] = ESTIMATORS,
+                 folds: int = 5, seed: int = SEED, curves_of: str = "Random Forest") -> DataFrame:
+    """The whole comparison as one row, ready for ``write_results_json``: a struct for each task, and ``n_complete_case, seed``.
 
-    The driver loops over learners and folds; each fit and each scoring is a Spark job, and only
-    model parameters pass through the driver. ``folds=0`` leaves cross-validation out.
+    ``tasks`` maps a name to its target column and labels. A task holds the sizes and label counts of both sides of its
+    split, ``models`` (a map from name to the metrics, as text, with the confusion matrix, its labels and the seconds of all
+    its fits), the best model by macro-F1 on the test rows (the first listed wins a tie), and the one-vs-rest AUC of each
+    label for the learner ``curves_of``.
     """
-    stages = {n: f() for n, f in ESTIMATORS.items()} if estimators is None else estimators
-    split = cut_lineage(stratified_split(df, target, key, seed=seed, labels=labels))
-    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
-    args = (target, labels, numeric, categorical)
-    vectors = prepare(train, test, *args)
-    tested = [fit_and_score(*vectors, labels, last).withColumn("model", F.lit(name)) for name, last in stages.items()]
-    results = _scored(cut_lineage(reduce(DataFrame.unionByName, tested)), labels, ["model"])
-    renamed = {"accuracy": "test_accuracy", "precision_macro": "test_precision_macro", "recall_macro": "test_recall_macro",
-               "f1_macro": "test_f1_macro", "auc": "test_roc_auc"}
-    out = results.replace(renamed, subset=["metric"])
-    if folds:
-        dealt, held = cut_lineage(stratified_folds(train, target, key, folds, seed)), []
-        for i in range(folds):
-            vectors = prepare(dealt.filter(F.col("fold") != i), dealt.filter(F.col("fold") == i), *args)
-            held += [fit_and_score(*vectors, labels, last).withColumns({"model": F.lit(name), "fold": F.lit(i)}) for name, last in stages.items()]
-        per_fold = _scored(cut_lineage(reduce(DataFrame.unionByName, held)), labels, ["model", "fold"]).filter(F.col("metric").isin("f1_macro", "accuracy"))
-        spread = per_fold.groupBy("model", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-        cv = spread.unpivot(["model", "metric"], ["mean", "std"], "stat", "value").select(
-            "model", F.concat_ws("_", F.lit("cv"), "metric", "stat").alias("metric"), "value"
-        )
-        out = out.unionByName(cv)
-    return out.select(F.lit(task or target).alias("task"), "model", "metric", "value")
+    spark = df.sparkSession
+    parts = []
+    for name, (target, labels) in tasks.items():
+        matrix = build_matrix(df, target, labels, key, numeric, categorical, folds, seed=seed)
+        predicted, seconds = all_predictions(matrix, estimators)
+        last = len(matrix.fits) - 1
+        tested = predicted.filter(F.col("fit") == last)
+        metrics = cut_lineage(model_metrics(predicted, labels, last))
+        arrays = confusion_array(confusion_matrix(tested, "truth", "prediction_label", labels, ["model"]), "truth", "prediction_label", labels, ["model"])
+        places = spark.createDataFrame([(m, i, seconds[m]) for i, m in enumerate(estimators)], "model string, place int, seconds double")
+        best = best_by(metrics.filter("metric = 'test_f1_macro'").join(places, "model"), "value", "place", "model")
+        entries = metrics.select("model", "metric", F.col("value").cast("string").alias("text")).unionByName(
+            arrays.select("model", F.lit("confusion_matrix").alias("metric"), F.to_json("confusion_matrix").alias("text"))).unionByName(
+            places.select("model", F.lit("train_seconds").alias("metric"), F.col("seconds").cast("string").alias("text"))).unionByName(
+            places.select("model", F.lit("confusion_matrix_labels").alias("metric"), F.to_json(F.array(*[F.lit(l) for l in labels])).alias("text")))
+        models = entries.groupBy("model").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "text")))).alias("metrics"))
+        models = models.agg(F.map_from_entries(F.collect_list(F.struct("model", "metrics"))).alias("models"))
+        sides = matrix.rows.groupBy((F.col("fold") < 0).alias("test"), "truth").agg(F.count("*").alias("n"))
+        dist = lambda test: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("test") == test, F.struct("truth", "n")))))
+        sizes = sides.agg(F.sum(F.when(~F.col("test"), F.col("n"))).alias("n_train"), F.sum(F.when(F.col("test"), F.col("n"))).alias("n_test"), dist(False).alias("train_dist"), dist(True).alias("test_dist"))
+        curves = roc_by_class(tested.filter(F.col("model") == curves_of), "truth", {l: F.col("scores")[i] for i, l in enumerate(labels)})
+        curves = curves.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "auc")))).alias("per_class_auc"))
+        # Each part is one row, so joining them on a constant multiplies nothing.
+        row = sizes.withColumn("one", F.lit(1))
+        for part in (models, best.select(F.col("model").alias("best_model")), curves):
+            row = row.join(part.withColumn("one", F.lit(1)), "one", "left")
+        parts.append(row.select("one", F.struct("n_train", "n_test", "train_dist", "test_dist", "models", "best_model", "per_class_auc").alias(name)))
+    document = df.agg(F.count("*").alias("n_complete_case")).select(F.lit(1).alias("one"), "n_complete_case", F.lit(seed).alias("seed"))
+    return reduce(lambda a, b: a.join(b, "one"), parts, document).drop("one")

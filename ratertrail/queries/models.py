@@ -1,21 +1,23 @@
 """Queries on splits, classifiers and feature selection.
 
-What learners predict has no SQL equivalent; their queries run with fewer trees and rounds than the
-library's defaults, over all rows, and SQL checks the rows tested and the form of their scores. Everything around them (splits, weights, matrices, information) has one.
+What learners predict has no SQL equivalent; SQL checks the rows tested and the form of their scores. Everything
+around them (splits, weights, matrices, information) has one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratertrail.functions import scalar as S
 from ratertrail.models import benchmark as B
 from ratertrail.models import selection as M
 from ratertrail.models import splits
+from ratertrail.models.learners import predictions
+from ratertrail.models.matrix import build_matrix
 from ratertrail.queries import views as V
 from ratertrail.queries.registry import query
 from ratertrail.queries.statistics import _with, rounded
@@ -24,7 +26,6 @@ from ratertrail.streaming.incremental import process_incrementally
 from ratertrail.session import cut_lineage, scratch_path
 
 LABELS = ["not_severe", "severe"]
-QUICK_TREES, QUICK_DEPTH = 10, 6
 
 
 def _dataset(spark, sf):
@@ -71,16 +72,27 @@ def _(spark, sf):
     return out.select("instance_id", F.col("fold").cast("long").alias("fold"))
 
 
-# Sums over each feature after imputing, scaling and encoding: means 0 and SDs 1 of the imputed numbers.
-@query("feature_matrix", dataset_sql("""select cast(feature as bigint) as feature, round(total, 3) as total, round(squares, 3) as squares from (
-  select 0 as feature, 0.0::double as total, (count(*) - 1)::double as squares from dataset union all select 1, 0.0, (count(*) - 1)::double from dataset
-  union all select 2 + rank() over (order by count(*) desc, smell) - 1, count(*)::double, count(*)::double from dataset group by smell)"""))
+def _filled_sql(f: str) -> str:
+    return f"""select '{f}' as feature, round(any_value(m), 6) as fill, round(avg(coalesce({f}, m)), 6) as mean, round(coalesce(nullif(stddev_pop(coalesce({f}, m)), 0), 1), 6) as spread
+      from dataset cross join (select median({f})::double as m from dataset)"""
+
+
+@query("feature_matrix", dataset_sql(" union all ".join(_filled_sql(f) for f in B.NUMERIC_FEATURES)))
+def _(spark, sf):
+    """What a fit on all rows fills unknown values with, and how it scales the filled columns."""
+    info = build_matrix(_dataset(spark, sf), "severity_consensus", S.GRADES, "instance_id", B.NUMERIC_FEATURES, folds=0, fraction=0).fits[-1]
+    rows = [(f, info.fills[j], info.means[j], info.spreads[j]) for j, f in enumerate(B.NUMERIC_FEATURES)]
+    return rounded(spark.createDataFrame(rows, "feature string, fill double, mean double, spread double"), fill=6, mean=6, spread=6)
+
+
+_HOT = [("smell", v) for v in S.SMELLS] + [(V.FLAG, v) for v in ("0", "0,5", "1")]
+
+
+@query("selection_matrix", dataset_sql("select instance_id, severity_consensus, " + ", ".join(f"coalesce({f}, (select median({f}) from dataset))::double as {f}" for f in B.NUMERIC_FEATURES)
+       + ", " + ", ".join(f"""({c} = '{v}')::int::double as "{c}_{v}\"""" for c, v in _HOT) + " from dataset"))
 def _(spark, sf):
-    df = _dataset(spark, sf)
-    made = Pipeline(stages=B.feature_stages(["wmc", "loc"], ["smell"])).fit(df).transform(df)
-    cells = made.select(F.posexplode(vector_to_array("features")).alias("feature", "x")).groupBy("feature").agg(F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares"))
-    # Adding zero turns the negative zero of a rounded sum into zero.
-    return cells.select(F.col("feature").cast("long").alias("feature"), (F.round("total", 3) + 0.0).alias("total"), F.round("squares", 3).alias("squares"))
+    """The flat matrix that feature selection starts from: exact medians for unknown values, an indicator for each category."""
+    return B.selection_matrix(_dataset(spark, sf), "instance_id", "severity_consensus")[0]
 
 
 _NUMBERS = ["cbo", "rfc", "loc", "n_reviewers"]
@@ -170,59 +182,72 @@ _TESTED = dataset_sql(f"""select instance_id, severe_binary as truth, true as la
   _QUOTAS.replace("severity_consensus", "severe_binary"))
 
 
-def _predict(spark, sf, last_stages, probabilities=True):
-    split = cut_lineage(splits.stratified_split(_dataset(spark, sf), "severe_binary", "instance_id"))
-    vectors = B.prepare(split.filter("not is_test"), split.filter("is_test"), "severe_binary", LABELS, B.NUMERIC_FEATURES, B.CATEGORICAL_FEATURES, keep=["instance_id"])
-    out = B.fit_and_score(*vectors, LABELS, last_stages)
-    finite = (F.size("scores") == len(LABELS)) & F.forall("scores", lambda s: s.isNotNull() & ~F.isnan(s))
+def _predict(spark, sf, name):
+    """The learner at its full defaults, on all training rows, asked for all test rows."""
+    m = build_matrix(_dataset(spark, sf), "severe_binary", LABELS, "instance_id", B.NUMERIC_FEATURES, B.CATEGORICAL_FEATURES, folds=0)
+    out = predictions(m, B.ESTIMATORS[name](m))
+    finite = (F.size("scores") == len(LABELS)) & F.forall("scores", lambda s: s.isNotNull() & (s >= 0) & (s <= 1))
     total = F.aggregate("scores", F.lit(0.0), lambda a, s: a + s)
-    fair = F.forall("scores", lambda s: (s >= 0) & (s <= 1)) & (F.abs(total - 1) < 1e-9) if probabilities else F.lit(True)
-    return out.select("instance_id", "truth", F.col("prediction_label").isin(*LABELS).alias("label_valid"), (finite & fair).alias("score_valid"))
+    return out.select(F.col("key").alias("instance_id"), "truth", F.col("prediction_label").isin(*LABELS).alias("label_valid"), (finite & (F.abs(total - 1) < 1e-9)).alias("score_valid"))
 
 
 @query("model_rf", _TESTED)
 def _(spark, sf):
-    return _predict(spark, sf, B.model_rf(QUICK_TREES, QUICK_DEPTH))
+    return _predict(spark, sf, "Random Forest")
 
 
 @query("model_extra_trees", _TESTED)
 def _(spark, sf):
-    return _predict(spark, sf, B.model_extra_trees(QUICK_TREES, QUICK_DEPTH))
+    return _predict(spark, sf, "Extra Trees")
 
 
 @query("model_gbt", _TESTED)
 def _(spark, sf):
-    return _predict(spark, sf, B.model_gbt(5), probabilities=False)
+    return _predict(spark, sf, "Gradient Boosting")
 
 
 @query("model_logreg", _TESTED)
 def _(spark, sf):
-    return _predict(spark, sf, B.model_logreg(max_iter=50))
+    return _predict(spark, sf, "Logistic Regression")
 
 
 @query("model_svm", _TESTED)
 def _(spark, sf):
-    return _predict(spark, sf, B.model_svm(size=64, max_iter=20), probabilities=False)
+    return _predict(spark, sf, "SVM")
+
+
+TASKS = {"multiclass_4severity": ("severity_consensus", S.GRADES), "binary_majorcritical": ("severe_binary", LABELS)}
+
+
+@query("split_profile", " union all by name ".join(f"""select * from ({dataset_sql(f"""select '{name}' as task, side, label, cast(count(pos) as bigint) as n
+  from (select unnest({list(labels)}) as label) cross join (select unnest(['train', 'test']) as side)
+  left join (select {target} as label, case when row_number() over (partition by {target} order by {_HASH.format(seed=42)}, instance_id) <= quota then 'test' else 'train' end as side, 1 as pos from dataset join quotas using ({target})) using (label, side)
+  group by all""", _QUOTAS.replace("severity_consensus", target))})""" for name, (target, labels) in TASKS.items()))
+def _(spark, sf):
+    """Rows of each label on either side of both tasks' splits."""
+    df = cut_lineage(_dataset(spark, sf))
+    return reduce(DataFrame.unionByName, [B.split_profile(df, target, labels, "instance_id", name) for name, (target, labels) in TASKS.items()])
 
 
 @query("evaluate_models")
 def _(spark, sf):
-    quick = {"Random Forest": B.model_rf(QUICK_TREES, QUICK_DEPTH), "Logistic Regression": B.model_logreg(max_iter=50)}
-    return B.evaluate_models(_dataset(spark, sf), "severity_consensus", S.GRADES, "instance_id", estimators=quick, task="multiclass_4severity", folds=2)
+    """All five learners on both tasks, five folds and the test rows, at their full defaults."""
+    df = cut_lineage(_dataset(spark, sf))
+    return reduce(DataFrame.unionByName, [B.evaluate_models(df, target, labels, "instance_id", task=name) for name, (target, labels) in TASKS.items()])
 
 
 @query("rfe_cv")
 def _(spark, sf):
-    df = cut_lineage(_dataset(spark, sf))
-    rounds = M.rfe_cv(df, ["n_reviewers", "loc"], "severe_binary", LABELS, "instance_id", folds=2, num_trees=QUICK_TREES, max_depth=QUICK_DEPTH)
+    """Recursive elimination of all numeric features: five folds, 200 trees."""
+    rounds = M.rfe_cv(cut_lineage(_dataset(spark, sf)), B.NUMERIC_FEATURES, "severe_binary", LABELS, "instance_id")
     return spark.createDataFrame([(len(f), ",".join(f), s) for f, s in rounds], "n_features int, features string, f1_macro double")
 
 
 @query("feature_selection")
 def _(spark, sf):
-    df = _dataset(spark, sf).withColumns({f"smell_{s.replace(' ', '_')}": (F.col("smell") == s).cast("double") for s in S.SMELLS})
-    return M.feature_selection(df, _NUMBERS, [f"smell_{s.replace(' ', '_')}" for s in S.SMELLS], "severity_consensus", S.GRADES, "instance_id",
-                               min_information=0.0, folds=2, num_trees=QUICK_TREES, max_depth=QUICK_DEPTH)
+    """The three stages over the whole flat matrix, at the operators' defaults."""
+    flat, numeric, hot = B.selection_matrix(_dataset(spark, sf), "instance_id", "severity_consensus")
+    return M.feature_selection(flat, numeric, hot, "severity_consensus", S.GRADES, "instance_id")
 
 
 # --- incremental runs -----------------------------------------------------------------------

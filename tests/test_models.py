@@ -2,11 +2,10 @@ import math
 import random
 
 import pytest
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from ratertrail.functions.scalar import GRADES
 from ratertrail.models import benchmark as B
+from ratertrail.models import learners as L
 from ratertrail.models import selection as M
 from ratertrail.models import splits
 
@@ -37,23 +36,8 @@ def test_weights_balance_the_classes(table):
     assert [r.w for r in sums] == pytest.approx([200.0, 200.0])
 
 
-def test_unseen_label_becomes_zeros(spark, table):
-    strange = table.limit(1).withColumn("smell", F.lit("long method"))
-    fitted = __import__("pyspark.ml", fromlist=["Pipeline"]).Pipeline(stages=B.feature_stages(["loc"], ["smell"])).fit(table)
-    vector = fitted.transform(strange).first().features
-    assert vector.size == 3 and list(vector.toArray()[1:]) == [0.0, 0.0]
-
-
-def test_random_features_approximate_the_kernel(spark):
-    rng = random.Random(2)
-    x = [Vectors.dense([rng.gauss(0, 1) for _ in range(3)]) for _ in range(2)]
-    df = spark.createDataFrame([(v,) for v in x], ["features"])
-    a, b = (r.kernel_features.toArray() for r in B.RandomFourierFeatures(size=8000, gamma=0.3).fit(df).transform(df).collect())
-    assert a @ b == pytest.approx(math.exp(-0.3 * float(x[0].squared_distance(x[1]))), abs=0.03)
-
-
 def test_benchmark_finds_the_signal(table):
-    quick = {"Random Forest": B.model_rf(5, 4), "Logistic Regression": B.model_logreg(30)}
+    quick = {"Random Forest": lambda m: L.Forest(m.cuts, n_trees=5, max_depth=4), "Logistic Regression": lambda m: L.Logistic()}
     rows = B.evaluate_models(table, "y", ["not_severe", "severe"], "id", ["loc", "noise"], ["smell"], quick, "binary", folds=2).collect()
     got = {(r.model, r.metric): r.value for r in rows}
     assert set(r.task for r in rows) == {"binary"} and len(rows) == 18
