@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ratertrail.session import cut_lineage
 
 BAND = "__band"
+#: A table of no more rows than this is numbered or summed in order without bands.
+SMALL_ROWS = 200_000
 
 
 def range_banded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,13 +71,18 @@ def running_totals(
     """Add ``{name: inclusive running total of column}`` in ``order`` within ``group``.
 
     ``order`` must be total within a group and a given ``band`` monotone in its first column;
-    without one the rows are cut into ranges of ``group`` and ``order`` (column names then). With
-    ``descending`` both run from the top.
+    without one the rows are written, counted, and, if there are more than ``SMALL_ROWS``, cut into ranges of ``group`` and
+    ``order`` (column names then). With ``descending`` both run from the top.
     """
-    group = list(group)
-    banded = range_banded(df, [*group, *order]) if band is None else df.withColumn(BAND, band)
+    group, keys = list(group), [*group, *order]
     direction = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     order = [direction(o) if isinstance(o, str) else o for o in order]
+    if band is None:
+        df = cut_lineage(df)
+        if df.count() <= SMALL_ROWS:
+            running = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+            return df.withColumns({n: F.sum(c).over(running) for n, c in sums.items()})
+    banded = range_banded(df, keys) if band is None else df.withColumn(BAND, band)
     per_band = banded.groupBy(*group, BAND).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     before = W.partitionBy(*group).orderBy(direction(BAND)).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_band.select(

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ratertrail.functions.ordering import join_null_safe, running_totals
 from ratertrail.functions.scalar import GRADES, case_recode, ordinal_rank
-from ratertrail.functions.tails import chi2_sf, normal_sf
-from ratertrail.operators.summaries import exact_median, long_form, pivot_labels, value_histogram
+from ratertrail.functions.tails import EXACT_CELLS, chi2_sf, exact_rank_tails, normal_sf
+from ratertrail.operators.summaries import long_form, pivot_labels, value_histogram
+from ratertrail.session import cut_lineage
 
 
 def chi_square_test(df: DataFrame, row: str, col: str, count: str | None = None) -> DataFrame:
@@ -85,22 +86,27 @@ def rank_sums(hist: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     return sums.withColumn("u", F.col("rank_sum") - na * (na + 1) / 2).drop("rank_sum")
 
 
-def mann_whitney(hist: DataFrame, group: Sequence[str] = ("metric",), value: str = "value") -> DataFrame:
-    """One-sided test that arm a is larger: ``n_a, n_b, u, z, p_value, exact_applicable``.
-
-    Normal approximation with tie and continuity correction; ``exact_applicable`` marks groups
-    small and untied enough for the exact law.
-    """
-    sums = rank_sums(hist, group, value)
+def _rank_test(sums: DataFrame, group: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The test from ``n_a, n_b, u, ties, largest_tie``; ``sums`` is a written table of one row a group."""
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = na + nb
     sd = F.sqrt(na * nb / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     z = F.try_divide(F.col("u") - na * nb / 2 - 0.5, sd)
-    return (
-        sums.withColumn("z", F.when(sd > 0, z))
-        .withColumn("exact_applicable", (F.least("n_a", "n_b") <= 8) & (F.col("largest_tie") <= 1))
-        .select(*group, "n_a", "n_b", "u", "z", normal_sf("z").alias("p_value"), "exact_applicable")
-    )
+    exact = (F.least("n_a", "n_b") <= 8) & (F.col("largest_tie") <= 1)
+    tested = sums.withColumns({"z": F.when(sd > 0, z), "exact_applicable": exact})
+    law = exact_rank_tails(tested.filter("exact_applicable and least(n_a, n_b) > 0").filter(na * nb <= EXACT_CELLS))
+    joined = tested.join(law, ["n_a", "n_b", "u"], "left")
+    p = F.when(F.col("exact_applicable") & F.col("exact_p").isNotNull(), F.col("exact_p")).otherwise(normal_sf("z"))
+    return joined.select(*group, "n_a", "n_b", "u", "z", p.alias("p_value"), "exact_applicable", *keep)
+
+
+def mann_whitney(hist: DataFrame, group: Sequence[str] = ("metric",), value: str = "value") -> DataFrame:
+    """One-sided test that arm a is larger: ``n_a, n_b, u, z, p_value, exact_applicable``.
+
+    The exact law of U for untied values with at most eight in one arm (``exact_applicable``) and a product of
+    the sizes within ``EXACT_CELLS``; else the normal approximation with tie and continuity correction, which ``z`` is always of.
+    """
+    return _rank_test(cut_lineage(rank_sums(hist, group, value)), group)
 
 
 def cliffs_delta(hist: DataFrame, group: Sequence[str] = ("metric",), value: str = "value") -> DataFrame:
@@ -165,23 +171,51 @@ def logrank_test(df: DataFrame, time: str, event: Column, arm: Column, group: Se
     return out.withColumn("p_value", chi2_sf("statistic", F.lit(1)))
 
 
+def arm_profile(hist: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Per group, from one ordered pass over a histogram: ``n, median, mean, var`` of both arms, and ``u, ties, largest_tie``."""
+    x, sides = F.col(value), ("a", "b")
+    totals = hist.groupBy(*group).agg(*[F.sum(f"n_{s}").alias(f"__n_{s}") for s in sides], *[F.sum(F.col(f"n_{s}") * x).alias(f"__x_{s}") for s in sides])
+    cum = running_totals(hist, group, [value], {"__c": "n", "__c_a": "n_a", "__c_b": "n_b"})
+    # One row a group: small beside the histogram, and left to Spark's own size check.
+    placed = join_null_safe(cum, totals, group)
+    mean = {s: F.try_divide(F.col(f"__x_{s}"), F.col(f"__n_{s}")) for s in sides}
+    reach = lambda s, k: F.min(F.when((F.col(f"__c_{s}") >= k) & (F.col(f"n_{s}") > 0), x))
+    t = F.col("n").cast("double")
+    out = placed.groupBy(*group).agg(
+        *[F.any_value(f"__n_{s}").alias(f"n_{s}") for s in sides],
+        *[((reach(s, F.floor((F.col(f"__n_{s}") + 1) / 2)) + reach(s, F.floor(F.col(f"__n_{s}") / 2) + 1)) / 2).alias(f"median_{s}") for s in sides],
+        *[F.any_value(mean[s]).alias(f"mean_{s}") for s in sides],
+        *[F.sum(F.col(f"n_{s}") * (x - mean[s]) * (x - mean[s])).alias(f"__q_{s}") for s in sides],
+        F.sum(F.col("n_a") * (F.col("__c") - F.col("n") + (F.col("n") + 1) / 2.0)).alias("__rank_sum"),
+        F.sum(t * t * t - t).alias("ties"),
+        F.max("n").alias("largest_tie"),
+    )
+    na = F.col("n_a").cast("double")
+    var = [F.when(F.col(f"n_{s}") > 1, F.col(f"__q_{s}") / (F.col(f"n_{s}") - 1)).alias(f"var_{s}") for s in sides]
+    return out.select(*group, "n_a", "n_b", "median_a", "median_b", "mean_a", "mean_b", *var, (F.col("__rank_sum") - na * (na + 1) / 2).alias("u"), "ties", "largest_tie")
+
+
+def metric_profiles(df: DataFrame, metrics: Sequence[str], arm: Column) -> DataFrame:
+    """``arm_profile`` of many metrics, a row for each that has values; written, as it is read more than once."""
+    typed = df.select(arm.alias("__arm"), *[F.col(m).cast("double").alias(m) for m in metrics])
+    hist = value_histogram(long_form(typed, ["__arm"], metrics), ["metric"], "value", F.col("__arm"))
+    return cut_lineage(arm_profile(cut_lineage(hist), ["metric"], "value"))
+
+
+def compare_profiles(profiles: DataFrame, min_rows: int = 2) -> DataFrame:
+    """Rank test, medians, means and Cohen's d from ``metric_profiles``; metrics with an arm of fewer than ``min_rows`` are skipped."""
+    d = _pooled("n_a", "mean_a", "var_a", "n_b", "mean_b", "var_b")
+    few = profiles.filter(F.least("n_a", "n_b") >= min_rows).withColumn("cohens_d", d)
+    tested = _rank_test(few, ["metric"], ["median_a", "median_b", "mean_a", "mean_b", "cohens_d"])
+    return tested.select("metric", "n_a", "n_b", "median_a", "median_b", "mean_a", "mean_b", "u", "z", "p_value", "exact_applicable", "cohens_d")
+
+
 def compare_groups(df: DataFrame, metrics: Sequence[str], arm: Column, min_rows: int = 2) -> DataFrame:
     """Rank test, medians, means and Cohen's d for many metrics at once, one row per metric.
 
     Nulls are left out per metric; metrics with an arm of fewer than ``min_rows`` are skipped.
     """
-    typed = df.select(arm.alias("__arm"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    long = long_form(typed, ["__arm"], metrics)
-    hist = value_histogram(long, ["metric"], "value", F.col("__arm"))
-    tests = mann_whitney(hist)
-    effects = arm_moments(long, ["metric"], "value", F.col("__arm")).select(
-        "metric", "mean_a", "mean_b", _pooled("n_a", "mean_a", "var_a", "n_b", "mean_b", "var_b").alias("cohens_d")
-    )
-    med = lambda n, name: exact_median(hist.filter(F.col(n) > 0), ["metric"], "value", n, name)
-    out = tests.join(effects, "metric").join(med("n_a", "median_a"), "metric").join(med("n_b", "median_b"), "metric")
-    return out.filter(F.least("n_a", "n_b") >= min_rows).select(
-        "metric", "n_a", "n_b", "median_a", "median_b", "mean_a", "mean_b", "u", "z", "p_value", "exact_applicable", "cohens_d"
-    )
+    return compare_profiles(metric_profiles(df, metrics, arm), min_rows)
 
 
 def rater_pairs(

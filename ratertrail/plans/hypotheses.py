@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ratertrail.functions.scalar import CLASS_SMELLS, GRADES, SEVERE_GRADES, binary_flag
 from ratertrail.operators import stats, summaries
+from ratertrail.session import cut_lineage
 
 # The structural metrics compared between groups of classes.
 CLASS_METRICS = ("wmc", "cbo", "dit", "noc", "rfc", "lcom", "loc", "total_methods", "total_fields")
@@ -42,15 +43,14 @@ def severity_vs_persistence(
 
     Censored rows enter the rank test at their observed value; the log-rank test knows them as censored.
     """
-    df = persistence.join(instances.select(key), key, "left_semi").filter(F.col(grade).isNotNull())
     arm = F.col(grade).isin(*SEVERE_GRADES)
-    battery = stats.compare_groups(df, ["persistence_revisions"], arm).drop("metric")
-    hist = summaries.value_histogram(
-        df.select(F.lit("persistence_revisions").alias("metric"), F.col("persistence_revisions").alias("value"), arm.alias("arm")),
-        ["metric"], "value", F.col("arm"),
-    )
-    delta = stats.cliffs_delta(hist).select("cliffs_delta").scalar()
-    logrank = stats.logrank_test(df, "persistence_revisions", ~F.col("censored"), arm)
+    # Three tests read these columns of the joined rows.
+    df = cut_lineage(persistence.join(instances.select(key), key, "left_semi").filter(F.col(grade).isNotNull()))
+    profiles = stats.metric_profiles(df, ["persistence_revisions"], arm)
+    battery = stats.compare_profiles(profiles).drop("metric")
+    delta = F.try_divide(2 * F.col("u"), F.col("n_a").cast("double") * F.col("n_b")) - 1
+    delta = profiles.select(F.when(F.least("n_a", "n_b") > 0, delta).alias("cliffs_delta")).scalar()
+    logrank = cut_lineage(stats.logrank_test(df, "persistence_revisions", ~F.col("censored"), arm))
     censoring = summaries.censoring_summary(df)
     # The tests are null where an arm has too few rows; the censoring stands all the same.
     tested = battery.select(F.struct("*")).scalar()

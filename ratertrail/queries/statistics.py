@@ -1,4 +1,4 @@
-"""Queries on group comparisons. Statistics are checked against SQL; tail probabilities, which SQL lacks, in the tests."""
+"""Queries on group comparisons, tail probabilities included: their series are written out in SQL as well."""
 
 from __future__ import annotations
 
@@ -17,6 +17,26 @@ def rounded(df, **digits):
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
+# Tail probabilities as macros would have them: the series of the error function below 2.5, its continued fraction above.
+def _erfc_sql(x: str) -> str:
+    a, t = f"abs({x})", f"({x}) ** 2"
+    small = f"1 - 2 / sqrt(pi()) * {a} * exp(-({t})) * list_reduce(range(80, 0, -1), lambda f, n: 1 + 2 * {t} / (2 * n + 1) * f, 1.0::double)"
+    large = f"exp(-({t})) / sqrt(pi()) / ({a} + list_reduce(range(80, 0, -1), lambda f, n: n / 2.0::double / ({a} + f), 0.0::double))"
+    return f"(case when {a} < 2.5 then {small} else {large} end)"
+
+
+def normal_sf_sql(z: str) -> str:
+    e = _erfc_sql(f"({z}) / sqrt(2.0::double)")
+    return f"(0.5::double * case when ({z}) < 0 then 2 - {e} else {e} end)"
+
+
+def chi2_sf_sql(x: str, dof: str) -> str:
+    h, m, shift = f"(({x}) / 2)", f"(({dof}) // 2)", f"(case when ({dof}) % 2 = 1 then 0.5 else 0 end)"
+    inner = f"(case when {m} > 0 then list_reduce(range({m} - 1, 0, -1), lambda f, n: 1 + {h} / (n + {shift}) * f, 1.0::double) else 0 end)"
+    odd = f"{_erfc_sql(f'sqrt({h})')} + exp(-{h}) * sqrt({h}) / gamma(1.5) * {inner}"
+    return f"(case when ({dof}) <= 0 or ({x}) <= 0 then 1 when ({dof}) % 2 = 1 then {odd} else exp(-{h}) * {inner} end)"
+
+
 def _chi_sql(cells: str, n_cols: str = "") -> str:
     """Chi-square of a long table ``cells`` of a, b, o."""
     return f"""
@@ -34,19 +54,19 @@ def _with(prefix: str, ctes: str, body: str) -> str:
     return prefix[: -len("select 1")].rstrip() + "," + ctes + "\n" + body
 
 
-_CHI_OUT = "select round(chi2, 6) as chi2, dof, round(sqrt(chi2 / n / s), 6) as cramers_v, round(min_expected, 6) as min_expected, n from chi"
+_CHI_OUT = f"select round(chi2, 6) as chi2, dof, round({chi2_sf_sql('chi2', 'dof')}, 9) as p_value, round(sqrt(chi2 / n / s), 6) as cramers_v, round(min_expected, 6) as min_expected, n from chi"
 
 
 @query("chi_square_test", _with(sql("select 1", "consensus"), _chi_sql("select severity_consensus as a, smell as b, count(*) as o from consensus group by 1, 2"), _CHI_OUT))
 def _(spark, sf):
-    out = stats.chi_square_test(V.consensus(spark, sf), "severity_consensus", "smell").drop("p_value")
-    return rounded(out, chi2=6, cramers_v=6, min_expected=6)
+    out = stats.chi_square_test(V.consensus(spark, sf), "severity_consensus", "smell")
+    return rounded(out, chi2=6, p_value=9, cramers_v=6, min_expected=6)
 
 
 @query("chi_square_two_by_two", _with(sql("select 1", "consensus"), _chi_sql("select severity_tied as a, smell = 'blob' as b, count(*) as o from consensus group by 1, 2"), _CHI_OUT))
 def _(spark, sf):
     df = V.consensus(spark, sf).withColumn("is_blob", F.col("smell") == "blob")
-    return rounded(stats.chi_square_test(df, "severity_tied", "is_blob").drop("p_value"), chi2=6, cramers_v=6, min_expected=6)
+    return rounded(stats.chi_square_test(df, "severity_tied", "is_blob"), chi2=6, p_value=9, cramers_v=6, min_expected=6)
 
 
 # Arms: lineitem by return flag, the price as a continuous metric and the quantity as a tied one.
@@ -59,17 +79,36 @@ def _arms(spark, sf):
     return summaries.long_form(li, ["arm"], ["price", "quantity", "discount"])
 
 
+_Z = "(u - n_a * n_b / 2.0::double - 0.5) / sqrt(n_a::double * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b)::double * (n_a + n_b - 1))))"
 _RANKED = f"""ranked as (select metric, arm, value, rank() over (partition by metric order by value) + (count(*) over (partition by metric, value) - 1) / 2.0::double as rk,
   count(*) over (partition by metric, value) as t from ({_ARMS})),
   u as (select metric, count(*) filter (where arm) as n_a, count(*) filter (where not arm) as n_b, sum(rk) filter (where arm) - (count(*) filter (where arm))::double * ((count(*) filter (where arm)) + 1) / 2 as u,
     sum(t::double * t - 1) as ties, max(t) as largest from ranked group by 1)"""
 
 
-@query("mann_whitney", f"""with {_RANKED} select metric, n_a, n_b, round(u, 2) as u, round((u - n_a * n_b / 2.0::double - 0.5) / sqrt(n_a::double * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b)::double * (n_a + n_b - 1)))), 6) as z,
+@query("mann_whitney", f"""with {_RANKED} select metric, n_a, n_b, round(u, 2) as u, round({_Z}, 6) as z, round({normal_sf_sql(_Z)}, 9) as p_value,
   least(n_a, n_b) <= 8 and largest <= 1 as exact_applicable from u""")
 def _(spark, sf):
-    out = stats.mann_whitney(summaries.value_histogram(_arms(spark, sf), ["metric"], "value", F.col("arm"))).drop("p_value")
-    return rounded(out, u=2, z=6)
+    out = stats.mann_whitney(summaries.value_histogram(_arms(spark, sf), ["metric"], "value", F.col("arm")))
+    return rounded(out, u=2, z=6, p_value=9)
+
+
+# Suppliers of a nation by their balance, hardly ever tied: arms of a few rows each, whose law is counted out by a
+# recurrence over the ranks (how many ways to take j of the first k ranks with a given sum).
+_FEW = """few as (select s_nationkey as metric, s_acctbal as value, s_suppkey % 3 = 0 as arm from supplier), placed as (select *, rank() over (partition by metric order by value) as rk, count(*) over (partition by metric, value) as t from few),
+  u as (select metric, count(*) filter (where arm) as n_a, count(*) filter (where not arm) as n_b, coalesce(sum(rk) filter (where arm), 0) - (count(*) filter (where arm)) * ((count(*) filter (where arm)) + 1) / 2 as u, max(t) as largest from placed group by 1),
+  small as (select * from u where least(n_a, n_b) between 1 and 8 and largest <= 1 and n_a + n_b <= 48),
+  dp(k, j, s, c) as (select 0::bigint, 0::bigint, 0::bigint, 1::hugeint union all select k + 1, j + x, s + x * (k + 1), cast(sum(c) as hugeint) from dp cross join (values (0::bigint), (1::bigint)) t(x) where k < 48 and j + x <= 8 group by all),
+  law as (select small.metric, sum(c) filter (where s >= taken) / sum(c)::double as above, sum(c) filter (where s <= taken) / sum(c)::double as below, n_a <= 8 as direct
+    from (select *, least(n_a, n_b) as m, case when n_a <= 8 then u else n_a * n_b - u end + least(n_a, n_b) * (least(n_a, n_b) + 1) / 2 as taken from small) small join dp on k = n_a + n_b and j = m group by all)"""
+
+
+@query("mann_whitney_exact", f"""with recursive {_FEW} select metric, n_a, n_b, cast(u as double) as u, round(case when direct then above else below end, 9) as p_value from small join law using (metric)""")
+def _(spark, sf):
+    """Rank tests of small arms without ties, by the exact law."""
+    df = V.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("metric"), F.col("s_acctbal").alias("value"), (F.col("s_suppkey") % 3 == 0).alias("arm"))
+    out = stats.mann_whitney(summaries.value_histogram(df, ["metric"], "value", F.col("arm")))
+    return rounded(out.filter("exact_applicable and least(n_a, n_b) > 0 and n_a + n_b <= 48").select("metric", "n_a", "n_b", "u", "p_value"), p_value=9)
 
 
 @query("cliffs_delta", f"with {_RANKED} select metric, n_a, n_b, round(2 * u / (n_a::double * n_b) - 1, 9) as cliffs_delta from u")
@@ -99,12 +138,12 @@ def _(spark, sf):
 
 @query("compare_groups", f"""with {_RANKED}, v as (select metric, round({_D_SQL}, 8) as cohens_d, round(avg(value) filter (where arm), 6) as mean_a, round(avg(value) filter (where not arm), 6) as mean_b,
     round(quantile_cont(value, 0.5) filter (where arm), 6) as median_a, round(quantile_cont(value, 0.5) filter (where not arm), 6) as median_b from ({_ARMS}) group by 1)
-  select metric, n_a, n_b, median_a, median_b, mean_a, mean_b, round(u, 2) as u, round((u - n_a * n_b / 2.0::double - 0.5) / sqrt(n_a::double * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b)::double * (n_a + n_b - 1)))), 6) as z,
+  select metric, n_a, n_b, median_a, median_b, mean_a, mean_b, round(u, 2) as u, round({_Z}, 6) as z, round({normal_sf_sql(_Z)}, 9) as p_value,
     least(n_a, n_b) <= 8 and largest <= 1 as exact_applicable, cohens_d from u join v using (metric)""")
 def _(spark, sf):
     li = V.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
-    out = stats.compare_groups(li, ["price", "quantity", "discount"], F.col("l_returnflag") == "R").drop("p_value")
-    return rounded(out, u=2, z=6, cohens_d=8, mean_a=6, mean_b=6, median_a=6, median_b=6)
+    out = stats.compare_groups(li, ["price", "quantity", "discount"], F.col("l_returnflag") == "R")
+    return rounded(out, u=2, z=6, p_value=9, cohens_d=8, mean_a=6, mean_b=6, median_a=6, median_b=6)
 
 
 # --- survival -------------------------------------------------------------------------------
@@ -125,10 +164,10 @@ def _(spark, sf):
     return stats.risk_table(_survivals(spark, sf), "persistence_revisions", ~F.col("censored"), F.col("severity_consensus").isin(*S.SEVERE_GRADES))
 
 
-@query("logrank_test", _with(sql("select 1", "survivals"), _RISK, f"select round(z, 6) as z, round(v, 6) as v, round(z * z / v, 6) as statistic from ({_LOGRANK})"))
+@query("logrank_test", _with(sql("select 1", "survivals"), _RISK, f"select round(z, 6) as z, round(v, 6) as v, round(z * z / v, 6) as statistic, round({chi2_sf_sql('(z * z / v)', '1')}, 9) as p_value from ({_LOGRANK})"))
 def _(spark, sf):
     out = stats.logrank_test(_survivals(spark, sf), "persistence_revisions", ~F.col("censored"), F.col("severity_consensus").isin(*S.SEVERE_GRADES))
-    return rounded(out.drop("p_value"), z=6, v=6, statistic=6)
+    return rounded(out, z=6, v=6, statistic=6, p_value=9)
 
 
 # --- agreement ------------------------------------------------------------------------------
@@ -186,12 +225,12 @@ def _(spark, sf):
 _RELEVANCE = "select severity_consensus as a, case when is_from_industry_relevant_project_raw = '1' then 'relevant' else 'other' end as b, count(*) as o from instances group by 1, 2"
 
 
-@query("relevance_vs_severity", _with(sql("select 1", "instances"), _chi_sql(_RELEVANCE), """select round(chi2, 6) as chi2, dof, round(sqrt(chi2 / n / s), 6) as cramers_v, round(min_expected, 6) as min_expected, n,
+@query("relevance_vs_severity", _with(sql("select 1", "instances"), _chi_sql(_RELEVANCE), f"""select round(chi2, 6) as chi2, dof, round({chi2_sf_sql('chi2', 'dof')}, 9) as p_value, round(sqrt(chi2 / n / s), 6) as cramers_v, round(min_expected, 6) as min_expected, n,
   round((select 100 * avg(case when severity_consensus in ('major', 'critical') then 1.0::double else 0 end) from instances where is_from_industry_relevant_project_raw = '1'), 6) as pct_severe_relevant,
   round((select 100 * avg(case when severity_consensus in ('major', 'critical') then 1.0::double else 0 end) from instances where is_from_industry_relevant_project_raw <> '1'), 6) as pct_severe_other from chi"""))
 def _(spark, sf):
-    out = H.relevance_vs_severity(V.instances(spark, sf)).drop("p_value")
-    return rounded(out, chi2=6, cramers_v=6, min_expected=6, pct_severe_relevant=6, pct_severe_other=6)
+    out = H.relevance_vs_severity(V.instances(spark, sf))
+    return rounded(out, chi2=6, p_value=9, cramers_v=6, min_expected=6, pct_severe_relevant=6, pct_severe_other=6)
 
 
 @query("relevance_breakdown", sql("""select rank, severity_consensus, count(*) filter (where is_from_industry_relevant_project_raw = '0') as f0, count(*) filter (where is_from_industry_relevant_project_raw = '0,5') as f05,
@@ -208,13 +247,14 @@ _H2 = f"""{_RISK}, ranked as (select t as value, arm, rank() over (order by t) +
 
 @query("severity_vs_persistence", _with(sql("select 1", "survivals"), _H2, f"""select n_a + n_b as n, (select count(*) from t where not event) as n_censored,
   round(100.0::double * (select count(*) from t where not event) / (n_a + n_b), 6) as pct_censored, n_a, n_b, round(qa, 6) as median_a, round(qb, 6) as median_b, round(ma, 6) as mean_a, round(mb, 6) as mean_b,
-  round(u, 2) as u, round((u - n_a * n_b / 2.0::double - 0.5) / sqrt(n_a::double * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b)::double * (n_a + n_b - 1)))), 6) as z,
-  least(n_a, n_b) <= 8 and largest <= 1 as exact_applicable, round(d, 6) as cohens_d, round(2 * u / (n_a::double * n_b) - 1, 6) as cliffs_delta, round((select z * z / v from ({_LOGRANK})), 6) as logrank_statistic from u"""))
+  round(u, 2) as u, round({_Z}, 6) as z, round({normal_sf_sql(_Z)}, 9) as p_value,
+  least(n_a, n_b) <= 8 and largest <= 1 as exact_applicable, round(d, 6) as cohens_d, round(2 * u / (n_a::double * n_b) - 1, 6) as cliffs_delta, round((select z * z / v from ({_LOGRANK})), 6) as logrank_statistic,
+  round((select {chi2_sf_sql('(z * z / v)', '1')} from ({_LOGRANK})), 9) as logrank_p_value from u"""))
 def _(spark, sf):
     persistence = _survivals(spark, sf)
     labels = V.revisions(spark, sf).filter("event_type = 'signup'")
-    out = H.severity_vs_persistence(labels, persistence, key="event_id").drop("p_value", "logrank_p_value")
-    return rounded(out, pct_censored=6, median_a=6, median_b=6, mean_a=6, mean_b=6, u=2, z=6, cohens_d=6, cliffs_delta=6, logrank_statistic=6)
+    out = H.severity_vs_persistence(labels, persistence, key="event_id")
+    return rounded(out, p_value=9, logrank_p_value=9, pct_censored=6, median_a=6, median_b=6, mean_a=6, mean_b=6, u=2, z=6, cohens_d=6, cliffs_delta=6, logrank_statistic=6)
 
 
 @query("persistence_by_grade", sql("""select rank, severity_consensus, count(*) as count, round(quantile_cont(persistence_revisions::double, 0.5), 6) as median, round(avg(persistence_revisions), 6) as mean,
@@ -232,11 +272,11 @@ _METRIC_UNPIVOT = " union all ".join(f"select '{m}' as metric, {m} as value, \"g
   ranked as (select *, rank() over (partition by metric order by value) + (count(*) over (partition by metric, value) - 1) / 2.0::double as rk, count(*) over (partition by metric, value) as t from arms),
   u as (select metric, count(*) filter (where arm) as n_a, count(*) filter (where not arm) as n_b, sum(rk) filter (where arm) - (count(*) filter (where arm))::double * ((count(*) filter (where arm)) + 1) / 2 as u,
     sum(t::double * t - 1) as ties, {_D_SQL} as d, avg(value) filter (where arm) as ma, avg(value) filter (where not arm) as mb, quantile_cont(value, 0.5) filter (where arm) as qa, quantile_cont(value, 0.5) filter (where not arm) as qb
-    from ranked group by 1)""", """select metric, n_a, n_b, round(qa, 6) as median_a, round(qb, 6) as median_b, round(ma, 6) as mean_a, round(mb, 6) as mean_b, round(u, 2) as u,
-  round((u - n_a * n_b / 2.0::double - 0.5) / sqrt(n_a::double * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b)::double * (n_a + n_b - 1)))), 6) as z, round(d, 6) as cohens_d from u"""))
+    from ranked group by 1)""", f"""select metric, n_a, n_b, round(qa, 6) as median_a, round(qb, 6) as median_b, round(ma, 6) as mean_a, round(mb, 6) as mean_b, round(u, 2) as u,
+  round({_Z}, 6) as z, round({normal_sf_sql(_Z)}, 9) as p_value, round(d, 6) as cohens_d from u"""))
 def _(spark, sf):
-    out = H.cooccurrence_vs_metrics(V.instances(spark, sf), V.complexity(spark, sf)).drop("p_value", "exact_applicable")
-    return rounded(out, median_a=6, median_b=6, mean_a=6, mean_b=6, u=2, z=6, cohens_d=6)
+    out = H.cooccurrence_vs_metrics(V.instances(spark, sf), V.complexity(spark, sf)).drop("exact_applicable")
+    return rounded(out, p_value=9, median_a=6, median_b=6, mean_a=6, mean_b=6, u=2, z=6, cohens_d=6)
 
 
 # --- evaluation of given predictions --------------------------------------------------------

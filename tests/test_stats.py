@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratertrail.functions.scalar import GRADES
+from ratertrail.functions.tails import chi2_sf, normal_sf, upper_tails
 from ratertrail.operators import evaluation as E
 from ratertrail.operators import stats, summaries
 from ratertrail.operators import stats as stats_module
@@ -143,3 +144,57 @@ def test_rank_test_of_a_single_row(spark):
     hist = spark.createDataFrame([("m", 1.0, 1, 0, 1)], "metric string, value double, n_a long, n_b long, n long")
     assert stats_module.mann_whitney(hist).first()["z"] is None
     assert stats_module.cliffs_delta(hist).first()["cliffs_delta"] is None
+
+
+def test_exact_law_counts_every_order(spark):
+    """All ways to place the smaller arm among the ranks, one by one."""
+    for m, n in ((1, 1), (2, 3), (3, 3), (4, 5), (5, 3)):
+        us = [sum(ranks) - m * (m + 1) // 2 for ranks in combinations(range(1, m + n + 1), m)]
+        assert list(upper_tails(m, n)) == pytest.approx([sum(u >= k for u in us) / len(us) for k in range(m * n + 1)])
+    # Published critical values: U <= 13 for 8 and 8, and U <= 2 for 5 and 5, one-sided at five in a thousand and a hundred.
+    assert 1 - upper_tails(8, 8)[8] <= 0.005 < 1 - upper_tails(8, 8)[9]
+    assert 1 - upper_tails(5, 5)[2] <= 0.01 < 1 - upper_tails(5, 5)[3]
+    wide = upper_tails(8, 5000)
+    assert wide[0] == 1 and wide[-1] == pytest.approx(1 / math.comb(5008, 8)) and wide[20000] == pytest.approx(0.5, abs=1e-4)
+
+
+def test_small_untied_arms_get_the_exact_law(spark):
+    a, b, tied = [3.5, 9.0, 7.25], [1.0, 2.0, 8.0, 4.0, -1.0], [1.0, 2.0, 2.0, 4.0, -1.0]
+    rows = [(m, v, arm) for m, other in (("free", b), ("tied", tied)) for arm, vs in ((True, a), (False, other)) for v in vs] + [("alone", 1.0, True)]
+    df = spark.createDataFrame(rows, "metric string, value double, arm boolean")
+    got = {r.metric: r for r in stats.mann_whitney(summaries.value_histogram(df, ["metric"], "value", F.col("arm"))).collect()}
+    u = sum(x > y for x in a for y in b)
+    us = [sum(x > y for x in pick for y in set(a + b) - set(pick)) for pick in combinations(a + b, 3)]
+    assert got["free"].u == u and got["free"].p_value == pytest.approx(sum(v >= u for v in us) / len(us)) and got["free"].exact_applicable
+    assert got["tied"].p_value == pytest.approx(0.5 * math.erfc(got["tied"].z / math.sqrt(2))) and not got["tied"].exact_applicable
+    assert got["alone"].p_value is None
+
+
+def test_tails_are_accurate(spark):
+    zs = [-40.0, -6.0, -2.6, -1.0, 0.0, 1e-9, 0.5, 2.4, 3.53, 3.54, 8.0, 30.0]
+    got = [r.p for r in spark.createDataFrame([(z,) for z in zs], "z double").select(normal_sf("z").alias("p")).collect()]
+    assert got == pytest.approx([0.5 * math.erfc(z / math.sqrt(2)) for z in zs], rel=1e-10)
+    # Even degrees of freedom have a closed form of their own; one degree is the square of a normal.
+    cases = [(x, d) for x in (0.0, 0.3, 4.0, 11.0, 60.0, 900.0) for d in (0, 1, 2, 3, 4, 9, 10)]
+    got = [r.p for r in spark.createDataFrame(cases, "x double, d long").select(chi2_sf("x", "d").alias("p")).collect()]
+    for (x, d), p in zip(cases, got):
+        h = x / 2
+        if d == 0 or x == 0:
+            want = 1.0
+        elif d % 2 == 0:
+            want = math.exp(-h) * sum(h**k / math.factorial(k) for k in range(d // 2))
+        else:
+            want = math.erfc(math.sqrt(h)) + math.exp(-h) * sum(h ** (k + 0.5) / math.gamma(k + 1.5) for k in range((d - 1) // 2))
+        assert p == pytest.approx(want, rel=1e-9, abs=1e-300), (x, d)
+
+
+def test_profiles_agree_with_and_without_bands(spark, monkeypatch):
+    a, b = _arms(7)
+    df = _frame(spark, a, b)
+    ask = lambda: stats.compare_groups(df.withColumn("other", F.col("value") * -2), ["value", "other"], F.col("arm")).orderBy("metric").collect()
+    plain = ask()
+    monkeypatch.setattr("ratertrail.functions.ordering.SMALL_ROWS", 0)
+    banded = ask()
+    for p, q in zip(plain, banded):
+        assert [p.metric, *p[1:-2], p[-1]] == [q.metric, *(pytest.approx(v) for v in q[1:-2]), pytest.approx(q[-1])]
+    assert plain[1].median_a == pytest.approx(median(a)) and plain[1].mean_b == pytest.approx(sum(b) / len(b))
