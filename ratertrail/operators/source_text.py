@@ -1,14 +1,16 @@
 """Finding entities in brace-language source text and testing their smell conditions.
 
-The text scans run as Arrow-batched pandas UDFs, each a few regular expressions long; the
-conditions on what they find are native expressions. Per revision nothing is scanned twice:
-``status_by_revision`` works once per distinct content and entity.
+A text is scanned once: comments and literals are blanked, and all declarations of types and functions are listed with
+their places (``Declarations``). Whatever is asked of the text is looked up there. The scans run as Arrow-batched
+pandas UDFs; the conditions on what they find are native expressions. ``status_by_revision`` brings each
+distinct content to the scan once, with all entities that are asked of it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,9 +26,9 @@ LONG_METHOD_LINES = 100
 BLOB_LINES, BLOB_FUNCTIONS = 200, 20
 TRIVIAL_FRACTION = 0.70
 WINDOW = 300
-NOT_FUNCTION_NAMES = frozenset(
-    "if for while switch catch synchronized return new instanceof throw assert do else try".split()
-)
+NOT_FUNCTION_NAMES = {
+    "if", "for", "while", "switch", "catch", "synchronized", "return", "new", "instanceof", "throw", "assert", "do", "else", "try",
+}
 TYPE_WORDS = ("class", "interface", "enum", "record")
 TRIVIAL_GETTER = r"\{\s*return\s+[\w.]+\s*;\s*\}"
 TRIVIAL_SETTER = r"\{\s*this\.\w+\s*=\s*\w+\s*;\s*\}"
@@ -41,11 +43,15 @@ _LITERAL = re.compile(
     r'"(?:[^"\\]+|\\[\s\S])*\\?(?P<dq>"?)' r"|'(?:[^'\\]+|\\[\s\S])*\\?(?P<sq>'?)" r"|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
 )
 _TO_BRACE = re.compile(r"[\s\w.,<>\[\]]{0,%d}\{" % (WINDOW - 2))
-# Read backwards from a "(": the name, and the "." or ":" that makes it a call or a reference.
-_NAMED = r"\s*(?P<name>{})\b(?P<member>[ \t]*[.:])?"
+# A name before "(", and the "." or ":" that makes it a call or a reference.
+_NAMED = r"(?:(?P<member>[.:])[ \t]*)?\b(?P<name>{})\s*\("
 _ANY_NAMED = re.compile(_NAMED.format(r"\w+"))
-# Read backwards from a type's name: the word that declares it, with the "@" of an annotation type.
-_DECLARED = re.compile(r"\s+(?:%s\s*@(?=\w)|(?:%s)\b)" % ("interface"[::-1], "|".join(w[::-1] for w in TYPE_WORDS)))
+# The word that declares a type, with the "@" of an annotation type that follows a word; then the name.
+_DECLARES = r"(?:(?<=\w)@\s*interface|\b(?:%s))\s+" % "|".join(TYPE_WORDS)
+_ANY_TYPE = re.compile(_DECLARES + r"(?=(?P<name>\w+))")
+_WORD = re.compile(r"\w+")
+# What ends a line for str.splitlines besides a line feed.
+_OTHER_LINE_END = re.compile("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _OPENERS, _CLOSERS = "<([{", ">)]}"
 
 
@@ -67,15 +73,15 @@ def masked(text: str) -> str:
     return _LITERAL.sub(_blank, text)
 
 
-def _parentheses(mask: str) -> list[tuple[int, int]]:
-    """Matched pairs, by position of the opening one, in one pass."""
-    stack, pairs = [], []
+def _parentheses(mask: str) -> dict[int, int]:
+    """The closing one of each opening parenthesis that has one."""
+    stack, pairs = [], {}
     for m in re.finditer(r"[()]", mask):
         if m.group() == "(":
             stack.append(m.start())
         elif stack:
-            pairs.append((stack.pop(), m.start()))
-    return sorted(pairs)
+            pairs[stack.pop()] = m.start()
+    return pairs
 
 
 def _closing_brace(mask: str, brace: int) -> int | None:
@@ -97,57 +103,123 @@ def _n_arguments(args: str) -> int:
     return commas + 1
 
 
-def _declarations(mask: str, names: re.Pattern) -> Iterator[tuple[str, int, str, int]]:
-    """``(name, its position, argument text, position of the body brace)`` of what looks like a declaration."""
-    backwards, size = mask[::-1], len(mask)
-    for start, end in _parentheses(mask):
-        if tail := _TO_BRACE.match(mask, end + 1):
-            m = names.match(backwards, size - start)
-            if m and not m.group("member"):
-                yield m.group("name")[::-1], size - m.end("name"), mask[start + 1 : end], tail.end() - 1
-
-
-def _span(text: str, mask: str, start: int, brace: int) -> dict | None:
-    end = _closing_brace(mask, brace)
-    if end is None:
-        return None
-    first, last = text.count("\n", 0, start) + 1, text.count("\n", 0, end) + 1
-    return {"start_line": first, "end_line": last, "body": "\n".join(text.splitlines()[first - 1 : last])}
+class Declarations:
+    """All declarations of one text, found in one scan; whatever is not needed is not computed."""
+
+    def __init__(self, text: str):
+        self.text = text
+        #: Literals and comments over several lines, by their ends.
+        self.wide: list[tuple[int, int]] = []
+
+    def _blanked(self, m: re.Match) -> str:
+        if "\n" in m.group():
+            self.wide.append(m.span())
+        return _blank(m)
+
+    @cached_property
+    def mask(self) -> str:
+        return _LITERAL.sub(self._blanked, self.text)
+
+    @cached_property
+    def closing(self) -> dict[int, int]:
+        return _parentheses(self.mask)
+
+    @cached_property
+    def types(self) -> dict[str, tuple[int, int]]:
+        """The first declaration of each type name: its start and the end of the name."""
+        found: dict[str, tuple[int, int]] = {}
+        for m in _ANY_TYPE.finditer(self.mask):
+            found.setdefault(m.group("name"), (m.start(), m.end("name")))
+        return found
+
+    @cached_property
+    def functions(self) -> list[tuple[str, int, str, int]]:
+        """``(name, its position, argument text, position of the body brace)`` of what looks like a declaration, in order."""
+        return self._functions(_ANY_NAMED)
+
+    def _functions(self, names: re.Pattern) -> list[tuple[str, int, str, int]]:
+        found = []
+        for m in names.finditer(self.mask):
+            end = None if m.group("member") else self.closing.get(m.end() - 1)
+            if end is not None and (tail := _TO_BRACE.match(self.mask, end + 1)):
+                found.append((m.group("name"), m.start("name"), self.mask[m.end() : end], tail.end() - 1))
+        return found
+
+    @cached_property
+    def by_name(self) -> dict[str, list[tuple[str, int, str, int]]]:
+        found: dict[str, list] = {}
+        for f in self.functions:
+            found.setdefault(f[0], []).append(f)
+        return found
+
+    def span(self, start: int, brace: int) -> dict | None:
+        end = _closing_brace(self.mask, brace)
+        if end is None:
+            return None
+        first, last = self.text.count("\n", 0, start) + 1, self.text.count("\n", 0, end) + 1
+        if _OTHER_LINE_END.search(self.text):
+            return {"start_line": first, "end_line": last, "body": "\n".join(self.text.splitlines()[first - 1 : last])}
+        low, high = self._lines(start, end)
+        return {"start_line": first, "end_line": last, "body": self.text[low:high]}
+
+    def _lines(self, start: int, end: int) -> tuple[int, int]:
+        """From the beginning of the line of ``start`` to the end of the line of ``end``."""
+        high = self.text.find("\n", end)
+        return self.text.rfind("\n", 0, start) + 1, len(self.text) if high < 0 else high
+
+    def _type(self, name: str) -> tuple[int, int] | None:
+        """Start and opening brace of the first type of that name."""
+        if _WORD.fullmatch(name):
+            found = self.types.get(name)
+        else:
+            m = re.search(_DECLARES + re.escape(name) + r"\b", self.mask)
+            found = m and m.span()
+        brace = self.mask.find("{", found[1]) if found else -1
+        return (found[0], brace) if brace >= 0 else None
+
+    def class_span(self, name: str) -> dict | None:
+        """First type declaration of that simple name, or None."""
+        found = self._type(name) if name in self.text else None
+        return self.span(*found) if found else None
+
+    def class_functions(self, name: str, body: str) -> list[dict]:
+        """The functions in the lines of a class that ``class_span`` has found."""
+        start, brace = self._type(name)
+        low, high = self._lines(start, _closing_brace(self.mask, brace))
+        if _OTHER_LINE_END.search(self.text) or any(a < low < b for a, b in self.wide):
+            # The lines read differently by themselves.
+            return function_list(body)
+        return [
+            {"name": f, "open_pos": at - low, "snippet": self.text[at + 1 : min(high, at + 1 + WINDOW)]}
+            for f, named, _, at in self.functions
+            if named >= low and at < high and f not in NOT_FUNCTION_NAMES
+        ]
+
+    def function_span(self, name: str, n_params: int | None) -> dict | None:
+        """First declaration of that name with ``n_params`` parameters, else the first of that name."""
+        if name not in self.text:
+            return None
+        named = self.by_name.get(name, []) if _WORD.fullmatch(name) else self._functions(re.compile(_NAMED.format(re.escape(name))))
+        exact = (f for f in named if n_params is not None and _n_arguments(f[2]) == n_params)
+        found = next(exact, named[0] if named else None)
+        return self.span(found[1], found[3]) if found else None
 
 
 def class_span(text: str, name: str) -> dict | None:
     """First type declaration of that simple name, or None."""
-    if name not in text:
-        return None
-    mask = masked(text)
-    backwards, size = mask[::-1], len(mask)
-    for named in re.finditer(re.escape(name) + r"\b", mask):
-        if declared := _DECLARED.match(backwards, size - named.start()):
-            brace = mask.find("{", named.end())
-            return _span(text, mask, size - declared.end(), brace) if brace >= 0 else None
-    return None
+    return Declarations(text).class_span(name)
 
 
 def function_span(text: str, name: str, n_params: int | None) -> dict | None:
     """First declaration of that name with ``n_params`` parameters, else the first of that name."""
-    if name not in text:
-        return None
-    mask = masked(text)
-    found = None
-    for _, start, args, brace in _declarations(mask, re.compile(_NAMED.format(re.escape(name[::-1])))):
-        exact = n_params is not None and _n_arguments(args) == n_params
-        if exact or found is None:
-            found = (start, brace)
-        if exact:
-            break
-    return _span(text, mask, *found) if found else None
+    return Declarations(text).function_span(name, n_params)
 
 
 def function_list(body: str) -> list[dict]:
     """Every function-shaped declaration at any depth, with the text after its opening brace."""
     return [
         {"name": name, "open_pos": brace, "snippet": body[brace + 1 : brace + 1 + WINDOW]}
-        for name, _, _, brace in _declarations(masked(body), _ANY_NAMED)
+        for name, _, _, brace in Declarations(body).functions
         if name not in NOT_FUNCTION_NAMES
     ]
 
@@ -194,19 +266,44 @@ def list_functions(body: pd.Series) -> pd.Series:
     return body.map(function_list, na_action="ignore")
 
 
-@F.pandas_udf(T.StructType([T.StructField("span", SPAN_TYPE), T.StructField("functions", FUNCTIONS_TYPE)]))
-def _read_entity(text: pd.Series, class_name: pd.Series, function_name: pd.Series, n_params: pd.Series) -> pd.DataFrame:
-    """The span of a class and its functions, or of a function (class name null), in one pass over the text."""
-    spans, functions = [], []
-    for t, c, f, p in zip(text, class_name, function_name, n_params):
-        on_class, span = isinstance(c, str), None
-        if isinstance(t, str) and on_class:
-            span = class_span(t, c)
-        elif isinstance(t, str) and isinstance(f, str):
-            span = function_span(t, f, None if pd.isna(p) else int(p))
-        spans.append(span)
-        functions.append(function_list(span["body"]) if span and on_class else None)
-    return pd.DataFrame({"span": pd.Series(spans, dtype=object), "functions": pd.Series(functions, dtype=object)})
+#: What is asked of a text: a class, or else a function with a number of parameters (null: any).
+ENTITY_TYPE = T.StructType().add("class_name", "string").add("function_name", "string").add("n_params", "integer")
+#: What the conditions count: of a class its functions, those that only get or set, and those with branches; of a function its calls.
+FACTS = ("n_functions", "n_trivial", "n_branching", "n_external", "n_internal")
+READ_TYPE = T.StructType([*SPAN_TYPE, *[T.StructField(f, T.IntegerType()) for f in FACTS], T.StructField("functions", FUNCTIONS_TYPE)])
+_ACCESSOR, _BRANCH = re.compile(f"{TRIVIAL_GETTER}|{TRIVIAL_SETTER}"), re.compile(CONTROL_FLOW)
+_EXTERNAL, _INTERNAL = re.compile(EXTERNAL_CALL), re.compile(INTERNAL_CALL)
+
+
+def read_entities(text: Column, entities: Column, texts_too: bool) -> Column:
+    """For an array of ``ENTITY_TYPE``, an array of ``READ_TYPE``; the text is scanned once. Bodies and functions come with ``texts_too`` only."""
+
+    @F.pandas_udf(T.ArrayType(READ_TYPE))
+    def read(texts: pd.Series, asked: pd.Series) -> pd.Series:
+        return pd.Series([_read(t, e, texts_too) for t, e in zip(texts, asked)], dtype=object)
+
+    return read(text, entities)
+
+
+def _read(text: str | None, asked: list[dict] | None, texts_too: bool) -> list[dict] | None:
+    if asked is None:
+        return None
+    found, known = [], Declarations(text) if isinstance(text, str) else None
+    for e in asked:
+        span, functions, facts = None, None, {}
+        if known and e["class_name"] is not None:
+            if span := known.class_span(e["class_name"]):
+                functions = known.class_functions(e["class_name"], span["body"])
+                snippets = [f["snippet"] for f in functions]
+                facts = {"n_functions": len(functions), "n_trivial": sum(1 for t in snippets if _ACCESSOR.search("{" + t)), "n_branching": sum(1 for t in snippets if _BRANCH.search(t))}
+        elif known and e["function_name"] is not None:
+            n = e["n_params"]
+            if span := known.function_span(e["function_name"], None if pd.isna(n) else int(n)):
+                facts = {"n_external": len(_EXTERNAL.findall(span["body"])), "n_internal": len(_INTERNAL.findall(span["body"]))}
+        if span and not texts_too:
+            span, functions = span | {"body": None}, None
+        found.append({**dict.fromkeys(READ_TYPE.names), **(span or {}), **facts, "functions": functions})
+    return found
 
 
 def span_lines(span: Column) -> Column:
@@ -217,25 +314,22 @@ def long_method_holds(span: Column, functions: Column | None = None) -> Column:
     return span_lines(span) >= LONG_METHOD_LINES
 
 
-def blob_holds(span: Column, functions: Column) -> Column:
-    return (span_lines(span) >= BLOB_LINES) & (F.size(functions) >= BLOB_FUNCTIONS)
+def blob_holds(span: Column, functions: Column | None = None) -> Column:
+    return (span_lines(span) >= BLOB_LINES) & (span["n_functions"] >= BLOB_FUNCTIONS)
 
 
-def data_class_holds(span: Column, functions: Column) -> Column:
+def data_class_holds(span: Column, functions: Column | None = None) -> Column:
     """Mostly trivial accessors and no branches, judged on the text after each opening brace."""
-    accessor = F.lit(f"(?U){TRIVIAL_GETTER}|{TRIVIAL_SETTER}")
-    branch = F.lit(f"(?U){CONTROL_FLOW}")
-    trivial = F.size(F.filter(functions, lambda f: F.regexp_like(F.concat(F.lit("{"), f["snippet"]), accessor)))
-    branching = F.exists(functions, lambda f: F.regexp_like(f["snippet"], branch))
-    return (F.size(functions) > 0) & (trivial / F.size(functions) >= TRIVIAL_FRACTION) & ~branching
+    n = span["n_functions"]
+    return (n > 0) & (F.try_divide(span["n_trivial"], n) >= TRIVIAL_FRACTION) & (span["n_branching"] == 0)
 
 
 def feature_envy_holds(span: Column, functions: Column | None = None) -> Column:
-    count = lambda pattern: F.regexp_count(span["body"], F.lit(f"(?U){pattern}"))
-    return count(EXTERNAL_CALL) > count(INTERNAL_CALL)
+    return span["n_external"] > span["n_internal"]
 
 
-# Condition per smell: a function of the entity's span and its declared functions. Open to additions.
+# Condition per smell: a function of what was read of the entity (``READ_TYPE``) and its declared functions. Open to
+# additions; these go by the counts alone, so the texts need not leave the scan.
 CONDITIONS: dict[str, Callable[[Column, Column], Column]] = {
     "long method": long_method_holds,
     "blob": blob_holds,
@@ -244,37 +338,61 @@ CONDITIONS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def entity_status(
-    df: DataFrame, content: str, smell: str, code_name: str, conditions: dict[str, Callable] | None = None
-) -> DataFrame:
-    """Adds ``alive, holds``: whether the named entity is in the text, and whether its smell's condition holds."""
-    conditions = CONDITIONS if conditions is None else conditions
+def _entity(smell: str, code_name: str) -> Column:
     on_class = F.col(smell).isin(*CLASS_SMELLS)
     fn = parse_function_name(code_name)
     class_name = F.when(on_class, F.coalesce(parse_class_name(code_name), F.lit("")))
-    read = _read_entity(F.col(content), class_name, F.when(~on_class, fn["function_name"]), fn["n_params"])
-    listed = df.withColumn("__read", read).withColumns({"__span": _or_null(F.col("__read.span")), "__fns": F.col("__read.functions")})
+    return F.struct(class_name.alias("class_name"), F.when(~on_class, fn["function_name"]).alias("function_name"), fn["n_params"].cast("int").alias("n_params"))
+
+
+def _judged(read: Column, smell: str, conditions: dict[str, Callable]) -> tuple[Column, Column]:
+    """``alive, holds`` from what was read of an entity."""
+    span, functions = _or_null(read), read["functions"]
     holds = F.lit(None).cast("boolean")
     for name, condition in conditions.items():
-        holds = F.when(F.col(smell) == name, condition(F.col("__span"), F.col("__fns"))).otherwise(holds)
-    alive = F.col("__span").isNotNull()
-    return listed.withColumns({"alive": alive, "holds": F.when(alive, holds)}).drop("__read", "__span", "__fns")
+        holds = F.when(F.col(smell) == name, condition(span, functions)).otherwise(holds)
+    return span.isNotNull(), F.when(span.isNotNull(), holds)
+
+
+def entity_status(
+    df: DataFrame, content: str, smell: str, code_name: str, conditions: dict[str, Callable] | None = None
+) -> DataFrame:
+    """Adds ``alive, holds``: whether the named entity is in the text, and whether its smell's condition holds.
+
+    Own conditions are functions of a struct with the span, its body and the ``FACTS``, and of the functions found in it.
+    """
+    listed = df.withColumn("__read", read_entities(F.col(content), F.array(_entity(smell, code_name)), conditions is not None)[0])
+    alive, holds = _judged(F.col("__read"), smell, CONDITIONS if conditions is None else conditions)
+    return listed.withColumns({"alive": alive, "holds": holds}).drop("__read")
+
+
+#: Entities that are asked of one content together; more of them are asked in several goes.
+ENTITIES_AT_ONCE = 256
 
 
 def status_by_revision(revisions: DataFrame, blobs: DataFrame, conditions: dict[str, Callable] | None = None) -> DataFrame:
     """Adds ``readable, alive, holds`` to revisions with ``repo, sha, path, smell, code_name``.
 
-    Texts are compared by digest; each distinct text is fetched once, for the entities asked of it.
+    Texts are compared by digest. Each distinct text is fetched and scanned once, and all entities asked of it are looked
+    up in its declarations (in goes of about ``ENTITIES_AT_ONCE``, so that no list grows without bound).
     """
-    key = ["repo", "sha", "path"]
+    key, what = ["repo", "sha", "path"], ["smell", "code_name"]
     digests = content_digests(blobs.join(revisions.select(*key).distinct(), key, "left_semi"))
     keyed = revisions.join(digests, key, "left")
-    asked = keyed.filter(F.col("digest").isNotNull()).select("digest", "smell", "code_name").distinct()
-    holder = keyed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct(*key)).alias("at")).select("digest", "at.*")
-    texts = holder.join(blobs, key).select("digest", "content")
-    judged = entity_status(asked.join(texts, "digest"), "content", "smell", "code_name", conditions).drop("content")
+    known = keyed.filter(F.col("digest").isNotNull())
+    asked = known.select("digest", *what).distinct()
+    holder = known.groupBy("digest").agg(F.min(F.struct(*key)).alias("at"), F.approx_count_distinct(F.struct(*what)).alias("n")).select("digest", "at.*", "n")
+    goes = F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / ENTITIES_AT_ONCE).cast("int")))
+    texts = holder.join(blobs, key).select("digest", "content", goes.alias("go"))
+    sizes = holder.select("digest", (F.floor(F.col("n") / ENTITIES_AT_ONCE) + 1).alias("goes"))
+    lists = asked.join(sizes, "digest").withColumn("go", F.pmod(F.xxhash64(*what), "goes").cast("int"))
+    lists = lists.groupBy("digest", "go").agg(F.collect_list(F.struct(*what, _entity(*what).alias("entity"))).alias("asked"))
+    read = lists.join(texts, ["digest", "go"]).withColumn("read", read_entities(F.col("content"), F.transform("asked", lambda a: a["entity"]), conditions is not None))
+    each = read.select("digest", F.explode(F.arrays_zip("asked", "read")).alias("z")).select("digest", "z.asked.smell", "z.asked.code_name", F.col("z.read").alias("read"))
+    alive, holds = _judged(F.col("read"), "smell", CONDITIONS if conditions is None else conditions)
+    judged = each.select("digest", *what, alive.alias("alive"), holds.alias("holds"))
     return (
-        keyed.join(judged, ["digest", "smell", "code_name"], "left")
+        keyed.join(judged, ["digest", *what], "left")
         .withColumn("readable", F.col("digest").isNotNull())
         .select(*revisions.columns, "readable", "alive", "holds")
     )

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,37 @@ def test_own_condition(spark):
     assert got.holds is True
 
 
+def test_functions_of_a_class_equal_those_of_its_lines_alone():
+    """Looked up in the declarations of the whole text, and found by reading the lines of the class again."""
+    rnd = random.Random(4)
+    parts = ["class ", "@interface ", "x@\ninterface ", "Foo", "bar", "foo", " ", "\n", "{", "}", "(", ")", ",", "//", "/*", "*/", '"', "'", "\\", "\r\n", "if", "return", ".", ":", "int a", "void "]
+    seen = 0
+    for k in range(4000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(5, 60)))
+        if k % 2:
+            text = f"/* {text.replace('*/', '')} */ class Foo {{ {text.replace(chr(34), '')} void foo(int a) {{ bar(); }} }}\n}}"
+        known = T.Declarations(text)
+        span = known.class_span("Foo")
+        if span:
+            assert known.class_functions("Foo", span["body"]) == T.function_list(span["body"]), text
+            seen += len(T.function_list(span["body"])) > 0
+    assert seen > 300
+
+
+def test_many_entities_of_one_content(spark, monkeypatch):
+    monkeypatch.setattr(T, "ENTITIES_AT_ONCE", 3)
+    names = [("blob", "p.Shape"), ("data class", "p.Rest"), ("blob", "p.Gone"), *[("long method", f"p.Shape#f{i}") for i in range(20)], ("feature envy", "p.Shape#getSize"), ("long method", "p.Shape.Part#show"), (None, None)]
+    revisions = spark.createDataFrame([("r", sha, "a", s, c) for sha in ("1", "2", "3") for s, c in names], "repo string, sha string, path string, smell string, code_name string")
+    blobs = spark.createDataFrame([("r", "1", "a", OUTER), ("r", "2", "a", OUTER), ("r", "3", "a", None)], "repo string, sha string, path string, content string")
+    out = T.status_by_revision(revisions, blobs).collect()
+    assert len(out) == 3 * len(names)
+    alive = {("blob", "p.Shape"), ("data class", "p.Rest"), ("feature envy", "p.Shape#getSize"), ("long method", "p.Shape.Part#show")}
+    for r in out:
+        assert r.readable == (r.sha != "3")
+        if r.readable and r.smell:
+            assert r.alive == ((r.smell, r.code_name) in alive)
+
+
 @pytest.mark.parametrize("name", ["getSize", "setSize"])
 def test_null_inputs(spark, name):
     df = spark.createDataFrame([(None, name), (OUTER, None), (OUTER, name)], "t string, n string")
