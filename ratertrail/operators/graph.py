@@ -1,21 +1,30 @@
 """Queries on commit graphs given as edge tables.
 
-Reachability goes by *jumps*: one chosen parent per commit forms chains, and joining the
-chain table with itself doubles the distance of a jump. A chain of n commits is closed in
-log2(n) joins instead of n; only switches to another parent of a merge cost a further round.
-Each round is written to the shared folder, so the rounds survive lost executors.
+Repositories of at most ``SMALL_EDGES`` edges are packed into groups of about that size and each group is swept in one
+task: in topological order, with a bit for each of a few roots, or with the longest path so far. Larger repositories
+go by *jumps*: one chosen parent per commit forms chains, and joining the chain table with itself
+doubles the distance of a jump. A chain of n commits is closed in log2(n) joins instead of n; only switches to another
+parent of a merge cost a further round. Each round is written to the shared folder, so the rounds survive lost executors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratertrail.functions.ordering import group_ordinal, time_band
 from ratertrail.session import cut_lineage
 
+#: Edges of a repository, or of a group of repositories, that one task may hold.
+SMALL_EDGES = 100_000
+#: Roots that are swept together; more roots of a repository go to further groups.
+ROOTS_AT_ONCE = 16
 CHANGE_ORDER = ("committer_date", "generation", "sha")
 
 
@@ -35,72 +44,240 @@ def jump_tables(commit_parents: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def reachable(
-    commit_parents: DataFrame, roots: DataFrame, commits: DataFrame | None = None, jumps: list[DataFrame] | None = None
-) -> DataFrame:
+def _sorted_by_size(commit_parents: DataFrame, repos: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Known edges with a ``pack`` for those of small repositories, and those of larger ones (None if there are none)."""
+    edges = commit_parents.filter(F.col("parent_sha").isNotNull())
+    edges = edges if repos is None else edges.join(repos.select("repo").distinct(), "repo", "left_semi")
+    sizes = cut_lineage(edges.groupBy("repo").agg(F.count("*").alias("edges")))
+    small = F.col("edges") <= SMALL_EDGES
+    total, large = sizes.agg(F.sum(F.when(small, F.col("edges"))), F.count_if(~small)).first()
+    # A few packs for each core where there is little to do; by size where there is much.
+    packs = max(-(-(total or 0) // SMALL_EDGES), min(4 * edges.sparkSession.sparkContext.defaultParallelism, (total or 0) // 500 + 1))
+    packed = edges.join(sizes.filter(~small), "repo", "left_anti") if large else edges
+    packed = packed.select("repo", "sha", "parent_sha", F.pmod(F.xxhash64("repo"), F.lit(packs)).alias("pack"))
+    return packed, edges.join(sizes.filter(~small), "repo", "left_semi") if large else None
+
+
+class _Graph:
+    """The commits of some repositories, numbered, and their edges in an order in which children come before parents."""
+
+    def __init__(self, edges: pd.DataFrame):
+        self.repo = np.concatenate([edges["repo"].to_numpy(object)] * 2)
+        self.sha = np.concatenate([edges["sha"].to_numpy(object), edges["parent_sha"].to_numpy(object)])
+        numbers, self.names = pd.factorize(self._named(self.repo, self.sha))
+        first = np.zeros(len(self.names), np.int64)
+        first[numbers[::-1]] = np.arange(len(numbers))[::-1]
+        self.repo, self.sha = self.repo[first], self.sha[first]
+        self.child, self.parent = numbers[: len(edges)], numbers[len(edges) :]
+
+    @staticmethod
+    def _named(repo: np.ndarray, sha: np.ndarray) -> np.ndarray:
+        return repo + "\0" + sha if len(repo) else np.zeros(0, object)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def number(self, repo: pd.Series, sha: pd.Series) -> np.ndarray:
+        """The number of each commit, -1 for one without edges."""
+        return pd.Index(self.names, dtype=object).get_indexer(self._named(repo.to_numpy(object), sha.to_numpy(object)))
+
+    def topological(self) -> np.ndarray | None:
+        """The places of the edges, children first; None if there is a cycle."""
+        order = np.argsort(self.child, kind="stable")
+        starts = np.searchsorted(self.child[order], np.arange(len(self) + 1))
+        waiting = np.bincount(self.parent, minlength=len(self))
+        ready, done = np.flatnonzero(waiting == 0), []
+        while len(ready):
+            # All edges of the commits that nothing waits for any more.
+            counts = starts[ready + 1] - starts[ready]
+            places = order[np.repeat(starts[ready] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())]
+            done.append(places)
+            freed = np.bincount(self.parent[places], minlength=0)
+            hit = np.flatnonzero(freed)
+            waiting[hit] -= freed[hit]
+            ready = hit[waiting[hit] == 0]
+        found = np.concatenate(done) if done else np.zeros(0, np.int64)
+        return found if len(found) == len(self.child) else None
+
+    def sweep(self, bits: np.ndarray) -> np.ndarray:
+        """The bits of every commit and of all from which it is reached."""
+        places = self.topological()
+        bits = bits.tolist()
+        child, parent = self.child.tolist(), self.parent.tolist()
+        if places is not None:
+            for e in places.tolist():
+                bits[parent[e]] |= bits[child[e]]
+            return np.array(bits, np.int64)
+        changed = True
+        while changed:
+            changed = False
+            for c, p in zip(child, parent):
+                if bits[c] & ~bits[p]:
+                    bits[p] |= bits[c]
+                    changed = True
+        return np.array(bits, np.int64)
+
+    def longest(self) -> np.ndarray:
+        """The number of steps on the longest way down from every commit."""
+        places = self.topological()
+        if places is None:
+            raise ValueError("the parents of some commits form a cycle")
+        steps, child, parent = [0] * len(self), self.child.tolist(), self.parent.tolist()
+        for e in reversed(places.tolist()):
+            c, p = child[e], parent[e]
+            if steps[p] >= steps[c]:
+                steps[c] = steps[p] + 1
+        return np.array(steps, np.int64)
+
+
+def _apart(df: DataFrame) -> DataFrame:
+    """The same columns under identities of their own, for a cogroup with a relative."""
+    return df.toDF(*df.columns)
+
+
+def _with_goes(roots: DataFrame, name: str) -> DataFrame:
+    """Distinct roots ``repo, name`` with a ``go`` and a ``bit``: few roots of a repository share a go."""
+    ordinal = F.row_number().over(W.partitionBy("repo").orderBy(name)) - 1
+    return roots.select("repo", name).distinct().withColumn("at", ordinal).select(
+        "repo", name, F.floor(F.col("at") / ROOTS_AT_ONCE).cast("int").alias("go"), (F.col("at") % ROOTS_AT_ONCE).cast("int").alias("bit"))
+
+
+def _swept(graph: _Graph, roots: pd.DataFrame, name: str) -> tuple[_Graph, np.ndarray]:
+    bits, at = np.zeros(len(graph), np.int64), graph.number(roots["repo"], roots[name])
+    np.bitwise_or.at(bits, at[at >= 0], np.int64(1) << roots["bit"].to_numpy(np.int64)[at >= 0])
+    return graph, graph.sweep(bits) if len(graph) else bits
+
+
+def _reach_in_tasks(packed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``repo, root, sha`` without the roots that have no edges."""
+    goes = _with_goes(roots, "root")
+    edges = _apart(packed.join(goes.select("repo", "go").distinct(), "repo"))
+    asked = goes.join(packed.select("repo", "pack").distinct(), "repo")
+
+    def reach(edges: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        graph, bits = _swept(_Graph(edges), asked, "root")
+        place = {(r, b): root for r, root, b in zip(asked["repo"], asked["root"], asked["bit"])}
+        hit, bit = np.nonzero(bits[:, None] >> np.arange(ROOTS_AT_ONCE)[None, :] & 1)
+        if not len(hit):
+            return pd.DataFrame()  # columns without rows don't survive the way back from a cogroup
+        repo = graph.repo[hit]
+        return pd.DataFrame({"repo": repo, "root": [place[at] for at in zip(repo, bit)], "sha": graph.sha[hit]})
+
+    return edges.groupBy("pack", "go").cogroup(asked.groupBy("pack", "go")).applyInPandas(reach, "repo string, root string, sha string")
+
+
+def reachable(commit_parents: DataFrame, roots: DataFrame, commits: DataFrame | None = None, sized: tuple | None = None) -> DataFrame:
     """``repo, root, sha``: every commit reachable from each root, itself included.
 
-    With ``commits`` given, roots not found there are unknown and reach nothing. ``jumps`` takes
-    the tables of ``jump_tables`` for the same parents when they exist already.
+    With ``commits`` given, roots not found there are unknown and reach nothing. ``sized`` takes the parents as sorted by
+    size already.
     """
-    roots = roots.select("repo", "root").distinct()
+    roots = roots.select(F.col("repo").cast("string").alias("repo"), F.col("root").cast("string").alias("root")).distinct()
     if commits is not None:
         roots = roots.join(commits.select("repo", F.col("sha").alias("root")), ["repo", "root"], "left_semi")
-    parents = commit_parents.filter(F.col("parent_sha").isNotNull())
-    if jumps is None:
-        parents = parents.join(roots.select("repo").distinct(), "repo", "left_semi")
-    levels = jump_tables(parents) if jumps is None else jumps
-    if not levels:
-        return roots.withColumn("sha", F.col("root"))
+    roots = cut_lineage(roots)
+    packed, large = _sorted_by_size(commit_parents, roots) if sized is None else sized
+    swept = _reach_in_tasks(packed, roots)
+    own = roots.withColumn("sha", F.col("root"))
+    if large is None:
+        # A root without edges reaches itself alone; the others come with the sweep.
+        return cut_lineage(swept.unionByName(own).distinct())
+    far = _reach_by_jumps(large, roots.join(large.select("repo").distinct(), "repo", "left_semi"))
+    return cut_lineage(swept.unionByName(own).unionByName(far).distinct())
+
+
+def _reach_by_jumps(parents: DataFrame, roots: DataFrame) -> DataFrame:
+    levels = jump_tables(parents)
     others = parents.select("repo", "sha", F.col("parent_sha").alias("to")).join(levels[0], ["repo", "sha", "to"], "left_anti")
     others = cut_lineage(others.distinct())
     merges = not others.isEmpty()
 
-    seen = None
+    seen: list[DataFrame] = []
     fresh = roots.withColumn("sha", F.col("root"))
     while True:
         span = fresh
         for level in reversed(levels):
             hop = span.join(level, ["repo", "sha"], "left")
             span = hop.select("repo", "root", F.explode(F.array_compact(F.array("sha", "to"))).alias("sha")).distinct()
-        if seen is None:
-            new = cut_lineage(span)
-            seen = new
-        else:
-            new = cut_lineage(span.join(seen, ["repo", "root", "sha"], "left_anti"))
-            seen = cut_lineage(seen.unionByName(new))
-        if not merges:
-            return seen
-        entry = new.join(others, ["repo", "sha"]).select("repo", "root", F.col("to").alias("sha")).distinct()
-        fresh = cut_lineage(entry.join(seen, ["repo", "root", "sha"], "left_anti"))
-        if fresh.isEmpty():
-            return seen
-
-
-def generation(commit_parents: DataFrame, commits: DataFrame, jumps: list[DataFrame] | None = None) -> DataFrame:
-    """``repo, sha, generation``: steps down the chain of chosen parents, 0 at its start."""
-    levels = jump_tables(commit_parents) if jumps is None else jumps
-    out = commits.select("repo", "sha").withColumns({"at": F.col("sha"), "generation": F.lit(0).cast("long")})
-    for exponent in reversed(range(len(levels))):
-        jump = levels[exponent].select("repo", F.col("sha").alias("at"), "to")
-        out = out.join(jump, ["repo", "at"], "left").select(
-            "repo",
-            "sha",
-            F.coalesce("to", "at").alias("at"),
-            (F.col("generation") + F.when(F.col("to").isNotNull(), 1 << exponent).otherwise(0)).alias("generation"),
-        )
-    return out.drop("at")
+        # What was seen before stays where it was written; only new rows are.
+        for before in seen:
+            span = span.join(before, ["repo", "root", "sha"], "left_anti")
+        seen.append(cut_lineage(span))
+        entry = seen[-1].join(others, ["repo", "sha"]).select("repo", "root", F.col("to").alias("sha")).distinct() if merges else None
+        for before in seen if merges else ():
+            entry = entry.join(before, ["repo", "root", "sha"], "left_anti")
+        fresh = cut_lineage(entry) if merges else None
+        if fresh is None or fresh.isEmpty():
+            return reduce(DataFrame.unionByName, seen)
+
+
+def generation(commit_parents: DataFrame, commits: DataFrame, sized: tuple | None = None) -> DataFrame:
+    """``repo, sha, generation``: steps on the longest way down to a commit without parents, so every parent is below its child.
+
+    Commits without edges are 0; a cycle of parents is an error.
+    """
+    packed, large = _sorted_by_size(commit_parents, commits) if sized is None else sized
+
+    def longest(edges: pd.DataFrame) -> pd.DataFrame:
+        graph = _Graph(edges)
+        return pd.DataFrame({"repo": graph.repo, "sha": graph.sha, "generation": graph.longest()})
+
+    found = packed.groupBy("pack").applyInPandas(longest, "repo string, sha string, generation long")
+    if large is not None:
+        found = found.unionByName(_generation_by_jumps(large))
+    return commits.select("repo", "sha").join(found, ["repo", "sha"], "left").fillna({"generation": 0})
+
+
+def _generation_by_jumps(parents: DataFrame) -> DataFrame:
+    """Longest ways by doubling along the chains; every switch to another parent on such a way costs a round."""
+    edges = parents.select("repo", "sha", F.col("parent_sha").alias("to")).distinct()
+    levels = jump_tables(parents)
+    others = cut_lineage(edges.join(levels[0], ["repo", "sha", "to"], "left_anti"))
+    nodes = edges.select("repo", "sha").unionByName(edges.select("repo", F.col("to").alias("sha"))).distinct()
+    now = cut_lineage(nodes.withColumn("generation", F.lit(0).cast("long")))
+    most = now.count()
+    while True:
+        for exponent, level in enumerate(levels):
+            below = now.select("repo", F.col("sha").alias("to"), (F.col("generation") + (1 << exponent)).alias("via"))
+            raised = level.join(below, ["repo", "to"]).select("repo", "sha", "via")
+            now = cut_lineage(now.join(raised, ["repo", "sha"], "left").select("repo", "sha", F.greatest("generation", "via").alias("generation")))
+        below = now.select("repo", F.col("sha").alias("to"), (F.col("generation") + 1).alias("via"))
+        raised = others.join(below, ["repo", "to"]).groupBy("repo", "sha").agg(F.max("via").alias("via"))
+        raised = cut_lineage(raised.join(now, ["repo", "sha"]).filter("via > generation").select("repo", "sha", "via"))
+        if raised.isEmpty():
+            return now
+        now = cut_lineage(now.join(raised, ["repo", "sha"], "left").select("repo", "sha", F.greatest("generation", "via").alias("generation")))
+        if now.agg(F.max("generation")).first()[0] > most:
+            raise ValueError("the parents of some commits form a cycle")
 
 
 def is_ancestor(pairs: DataFrame, commit_parents: DataFrame, commits: DataFrame | None = None) -> DataFrame:
-    """Adds ``is_ancestor`` to ``repo, commit, of``; a commit is its own ancestor, an unknown one is none."""
-    reach = reachable(commit_parents, pairs.select("repo", F.col("of").alias("root")), commits)
-    hit = reach.select("repo", F.col("root").alias("of"), F.col("sha").alias("commit"), F.lit(True).alias("__hit"))
-    return (
-        pairs.join(hit, ["repo", "of", "commit"], "left")
-        .withColumn("is_ancestor", F.coalesce("__hit", F.lit(False)))
-        .select(*pairs.columns, "is_ancestor")
-    )
+    """Adds ``is_ancestor`` to ``repo, commit, of``; a commit is its own ancestor, an unknown one is none.
+
+    The sweep answers the pairs that are asked, and nothing else is written.
+    """
+    asked = pairs.select(*[F.col(c).cast("string").alias(c) for c in ("repo", "commit", "of")]).dropna().distinct()
+    if commits is not None:
+        asked = asked.join(commits.select("repo", F.col("sha").alias("of")), ["repo", "of"], "left_semi")
+    asked = cut_lineage(asked)
+    packed, large = _sorted_by_size(commit_parents, asked)
+    goes = _with_goes(asked, "of")
+    edges = _apart(packed.join(goes.select("repo", "go").distinct(), "repo"))
+    placed = asked.join(goes, ["repo", "of"]).join(packed.select("repo", "pack").distinct(), "repo")
+
+    def answer(edges: pd.DataFrame, placed: pd.DataFrame) -> pd.DataFrame:
+        graph, bits = _swept(_Graph(edges), placed, "of")
+        at = graph.number(placed["repo"], placed["commit"])
+        hit = (at >= 0) & (np.r_[bits, 0][at] >> placed["bit"].to_numpy(np.int64) & 1 == 1)
+        return pd.DataFrame({c: placed[c].to_numpy(object)[hit] for c in ("repo", "commit", "of")}) if hit.any() else pd.DataFrame()
+
+    hits = edges.groupBy("pack", "go").cogroup(placed.groupBy("pack", "go")).applyInPandas(answer, "repo string, commit string, of string")
+    hits = hits.unionByName(asked.filter("commit = of").select("repo", "commit", "of"))
+    if large is not None:
+        far = _reach_by_jumps(large, asked.join(large.select("repo").distinct(), "repo", "left_semi").select("repo", F.col("of").alias("root")).distinct())
+        hits = hits.unionByName(far.select("repo", F.col("sha").alias("commit"), F.col("root").alias("of")).join(asked, ["repo", "commit", "of"], "left_semi"))
+    hits = hits.distinct().withColumn("__hit", F.lit(True))
+    return pairs.join(hits, ["repo", "commit", "of"], "left").withColumn("is_ancestor", F.coalesce("__hit", F.lit(False))).select(*pairs.columns, "is_ancestor")
 
 
 def content_digests(blobs: DataFrame) -> DataFrame:
@@ -196,41 +373,72 @@ def history_after(
     ``from_sha``. The walk starts at the head under the given path; before the latest change
     that renamed a file to the current name, the old name is followed.
     """
-    wanted = targets.select("repo", "path", "from_sha", "head_sha").distinct()
-    ends = wanted.select("repo", "from_sha", "head_sha").distinct()
+    key, span = ["repo", "path", "from_sha", "head_sha"], ["repo", "from_sha", "head_sha"]
+    wanted = targets.select(*key).distinct()
+    ends = cut_lineage(wanted.select(*span).distinct())
+    names = _names_in_question(wanted, file_changes)
+    sized = _sorted_by_size(commit_parents, ends)
+    commits = known = commits.join(ends.select("repo").distinct(), "repo", "left_semi")
+    touched = file_changes.select("repo", "sha", F.col("path").alias("name"), "old_path").join(names, ["repo", "name"], "left_semi")
+    if "generation" in order and "generation" not in commits.columns:
+        commits = commits.join(generation(commit_parents, commits, sized), ["repo", "sha"])
+    dated = touched.join(commits.select("repo", *dict.fromkeys(["sha", "committer_date", *order])), ["repo", "sha"])
     roots = ends.select("repo", F.explode(F.array("from_sha", "head_sha")).alias("root"))
-    wanted_repos = wanted.select("repo").distinct()
-    parents = commit_parents.join(wanted_repos, "repo", "left_semi")
-    commits = commits.join(wanted_repos, "repo", "left_semi")
-    jumps = jump_tables(parents)
-    reach = reachable(parents, roots, commits, jumps)
+    reach = reachable(commit_parents, roots, known, sized)
     upto_head = ends.join(reach.withColumnRenamed("root", "head_sha"), ["repo", "head_sha"])
-    before = reach.withColumnRenamed("root", "from_sha")
-    between = upto_head.join(before, ["repo", "from_sha", "sha"], "left_anti")
-    if "generation" in order and "generation" not in commits.columns:
-        commits = commits.join(generation(parents, commits, jumps), ["repo", "sha"])
-    dated = commits.select("repo", *dict.fromkeys(["sha", "committer_date", *order]))
-    changes = cut_lineage(
-        between.join(dated, ["repo", "sha"])
-        .join(file_changes.select("repo", "sha", F.col("path").alias("name"), "old_path"), ["repo", "sha"])
-        .withColumn("at", F.struct(*order))
-    )
+    between = upto_head.join(reach.withColumnRenamed("root", "from_sha"), ["repo", "from_sha", "sha"], "left_anti")
+    changes = cut_lineage(between.join(dated, ["repo", "sha"]).withColumn("at", F.struct(*order)))
 
-    key = ["repo", "path", "from_sha", "head_sha"]
-    active = wanted.withColumns({"name": F.col("path"), "below": F.lit(None).cast(changes.schema["at"].dataType)})
-    found = None
-    while True:
-        hits = active.join(changes, ["repo", "from_sha", "head_sha", "name"]).filter(F.col("below").isNull() | (F.col("at") < F.col("below")))
-        renames = cut_lineage(
-            hits.filter(F.col("old_path").isNotNull()).groupBy(*key).agg(F.max(F.struct("at", "old_path")).alias("r")).select(
-                *key, F.col("r.at").alias("since"), F.col("r.old_path").alias("old_name")
-            )
-        )
-        part = hits.join(renames, key, "left").filter(F.col("since").isNull() | (F.col("at") >= F.col("since")))
-        part = part.select(*key, "sha", *[c for c in order if c != "sha"], F.col("name").alias("path_at_commit"))
-        found = part if found is None else found.unionByName(part)
-        if renames.isEmpty():
-            break
-        active = renames.select(*key, F.col("old_name").alias("name"), F.col("since").alias("below"))
+    segments = _segments(wanted, changes, key, span)
+    inside = (F.col("below").isNull() | (F.col("at") < F.col("below"))) & (F.col("since").isNull() | (F.col("at") >= F.col("since")))
+    found = segments.join(changes, [*span, "name"]).filter(inside)
+    found = found.select(*key, "sha", *[c for c in order if c != "sha"], F.col("name").alias("path_at_commit"))
     numbered = group_ordinal(found, key, list(order), time_band("committer_date"))
     return numbered.select(*key, "ordinal", "sha", "committer_date", "path_at_commit")
+
+
+def _names_in_question(wanted: DataFrame, file_changes: DataFrame) -> DataFrame:
+    """``repo, name``: the asked paths, and every name that some rename in their repositories left behind; no other name is ever followed."""
+    renamed = file_changes.filter("old_path is not null").select("repo", F.col("old_path").alias("name"))
+    return wanted.select("repo", F.col("path").alias("name")).unionByName(renamed.join(wanted.select("repo").distinct(), "repo", "left_semi")).distinct()
+
+
+def _segments(wanted: DataFrame, changes: DataFrame, key: Sequence[str], span: Sequence[str]) -> DataFrame:
+    """``key, name, since, below``: under which name a file is followed from which change (null: the first) to before which.
+
+    A rename is a node; the one that counts before it is the latest older one to its old name. These
+    pointers are found for all renames at once and followed by doubling.
+    """
+    stamp = changes.schema["at"].dataType
+    renames = changes.filter(F.col("old_path").isNotNull()).groupBy(*span, "name", "at").agg(F.max("old_path").alias("old_path"))
+    renames = cut_lineage(renames)
+    none = F.lit(None).cast(stamp)
+    # For every start and every rename: the latest rename to the name it looks for that is older than it is.
+    seeks = renames.select(*span, F.col("old_path").alias("name"), F.col("at").alias("seen_at"), F.lit(None).cast("string").alias("path")).unionByName(
+        wanted.select(*span, F.col("path").alias("name"), none.alias("seen_at"), "path"))
+    line = renames.select(*span, "name", F.col("at").alias("seen_at"), F.lit(None).cast("string").alias("path"), F.lit(True).alias("is_rename")).unionByName(seeks.withColumn("is_rename", F.lit(False)))
+    # A start looks from the end of all changes; a rename does not see itself, nor one at the same change.
+    ordered = W.partitionBy(*span, "name").orderBy(F.col("seen_at").asc_nulls_last(), "is_rename").rowsBetween(W.unboundedPreceding, -1)
+    latest = F.last(F.when(F.col("is_rename"), F.col("seen_at")), ignorenulls=True).over(ordered)
+    pointers = cut_lineage(line.withColumn("next", latest).filter(~F.col("is_rename")).select(*span, "name", "seen_at", "path", "next"))
+    first = pointers.filter(F.col("path").isNotNull()).select(*key, F.col("next").alias("node"))
+    to = renames.select(*span, "at", "old_path").join(
+        pointers.filter(F.col("path").isNull()).select(*span, F.col("name").alias("old_path"), F.col("seen_at").alias("at"), "next"), [*span, "old_path", "at"])
+    # A change may rename several files, so a node is a change and the name it gave.
+    step = renames.join(to.select(*span, "at", "old_path", "next").distinct(), [*span, "at", "old_path"]).select(
+        *span, F.struct("at", "name").alias("node"), F.struct(F.col("next").alias("at"), F.col("old_path").alias("name")).alias("to"), F.col("old_path"))
+    step = cut_lineage(step)
+    starts = first.select(*key, F.struct(F.col("node").alias("at"), F.col("path").alias("name")).alias("node"))
+    levels, jump = [], step.select(*span, "node", "to")
+    while not jump.isEmpty():
+        levels.append(jump)
+        further = jump.select(*span, F.col("node").alias("to"), F.col("to").alias("far"))
+        jump = cut_lineage(jump.join(further, [*span, "to"]).select(*span, "node", F.col("far").alias("to")))
+    visited = starts
+    for level in reversed(levels):
+        hop = visited.join(level, [*span, "node"], "left")
+        visited = hop.select(*key, F.explode(F.array_compact(F.array("node", "to"))).alias("node")).distinct()
+    visited = cut_lineage(visited)
+    # A visited node stands for the name up to there: since its change (null: none renamed to it), and before the change that led to it.
+    led = visited.join(step, [*span, "node"]).select(*key, F.col("to").alias("node"), F.col("node.at").alias("below"))
+    return visited.join(led, [*key, "node"], "left").select(*key, F.col("node.name").alias("name"), F.col("node.at").alias("since"), "below")

@@ -43,12 +43,8 @@ _LITERAL = re.compile(
     r'"(?:[^"\\]+|\\[\s\S])*\\?(?P<dq>"?)' r"|'(?:[^'\\]+|\\[\s\S])*\\?(?P<sq>'?)" r"|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
 )
 _TO_BRACE = re.compile(r"[\s\w.,<>\[\]]{0,%d}\{" % (WINDOW - 2))
-# A name before "(", and the "." or ":" that makes it a call or a reference.
+# A name that is no plain word before "(", and the "." or ":" that makes it a call or a reference.
 _NAMED = r"(?:(?P<member>[.:])[ \t]*)?\b(?P<name>{})\s*\("
-_ANY_NAMED = re.compile(_NAMED.format(r"\w+"))
-# The word that declares a type, with the "@" of an annotation type that follows a word; then the name.
-_DECLARES = r"(?:(?<=\w)@\s*interface|\b(?:%s))\s+" % "|".join(TYPE_WORDS)
-_ANY_TYPE = re.compile(_DECLARES + r"(?=(?P<name>\w+))")
 _WORD = re.compile(r"\w+")
 # What ends a line for str.splitlines besides a line feed.
 _OTHER_LINE_END = re.compile("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
@@ -93,6 +89,38 @@ def _closing_brace(mask: str, brace: int) -> int | None:
     return None
 
 
+def _is_word(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
+
+
+def _is_blank(ch: str) -> bool:
+    return ch in " \t"
+
+
+def _skip_back(text: str, end: int, what: Callable[[str], bool]) -> int:
+    """Where the run of such characters begins that ends at ``end``."""
+    while end and what(text[end - 1]):
+        end -= 1
+    return end
+
+
+def _declaring_word(mask: str, name_at: int) -> int | None:
+    """Where the word begins that declares the type whose name is here, with the "@" of an annotation type that follows a word."""
+    end = _skip_back(mask, name_at, str.isspace)
+    if end == name_at or not mask.endswith(TYPE_WORDS, 0, end):
+        return None
+    for word in TYPE_WORDS:
+        if mask.endswith(word, 0, end):
+            start = end - len(word)
+            if word == "interface":
+                at = _skip_back(mask, start, str.isspace)
+                if at > 1 and mask[at - 1] == "@" and _is_word(mask[at - 2]):
+                    return at - 1
+            if not start or not _is_word(mask[start - 1]):
+                return start
+    return None
+
+
 def _n_arguments(args: str) -> int:
     if not args.strip():
         return 0
@@ -124,25 +152,26 @@ class Declarations:
     def closing(self) -> dict[int, int]:
         return _parentheses(self.mask)
 
-    @cached_property
-    def types(self) -> dict[str, tuple[int, int]]:
-        """The first declaration of each type name: its start and the end of the name."""
-        found: dict[str, tuple[int, int]] = {}
-        for m in _ANY_TYPE.finditer(self.mask):
-            found.setdefault(m.group("name"), (m.start(), m.end("name")))
-        return found
-
     @cached_property
     def functions(self) -> list[tuple[str, int, str, int]]:
         """``(name, its position, argument text, position of the body brace)`` of what looks like a declaration, in order."""
-        return self._functions(_ANY_NAMED)
+        found, mask = [], self.mask
+        for start, end in sorted(self.closing.items()):
+            if tail := _TO_BRACE.match(mask, end + 1):
+                high = _skip_back(mask, start, str.isspace)
+                low = _skip_back(mask, high, _is_word)
+                before = _skip_back(mask, low, _is_blank)
+                if low < high and not (before and mask[before - 1] in ".:"):
+                    found.append((mask[low:high], low, mask[start + 1 : end], tail.end() - 1))
+        return found
 
-    def _functions(self, names: re.Pattern) -> list[tuple[str, int, str, int]]:
+    def _functions_named(self, name: str) -> list[tuple[str, int, str, int]]:
+        """The same for a name that is not one plain word."""
         found = []
-        for m in names.finditer(self.mask):
+        for m in re.finditer(_NAMED.format(re.escape(name)), self.mask):
             end = None if m.group("member") else self.closing.get(m.end() - 1)
             if end is not None and (tail := _TO_BRACE.match(self.mask, end + 1)):
-                found.append((m.group("name"), m.start("name"), self.mask[m.end() : end], tail.end() - 1))
+                found.append((name, m.start("name"), self.mask[m.end() : end], tail.end() - 1))
         return found
 
     @cached_property
@@ -169,13 +198,12 @@ class Declarations:
 
     def _type(self, name: str) -> tuple[int, int] | None:
         """Start and opening brace of the first type of that name."""
-        if _WORD.fullmatch(name):
-            found = self.types.get(name)
-        else:
-            m = re.search(_DECLARES + re.escape(name) + r"\b", self.mask)
-            found = m and m.span()
-        brace = self.mask.find("{", found[1]) if found else -1
-        return (found[0], brace) if brace >= 0 else None
+        for m in re.finditer(re.escape(name) + r"\b", self.mask):
+            start = _declaring_word(self.mask, m.start())
+            if start is not None:
+                brace = self.mask.find("{", m.end())
+                return (start, brace) if brace >= 0 else None
+        return None
 
     def class_span(self, name: str) -> dict | None:
         """First type declaration of that simple name, or None."""
@@ -199,7 +227,7 @@ class Declarations:
         """First declaration of that name with ``n_params`` parameters, else the first of that name."""
         if name not in self.text:
             return None
-        named = self.by_name.get(name, []) if _WORD.fullmatch(name) else self._functions(re.compile(_NAMED.format(re.escape(name))))
+        named = self.by_name.get(name, []) if _WORD.fullmatch(name) else self._functions_named(name)
         exact = (f for f in named if n_params is not None and _n_arguments(f[2]) == n_params)
         found = next(exact, named[0] if named else None)
         return self.span(found[1], found[3]) if found else None

@@ -115,3 +115,85 @@ def test_effective_commits(spark):
         "m0": ("m0", False, None), "m1": ("m1", False, None), "lost": ("m0", True, None),
         "gone": (None, False, "remap_candidate_not_ancestor_of_head"), "odd": (None, False, "commit_not_ancestor_of_head"),
     }
+
+
+def _ladder(n):
+    """Two lines whose longest way changes sides at every step."""
+    return [("l", f"a{i + 1}", f"a{i}") for i in range(n)] + [("l", f"b{i + 1}", f"b{i}") for i in range(n)] + [("l", f"a{i}", f"b{i}") for i in range(1, n + 1)] + [("l", f"b{i + 1}", f"a{i}") for i in range(n)]
+
+
+def _longest(edges):
+    parents = {}
+    for _, child, parent in edges:
+        parents.setdefault(child, []).append(parent)
+    known = {}
+
+    def steps(c):
+        if c not in known:
+            known[c] = max((1 + steps(p) for p in parents.get(c, [])), default=0)
+        return known[c]
+
+    return {c: steps(c) for e in edges for c in e[1:]}
+
+
+@pytest.mark.parametrize("small", [100_000, 1])
+def test_parents_are_below_their_children(spark, monkeypatch, small):
+    monkeypatch.setattr(G, "SMALL_EDGES", small)
+    graphs = {"l": _ladder(4), "r": _random_graph(5, 25)}
+    edges = [e for g in graphs.values() for e in g]
+    parents = spark.createDataFrame(edges, "repo string, sha string, parent_sha string")
+    commits = spark.createDataFrame([(r, c) for r, g in graphs.items() for c in {c for e in g for c in e[1:]} | {"alone"}], "repo string, sha string")
+    got = {(r.repo, r.sha): r.generation for r in G.generation(parents, commits).collect()}
+    assert all(got[r, c] > got[r, p] for r, c, p in edges) and got["l", "alone"] == 0
+    for r, g in graphs.items():
+        assert {c: n for (repo, c), n in got.items() if repo == r and c != "alone"} == _longest(g)
+
+
+def test_cycles_are_an_error_for_generations_only(spark):
+    parents = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a"), ("r", "c", "d")], "repo string, sha string, parent_sha string")
+    with pytest.raises(Exception, match="cycle"):
+        G.generation(parents, spark.createDataFrame([("r", "a")], "repo string, sha string")).collect()
+    assert {r.sha for r in G.reachable(parents, spark.createDataFrame([("r", "b")], "repo string, root string")).collect()} == set("abcd")
+
+
+@pytest.mark.parametrize("small", [100_000, 30])
+def test_many_roots_and_pairs(spark, monkeypatch, small):
+    """More roots than go together, and a repository beyond the size of one task beside a small one."""
+    monkeypatch.setattr(G, "SMALL_EDGES", small)
+    graphs = {"r": _random_graph(8, 40), "s": _random_graph(9, 12, "s"), "t": []}
+    edges = [e for g in graphs.values() for e in g]
+    parents = spark.createDataFrame([*edges, ("s", "c000", None)], "repo string, sha string, parent_sha string")
+    names = [f"c{i:03d}" for i in range(40)]
+    pairs = [(r, a, b) for r in graphs for a in [*names[::3], "lost"] for b in [*names[1::2], "lost"]] + [(None, "c001", "c001"), ("r", None, "c001")]
+    commits = spark.createDataFrame([(r, c) for r in graphs for c in names], "repo string, sha string")
+    for known in (None, commits):
+        got = G.is_ancestor(spark.createDataFrame([*pairs, pairs[0]], "repo string, commit string, of string"), parents, known).collect()
+        assert len(got) == len(pairs) + 1
+        for r in got:
+            up = _ancestors([e for e in edges if e[0] == r.repo], r.of)
+            assert r.is_ancestor == (r.repo is not None and r.commit in up and (known is None or r.of != "lost")), r
+    roots = spark.createDataFrame([(r, c) for r in graphs for c in names], "repo string, root string")
+    got = [(r.repo, r.root, r.sha) for r in G.reachable(parents, roots).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(r, c, a) for r, g in graphs.items() for c in names for a in _ancestors(g, c)}
+
+
+def test_chains_of_renames_take_few_rounds(spark, monkeypatch):
+    """64 renames of one file, another file that takes up an old name, and a rename back to the first name."""
+    n = 66
+    names = [f"c{i:02d}" for i in range(n)]
+    parents = spark.createDataFrame([("r", names[i], names[i - 1]) for i in range(1, n)], "repo string, sha string, parent_sha string")
+    changes = [("r", names[i], f"f{i}", f"f{i - 1}") for i in range(1, 65)] + [("r", names[40], "f3", None), ("r", names[65], "f0", "f64"), ("r", names[41], "g", "f3"), ("r", names[41], "h", "g")]
+    changes = spark.createDataFrame(changes, "repo string, sha string, path string, old_path string")
+    targets = spark.createDataFrame([("r", p, "c00", "c65") for p in ("f64", "f0", "g", "h", "none")], "repo string, path string, from_sha string, head_sha string")
+    rounds = []
+    monkeypatch.setattr(G, "cut_lineage", lambda df, cut=G.cut_lineage: rounds.append(1) or cut(df))
+    out = G.history_after(targets, _commits(spark, names), parents, changes)
+    seen = {}
+    for r in sorted(out.collect(), key=lambda r: r.ordinal):
+        seen.setdefault(r.path, []).append((r.sha, r.path_at_commit))
+    line = [(names[i], f"f{i}") for i in range(1, 65)]
+    assert seen["f64"] == line and seen["f0"] == [*line, ("c65", "f0")] and "none" not in seen
+    assert seen["g"] == [("c01", "f1"), ("c02", "f2"), ("c03", "f3"), ("c40", "f3"), ("c41", "g")]
+    # Within one change a rename doesn't follow another one.
+    assert seen["h"] == [("c41", "h")]
+    assert len(rounds) < 40
