@@ -146,11 +146,26 @@ def _(spark, sf):
     return rounded(M.mutual_information(revenue.join(part, "id"), ["x"], "y", "id", jitter=False), mi=6)
 
 
-@query("mutual_information_tied")
+def _tied_sql(f: str) -> str:
+    """The same for one metric, its ties broken by the hash of the row's key."""
+    unit = _HASH.format(seed=42) + "::double / 1152921504606846976.0::double"
+    return f"""select '{f}' as feature, round(greatest({_digamma("count(*)::double")} + {_digamma("3.0::double")} - avg({_digamma("ny::double")}) - avg({_digamma("m::double")}), 0), 6) as mi from (
+    select a.ny, greatest((select count(*) from p_{f} b where b.x > a.lo and b.x < a.hi), 1) as m from (
+      select *, case when up then x - gap else v end as lo, case when up then v else x + gap end as hi from (
+        select *, near[3].d as gap, near[3].up as up, near[3].v as v from (
+          select x, y, count(*) over (partition by y) as ny, list_sort([{{'d': x - lag(x, 1) over w, 'up': false, 'v': lag(x, 1) over w}}, {{'d': x - lag(x, 2) over w, 'up': false, 'v': lag(x, 2) over w}}, {{'d': x - lag(x, 3) over w, 'up': false, 'v': lag(x, 3) over w}},
+            {{'d': lead(x, 1) over w - x, 'up': true, 'v': lead(x, 1) over w}}, {{'d': lead(x, 2) over w - x, 'up': true, 'v': lead(x, 2) over w}}, {{'d': lead(x, 3) over w - x, 'up': true, 'v': lead(x, 3) over w}}], 'ASC', 'NULLS LAST') as near
+          from (select severity_consensus as y, {f}::double + {unit} * 1e-10::double * greatest(1.0::double, (select avg(abs({f}::double)) from dataset)) as x from dataset) window w as (partition by y order by x)))) a)"""
+
+
+_TIED = ", ".join(f"p_{f} as (select {f}::double + {_HASH.format(seed=42)}::double / 1152921504606846976.0::double * 1e-10::double * greatest(1.0::double, (select avg(abs({f}::double)) from dataset)) as x from dataset)" for f in _NUMBERS)
+
+
+@query("mutual_information_tied", dataset_sql("select *, row_number() over (order by mi desc, feature) as place from (" + " union all ".join(_tied_sql(f) for f in _NUMBERS) + ")", ", " + _TIED))
 def _(spark, sf):
     """Integer metrics, their many ties broken by the jitter."""
     df = cut_lineage(_dataset(spark, sf))
-    return M.rank_features(M.mutual_information(df, _NUMBERS, "severity_consensus", "instance_id"))
+    return M.rank_features(rounded(M.mutual_information(df, _NUMBERS, "severity_consensus", "instance_id"), mi=6))
 
 
 @query("rank_features", dataset_sql("""select smell as feature, avg(loc) as mi, row_number() over (order by avg(loc) desc, smell) as place from dataset group by 1""").replace("avg(loc) as mi", "round(avg(loc), 6) as mi"))
@@ -266,5 +281,5 @@ def _(spark, sf):
         return df.filter(ok).select("event_id", "user_id", (F.col("value") * 2).alias("doubled")), df.filter(~ok)
 
     for _ in range(2):
-        out = process_incrementally(stream, "event_id", operator, f"{root}/out", f"{root}/failed", f"{root}/checkpoint")
+        out = process_incrementally(stream, "event_id", operator, f"{root}/store", f"{root}/checkpoint")
     return out

@@ -11,42 +11,87 @@ from ratertrail.operators.graph import remap_commit
 from ratertrail.plans.pipelines import _as_declared, complexity_table, persistence_table
 from ratertrail.session import run_folder, scratch_path
 from ratertrail.sources import schemas, tables
+from ratertrail.streaming import incremental
 from ratertrail.streaming.incremental import process_incrementally
 
 T0 = datetime(2024, 1, 1)
 
 
+def _runner(spark, tmp_path, operator):
+    src, store, check = (str(tmp_path / n) for n in ("in", "store", "check"))
+
+    def run(folder=check):
+        stream = spark.readStream.schema("k int, v string").parquet(src)
+        return sorted(r.k for r in process_incrementally(stream, "k", operator, store, folder).collect())
+
+    return run, lambda ks: spark.createDataFrame([(k, "x") for k in ks], "k int, v string").coalesce(1).write.mode("append").parquet(src), store
+
+
 def test_reruns_add_nothing_and_retry_failures(spark, tmp_path):
-    src, out, failed, check = (str(tmp_path / n) for n in ("in", "out", "failed", "check"))
     broken = {2, 5}
 
     def operator(df):
         bad = F.col("k").isin(*broken) if broken else F.lit(False)
         return df.filter(~bad), df.filter(bad)
 
-    def run():
-        stream = spark.readStream.schema("k int, v string").parquet(src)
-        return sorted(r.k for r in process_incrementally(stream, "k", operator, out, failed, check).collect())
-
-    add = lambda ks: spark.createDataFrame([(k, "x") for k in ks], "k int, v string").write.mode("append").parquet(src)
-    add([1, 2, 3])
+    run, add, store = _runner(spark, tmp_path, operator)
+    add([1, 2, 3, 3])
     assert run() == [1, 3] == run()
     add([3, 4, 5])
     assert run() == [1, 3, 4], "a key already done is not processed again"
+    assert sorted(r.k for r in incremental.open_failures(spark, store).collect()) == [2, 5]
     broken.clear()
     assert run() == [1, 2, 3, 4, 5] == run()
-    assert spark.read.parquet(failed).isEmpty()
-
-
-def test_a_swap_cut_short_loses_no_failure(spark, tmp_path):
-    src, out, failed, check = (str(tmp_path / n) for n in ("in", "out", "failed", "check"))
-    spark.createDataFrame([(1, "x")], "k int, v string").write.parquet(src)
-    # The last run replaced the failed rows, but ended before it had written them anew.
-    spark.createDataFrame([(7, "open")], "k int, v string").write.parquet(failed + "-retry")
-    spark.createDataFrame([], "k int, v string").write.parquet(failed)
-    stream = spark.readStream.schema("k int, v string").parquet(src)
-    got = process_incrementally(stream, "k", lambda df: (df, df.limit(0)), out, failed, check).collect()
-    assert sorted(r.k for r in got) == [1, 7] and spark.read.parquet(failed).isEmpty()
+    assert incremental.open_failures(spark, store).isEmpty()
+    # The same files under a new checkpoint are new batches, but all their keys are done.
+    assert run(str(tmp_path / "other")) == [1, 2, 3, 4, 5]
+
+
+def test_a_run_that_ends_between_any_two_writes_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    """The first run ends before, the second after each write in turn; what is published stays whole."""
+
+    class Ended(Exception):
+        pass
+
+    left = {"steps": None}
+
+    def ending(step):
+        def wrapped(*args):
+            if left["steps"] == 0:
+                raise Ended
+            step(*args)
+            left["steps"] = None if left["steps"] is None else left["steps"] - 1
+
+        return wrapped
+
+    monkeypatch.setattr(incremental, "_write", ending(incremental._write))
+    monkeypatch.setattr(incremental, "_publish", ending(incremental._publish))
+    odd = lambda df: (df.filter("k % 5 > 0"), df.filter("k % 5 = 0"))
+    run, add, store = _runner(spark, tmp_path, odd)
+    given = []
+    for k in range(5):
+        given += [10 * k + 1, 10 * k + 2, 10 * k + 5]
+        add(given[-3:] + given[:2])
+        left["steps"] = k
+        if k < 4:
+            with pytest.raises(Exception):
+                run()
+        left["steps"] = None
+        assert run() == [g for g in given if g % 5] == run()
+        assert sorted(r.k for r in incremental.open_failures(spark, store).collect()) == [g for g in given if not g % 5]
+    published = incremental.manifests(spark, store)
+    assert [m["number"] for m in published] == list(range(1, len(published) + 1))
+
+
+def test_only_key_lists_in_range_are_read(spark, tmp_path, monkeypatch):
+    run, add, store = _runner(spark, tmp_path, lambda df: (df, df.limit(0)))
+    for ks in ([1, 2], [100, 101], [1000]):
+        add(ks)
+        run()
+    read = []
+    monkeypatch.setattr(incremental, "_read", lambda s, store, epochs, part, own=incremental._read: read.append((part, [m["number"] for m in epochs])) or own(s, store, epochs, part))
+    add([101, 102, 20])
+    assert run() == [1, 2, 20, 100, 101, 102, 1000] and ("keys", [2]) in read
 
 
 JAVA = "class A {\n%s}"
