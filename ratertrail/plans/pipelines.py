@@ -95,14 +95,15 @@ def measured_commits(
     """Per repository: ``original_sha, effective_sha, remapped`` and, where it couldn't be measured, ``reason, detail``.
 
     ``cloned`` lists repositories; ``checkouts`` (repo, sha, ok, error) and ``tool_runs`` (repo, ok,
-    readable, error) hold outcomes, and what has no row failed. A failed checkout is tried again at the
+    readable, error) hold outcomes, and what has no row failed. Of several attempts a successful one counts, then the one
+    whose error text comes last. A failed checkout is tried again at the
     commit that the first path's content re-identifies, when ``commits`` and ``blobs`` are given.
     Tables left out stand for success everywhere.
     """
     state = representatives(instances)
     yes = F.lit(True)
     state = state.withColumn("here", yes) if cloned is None else state.join(cloned.select(F.col("repository").alias("repo"), yes.alias("here")).distinct(), "repo", "left")
-    tries = None if checkouts is None else checkouts.groupBy("repo", "sha").agg(F.max_by(F.struct("ok", "error"), F.col("ok").cast("int")).alias("t"))
+    tries = None if checkouts is None else checkouts.groupBy("repo", "sha").agg(F.max(F.struct("ok", "error")).alias("t"))
     none = F.lit(None).cast("string")
     if tries is None:
         state = state.withColumns({"ok": yes, "error": none})
@@ -118,7 +119,7 @@ def measured_commits(
     if tool_runs is None:
         state = state.withColumns({"ran": yes, "readable": yes, "run_error": none})
     else:
-        runs = tool_runs.groupBy("repo").agg(F.max_by(F.struct("ok", "readable", "error"), F.col("ok").cast("int")).alias("t"))
+        runs = tool_runs.groupBy("repo").agg(F.max(F.struct("ok", "readable", "error")).alias("t"))
         state = state.join(runs.select("repo", F.coalesce("t.ok", F.lit(False)).alias("ran"), F.coalesce("t.readable", F.lit(False)).alias("readable"), F.col("t.error").alias("run_error")), "repo", "left")
     out, then = F.col("ok"), F.coalesce("then_ok", F.lit(False))
     both = F.concat(F.lit("original: "), F.coalesce("error", F.lit("")), F.lit(" | after remap to "), F.col("candidate_sha"), F.lit(": "), F.coalesce("then_error", F.lit("")))

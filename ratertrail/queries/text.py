@@ -124,7 +124,9 @@ def _(spark, sf):
 # of the main line holds the text of its order, in which the class always is called Order.
 
 
-def _pipeline(spark, sf):
+def _pipeline(spark, sf, fates=False):
+    """The stage's tables run through it. With ``fates`` a customer's number mod 5 decides what befalls its repository: nothing (0),
+    the labelled commit was rewritten and is found again (1), was never seen (2), there is no clone (3), no such file (4)."""
     commits, parents, heads = _graph(spark, sf)
     texts = _sources(spark, sf).select("repo", F.lpad(F.col("k").cast("string"), 12, "0").alias("sha"), F.lit("src/Order.java").alias("path"),
                                        F.regexp_replace("text", "class Order\\d+", "class Order").alias("content"))
@@ -137,6 +139,15 @@ def _pipeline(spark, sf):
     )
     changes = commits.select("repo", "sha", F.lit("src/Order.java").alias("path"), F.lit(None).cast("string").alias("old_path"))
     stamps = commits.withColumns({"author_date": F.lit("d"), "subject": F.col("sha")})
+    if fates:
+        fate, lost = F.col("repository").cast("long") % 5, F.concat(F.lit("lost-"), "commit_hash")
+        instances = instances.withColumns({"commit_hash": F.when(fate.isin(1, 2), lost).otherwise(F.col("commit_hash")), "path": F.when(fate == 4, "/src/None.java").otherwise(F.col("path"))})
+        heads = heads.filter(F.col("repo").cast("long") % 5 != 3)
+        # The rewritten commit is a twin of the first one of the main line: the same stamps and text under another hash.
+        twin = starts.filter(F.col("repo").cast("long") % 5 == 1).select("repo", F.col("commit_hash").alias("sha"))
+        renamed = lambda t: t.join(twin, ["repo", "sha"], "left_semi").withColumn("sha", F.concat(F.lit("lost-"), "sha"))
+        stamps, texts = stamps.unionByName(renamed(stamps)), cut_lineage(texts)
+        texts = texts.unionByName(renamed(texts))
     # These stand for stored tables, so they are written before the stage reads them.
     return persistence_table(*[cut_lineage(t) for t in (instances, heads, stamps, parents, changes, texts)])
 
@@ -159,6 +170,20 @@ def _(spark, sf):
     return table.select("instance_id", "n_revisions_observed", "persistence_revisions", "censored", "death_reason", "death_commit", "persistence_days")
 
 
+@query("persistence_pipeline_provenance", f"""with {_GRAPH}, shape as ({_SHAPE}), starts as (select repo, min_by(sha, (committer_date, sha)) as sha, min_by(n, (committer_date, sha)) as k from main group by 1),
+  given as (select s.repo, s.sha, s.repo::bigint % 5 as fate, v.smell, h.n from starts s join shape h using (k) cross join (values ('data class'), ('feature envy')) v(smell)),
+  judged as (select *, case when fate = 3 then 'repo_not_cloned' when fate = 2 then 'commit_not_ancestor_of_head' when fate = 4 then 'path_unreadable_at_labelled_commit'
+    when smell = 'feature envy' and n = 0 then 'entity_not_found_at_labelled_commit' end as reason from given)
+  select repo || '::' || smell as instance_id, reason, case when reason is null then case when fate = 1 then 'lost-' else '' end || sha end as original_commit_hash,
+    case when reason is null then sha end as effective_commit_hash, case when reason is null then fate = 1 end as commit_remapped from judged""")
+def _(spark, sf):
+    """Every instance: the commits it was walked from, or why it was not."""
+    table, failures = _pipeline(spark, sf, fates=True)
+    none = F.lit(None).cast("string")
+    walked = table.select("instance_id", none.alias("reason"), "original_commit_hash", "effective_commit_hash", "commit_remapped")
+    return walked.unionByName(failures.select("instance_id", "reason", none.alias("original_commit_hash"), none.alias("effective_commit_hash"), F.lit(None).cast("boolean").alias("commit_remapped")))
+
+
 def _complexity(spark, sf):
     part = V.table(spark, sf, "part")
     key = F.col("p_partkey")
