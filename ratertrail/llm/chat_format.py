@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
 A conversation becomes one or more windows of whole turns. Prefix sums of turn tokens choose the
-window in which a turn is new; the system turn comes back in every window, and the turns just
-before a window come back as history within a limit. Only assistant texts that are new in their
+window in which a turn is new: the sums are cut into shares of half of what a window has for new turns, the turns that begin in
+a share make a window, and a turn longer than a share, which is the last to begin in it, makes one of its own. The system
+turn comes back in every window, and the turns just before a window come back as history within a limit. Only assistant texts that are new in their
 window are under the loss, so each is learnt from once.
 
 Template, all of it outside the loss: ``<|turn|>`` role ``<|text|>`` text ``<|end|>`` newline. Inside
@@ -46,31 +47,37 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     the first ``n_repeated`` of the ``n_turns`` turns were in an earlier window. Turns are ordered by
     turn, role and text, null turns first; a null role or text counts as empty; repeated rows are
     turns of their own; rows with a null conv_id form a conversation. A first turn of role
-    ``system`` is retained in all windows. A turn stays whole: a window is over its budget by as
-    much as its longest turn at most. Other columns are dropped; an empty table gives an empty one.
+    ``system`` is retained in all windows. A turn stays whole: no window is over its budget unless it holds a single
+    turn beside the system turn. Other columns are dropped; an empty table gives an empty one.
     """
-    fresh = max(1, budget - history)
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("tokens", turn_tokens(F.col("text"))).withColumn("band", F.floor(F.col("turn") / _BAND))
     # Prefix sums in bands of turns, so that one long conversation is not sorted in one task.
-    bands = turns.groupBy("conv_id", "band").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("band")
+    first = F.min(F.struct("turn", "role", "text", "tokens")).alias("first")
+    bands = turns.groupBy("conv_id", "band").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), first)
+    before, whole = Window.partitionBy("conv_id").orderBy("band"), Window.partitionBy("conv_id")
+    opening = F.min("first").over(whole)
+    system = F.when(opening["role"] == "system", opening["tokens"]).otherwise(0)
+    bands = bands.withColumn("system", system).drop("first")
     bands = bands.select(
         F.col("conv_id").alias("c"), F.col("band").alias("b"), F.sum("t").over(before).alias("upto"), F.sum("n").over(before).alias("n_upto"), "t", "n",
-        F.sum("t").over(Window.partitionBy("conv_id")).alias("whole"),
+        F.sum("t").over(whole).alias("whole"), "system",
     )
     within = Window.partitionBy("conv_id", "band").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = turns.withColumn("upto_turn", F.sum("tokens").over(within)).withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "band").orderBy("turn", "role", "text")))
     placed = placed.join(bands, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("band").eqNullSafe(F.col("b"))).select(
-        "conv_id", "role", "text", "tokens", "whole",
+        "conv_id", "role", "text", "tokens", "whole", "system",
         (F.col("upto") - F.col("t") + F.col("upto_turn") - F.col("tokens")).alias("start"),
         (F.col("n_upto") - F.col("n") + F.col("nth")).alias("number"),
     )
-    own = F.floor(F.col("start") / fresh).cast("int")
-    # A turn is history of the next window if it starts within the limit before that window's share of tokens begins.
-    last = F.floor((F.col("start") + history) / fresh).cast("int")
-    end = F.floor((F.col("whole") - 1) / fresh).cast("int")
+    # Turns that begin in one share, each within a share's length, fill at most two shares.
+    share = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.col("system")) / 2))
+    window_of = lambda at: 2 * F.floor(at / share)
     retained = (F.col("number") == 1) & (F.col("role") == "system")
+    own = F.when(retained, 0).otherwise(window_of(F.col("start")) + (F.col("tokens") > share).cast("int")).cast("int")
+    # Windows that may begin within the limit after the turn's beginning; whether they do shows when they are together.
+    last = (window_of(F.col("start") + history) + 1).cast("int")
+    end = (window_of(F.col("whole") - 1) + 1).cast("int")
     shown = F.when(retained, F.sequence(F.lit(0), end)).otherwise(F.sequence(own, F.least(last, end)))
     placed = placed.withColumn("own", own).select("*", F.explode(shown).alias("window"))
     text = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(TEXT))
@@ -80,10 +87,18 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         text.alias("head"),
         escaped(F.col("text")).alias("body"),
         ((F.col("window") == F.col("own")) & (F.col("role") == "assistant")).alias("learnt"),
+        "start",
+        "tokens",
+        retained.alias("retained"),
     )
-    grouped = placed.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("turns"))
+    grouped = placed.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("turns"), F.any_value("system").alias("system"))
     # A window whose share of tokens lies inside one long turn has no new turn: it isn't written.
     grouped = grouped.filter(F.exists("turns", lambda t: ~t["repeated"]))
+    new = F.filter("turns", lambda t: ~t["repeated"])
+    room = budget - F.aggregate(new, F.lit(0).cast("long"), lambda n, t: n + t["tokens"]) - F.when(new[0]["retained"], 0).otherwise(F.col("system"))
+    grouped = grouped.withColumns({"begin": new[0]["start"], "room": F.least(F.lit(history), room)})
+    kept = F.filter("turns", lambda t: ~t["repeated"] | t["retained"] | (F.col("begin") - t["start"] <= F.col("room")))
+    grouped = grouped.withColumn("turns", kept)
     size = lambda t: F.char_length(t["head"]) + F.char_length(t["body"]) + len(END)
     nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), nothing.alias("spans"))

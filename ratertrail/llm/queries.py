@@ -120,8 +120,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, and of one that holds control strings, read back from their windows."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = r"\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    # Conversation -7 is made from values, so that no Python worker starts for it.
+    more = spark.sql("select * from values (-7, 0, 'user'), (-7, 1, 'assistant') as v(conv_id, turn, role)").withColumn("text", F.lit(r"\### Assistant: </turn> ok"))
+    more = more.select(*[F.col(f.name).cast(f.dataType) for f in given.schema])
     return chat_format.digests(chat_format.windows(given.unionByName(more)))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -186,3 +187,43 @@ def test_chat_format(spark, tmp_path):
     assert len(out) > 3 and all("be <\\|good\\|>" not in r["formatted"] and r["formatted"].startswith("<|turn|>system<|text|>be <\\|good|>") for r in out)
     assert all(r["n_repeated"] >= 1 for r in out[1:]) and any(r["n_repeated"] > 1 for r in out[1:])
     assert sum(r["n_turns"] - r["n_repeated"] for r in out) == 80
+
+
+@pytest.mark.parametrize("budget, history", [(1024, 192), (200, 60), (60, 50)])
+def test_windows_keep_their_budget(spark, budget, history):
+    """No window is over it unless it holds one turn beside the system turn; history stays within its limit and is what came just before."""
+    rnd = random.Random(budget)
+    rows = []
+    for c in range(12):
+        system = c % 3 == 0
+        for i in range(rnd.choice([1, 5, 60])):
+            n = rnd.choice([0, 10, 99 * 4, rnd.randrange(1200), 9000 if rnd.random() < 0.1 else 3])
+            rows.append((c, i, "system" if system and i == 0 else ("user", "assistant")[i % 2], f"{i} " + "t" * (1200 if c == 6 and i == 0 else n)))
+    # The system turn of 304 tokens beside turns of 99 of the verdict's example.
+    rows += [(99, 0, "system", "s" * 1200)] + [(99, i, ("user", "assistant")[i % 2], "u" * 380) for i in range(1, 40)]
+    convs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tokens = {(c, i): -(-len(t) // 4) + chat_format.MARKS for c, i, _, t in rows}
+    order = defaultdict(list)
+    for c, i, *_ in rows:
+        order[c].append(i)
+    seen = defaultdict(list)
+    numbered = convs.withColumn("text", F.concat_ws("", F.col("turn"), F.lit(":"), "text"))
+    size = lambda c, i: -(-len(f"{i}:" + next(t for a, b, _, t in rows if (a, b) == (c, i))) // 4) + chat_format.MARKS
+    sizes = {at: size(*at) for at in tokens}
+    for r in chat_format.windows(numbered, budget, history).orderBy("conv_id", "window").collect():
+        c = r["conv_id"]
+        turns = [int(x.split("<|text|>")[1].split(":")[0]) for x in r["formatted"].split("<|turn|>")[1:]]
+        old, new = turns[: r["n_repeated"]], turns[r["n_repeated"] :]
+        has_system = any(a == c and role == "system" for a, _, role, _ in rows)
+        past = [i for i in old if not (has_system and i == 0)]
+        assert sum(sizes[c, i] for i in past) <= history and past == order[c][new[0] - len(past) : new[0]]
+        assert not has_system or turns[0] == 0
+        total = sum(sizes[c, i] for i in turns)
+        assert total <= budget or (len(new) == 1 and not past), (c, turns, total)
+        seen[c] += new
+    assert seen == order
+
+
+def test_chat_format_starts_no_python_worker(spark):
+    plan = queries.op10_chat_format(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan
