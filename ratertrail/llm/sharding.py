@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ratertrail.session import cut_lineage
+
 SHARDS = 16
 #: Bytes of text in a bucket on average, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 32_000_000, 64
 SEED = 20_240_601
+#: Rows of one key and text length above which they are numbered, so that they scatter as well.
+CROWD = 1000
 #: Buckets whose offsets one task adds up.
 _BAND = 4096
 
@@ -44,19 +48,23 @@ def shuffled_shards(
 
     Shard s holds the rows at positions s * n / shards and on, so counts are at most one apart and
     slots are gapless from 0. The order depends on the rows, the seed and the bucket sizes, not on
-    partitions. Null keys and texts are values like others; equal rows can't be told apart and take
-    neighbouring buckets' places as they come; an empty table gives an empty one. Columns named
+    partitions, but for more than ``CROWD`` rows of one key and text length: these are written with a number each, and scatter by
+    it, so repeated rows fill no bucket. Null keys and texts are values like others; an empty table gives an empty one. Columns named
     ``shard`` or ``slot`` are replaced.
     """
     own = [c for c in docs.columns if c not in ("shard", "slot")]
     n_buckets = bucket_count(docs, text, bucket_bytes, least)
     k, t = F.col(f"`{key}`"), F.col(f"`{text}`")
-    mixed = F.xxhash64(k, F.octet_length(t), F.lit(seed))
-    bucket = F.pmod(mixed, F.lit(n_buckets)).cast("int")
-    counts = docs.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    hashed = docs.select(F.xxhash64(k, F.octet_length(t), F.lit(seed)).alias("mixed"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    crowds = cut_lineage(hashed.groupBy("mixed").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("mixed"))
+    if not crowds.isEmpty():
+        numbered = cut_lineage(hashed.join(crowds, "mixed", "left_semi").withColumn("mixed", F.xxhash64("mixed", F.monotonically_increasing_id())))
+        hashed = hashed.join(crowds, "mixed", "left_anti").unionByName(numbered)
+    bucket = F.pmod("mixed", F.lit(n_buckets)).cast("int")
+    counts = hashed.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
     n = counts.agg(F.sum("n")).first()[0] or 0
-    entry = F.struct(F.xxhash64(mixed, F.lit(1)).alias("at"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
-    scattered = docs.select(bucket.alias("bucket"), entry.alias("entry"), F.lit(None).cast("long").alias("before"))
+    entry = F.struct(F.xxhash64("mixed", F.lit(1)).alias("at"), "row")
+    scattered = hashed.select(bucket.alias("bucket"), entry.alias("entry"), F.lit(None).cast("long").alias("before"))
     # A row for each bucket brings its offset along, so there is no join after the scatter.
     heads = _offsets(counts).select("bucket", F.lit(None).cast(scattered.schema["entry"].dataType).alias("entry"), F.col("before").cast("long").alias("before"))
     held = scattered.unionByName(heads).repartition(n_buckets, "bucket").groupBy("bucket").agg(F.max("before").alias("before"), F.collect_list("entry").alias("entries"))

@@ -227,3 +227,15 @@ def test_windows_keep_their_budget(spark, budget, history):
 def test_chat_format_starts_no_python_worker(spark):
     plan = queries.op10_chat_format(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ExistingRDD" not in plan
+
+
+def test_repeated_rows_scatter(spark, monkeypatch):
+    """Rows that are all alike fill all buckets about equally, and none is lost."""
+    docs = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text")).unionByName(spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")))
+    sizes = []
+    monkeypatch.setattr(sharding, "_offsets", lambda counts, own=sharding._offsets: sizes.extend(r["n"] for r in counts.collect()) or own(counts))
+    out = sharding.shuffled_shards(docs)
+    per = out.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("alike")).collect()
+    assert sum(r["n"] for r in per) == 63_000 and max(r["n"] for r in per) - min(r["n"] for r in per) <= 1 and all(r["slots"] == r["n"] == r["last"] + 1 for r in per)
+    assert len(sizes) == 64 and max(sizes) < 1.3 * 63_000 / 64 and all(3400 < r["alike"] < 4000 for r in per)
+    assert out.filter("doc_id is not null").select("doc_id", "text").distinct().count() == 3000
