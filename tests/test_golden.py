@@ -10,6 +10,7 @@ from ratertrail.functions.tails import chi2_sf, normal_sf
 from ratertrail.models import splits
 from ratertrail.operators import audit, evaluation, stats
 
+# Published counts of grades in relevant and other projects.
 RELEVANT = {"none": 7467, "minor": 441, "major": 265, "critical": 65}
 OTHER = {"none": 1138, "minor": 77, "major": 55, "critical": 9}
 
@@ -36,7 +37,7 @@ def test_tails(spark):
 def test_effect_size_from_u_and_moments(spark):
     assert 2 * 1544100 / (346 * 8180) - 1 == pytest.approx(0.09112879291094873)
     cols = "n_a long, mean_a double, var_a double, n_b long, mean_b double, var_b double"
-    # Arms pooled from the published count, mean and SD per grade.
+    # The published count, mean and SD per grade, from which the arms are pooled.
     by_grade = {"none": (7731, 1.8112792652955634, 6.3639677027881225), "minor": (449, 2.7928730512249444, 9.587209810490533),
                 "major": (283, 2.964664310954064, 9.478914009060773), "critical": (63, 8.714285714285714, 30.43895454704466)}
 
@@ -51,7 +52,7 @@ def test_effect_size_from_u_and_moments(spark):
     assert d == pytest.approx(0.2990419511095849)
 
 
-# Test-set matrices (rows are true grades) with accuracy and macro precision, recall and F1.
+# Published test-set matrices (rows are true grades) with accuracy and macro precision, recall and F1.
 FOUR = {
     "Random Forest": ([[1455, 12, 6, 2], [52, 23, 11, 1], [23, 5, 25, 0], [4, 0, 7, 2]], (0.9244, 0.6084, 0.4691, 0.5104)),
     "Gradient Boosting": ([[1464, 5, 5, 1], [52, 28, 7, 0], [19, 10, 22, 2], [5, 1, 5, 2]], (0.9312, 0.6378, 0.4708, 0.5248)),
