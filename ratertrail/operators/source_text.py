@@ -9,10 +9,13 @@ distinct content to the scan once, with all entities that are asked of it.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -258,9 +261,26 @@ def _spans(results: list[dict | None]) -> pd.DataFrame:
     return frame.astype({"start_line": "Int32", "end_line": "Int32"})
 
 
-@F.pandas_udf(T.StringType())
-def mask_source(text: pd.Series) -> pd.Series:
-    return text.map(masked, na_action="ignore")
+#: Bytes of text that are turned into Python strings at once; an Arrow batch may hold many times that.
+TEXT_AT_ONCE = 1 << 22
+
+
+def _portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """An array of texts in slices of about ``TEXT_AT_ONCE`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // TEXT_AT_ONCE
+    starts = np.flatnonzero(np.r_[len(part) > 0, part[1:] != part[:-1]])
+    for low, high in zip(starts, np.r_[starts[1:], len(part)]):
+        yield texts.slice(low, high - low)
+
+
+@F.arrow_udf(T.StringType())
+def mask_source(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        if not len(texts):
+            yield pa.array([], pa.string())
+        for part in _portions(texts):
+            yield pa.array([None if t is None else masked(t) for t in part.to_pylist()], pa.string())
 
 
 @F.pandas_udf(SPAN_TYPE)

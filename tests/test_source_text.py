@@ -147,3 +147,16 @@ def test_null_inputs(spark, name):
     df = spark.createDataFrame([(None, name), (OUTER, None), (OUTER, name)], "t string, n string")
     found = df.select(T.find_function_span(F.col("t"), F.col("n"), F.lit(None).cast("int")).alias("s")).collect()
     assert [r.s is None for r in found] == [True, True, False]
+
+
+def test_texts_are_masked_and_listed_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a // b", None, "", "int f() { g(\"}\"); }" * 40, "x" * 500, None, "void h(int a) { }"]
+    monkeypatch.setattr(T, "TEXT_AT_ONCE", 300)
+    parts = list(T._portions(pa.array(texts)))
+    assert len(parts) > 2 and [t for p in parts for t in p.to_pylist()] == texts
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = df.select("i", T.mask_source("t").alias("m"), T.list_functions("t").alias("f")).orderBy("i").collect()
+    assert [r["m"] for r in got] == [None if t is None else T.masked(t) for t in texts]
+    assert [r["f"] and [f.asDict() for f in r["f"]] for r in got] == [None if t is None else T.function_list(t) for t in texts]
