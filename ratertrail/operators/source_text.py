@@ -49,8 +49,11 @@ _TO_BRACE = re.compile(r"[\s\w.,<>\[\]]{0,%d}\{" % (WINDOW - 2))
 # A name that is no plain word before "(", and the "." or ":" that makes it a call or a reference.
 _NAMED = r"(?:(?P<member>[.:])[ \t]*)?\b(?P<name>{})\s*\("
 _WORD = re.compile(r"\w+")
+# A ")" with a brace behind it, and, read backwards from its "(", the name and the "." or ":" that makes it a call or a reference.
+_CLOSED = re.compile(r"\)(?=[\s\w.,<>\[\]]{0,%d}(\{))" % (WINDOW - 2))
+_BEFORE = re.compile(r"\s*(\w+)[ \t]*([.:]?)")
 # What ends a line for str.splitlines besides a line feed.
-_OTHER_LINE_END = re.compile("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+_OTHER_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _OPENERS, _CLOSERS = "<([{", ">)]}"
 
 
@@ -84,14 +87,29 @@ def _parentheses(mask: str) -> dict[int, int]:
 
 
 def _closing_brace(mask: str, brace: int) -> int | None:
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(mask, brace):
-        depth += 1 if m.group() == "{" else -1
+    depth, at = 0, brace
+    while (end := mask.find("}", at)) >= 0:
+        depth += mask.count("{", at, end) - 1
         if depth == 0:
-            return m.start()
+            return end
+        at = end + 1
     return None
 
 
+def _ends_at_word(text: str, name: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each place of a name that a word boundary follows."""
+    if not name:
+        yield from (m.span() for m in re.finditer(r"\b", text))
+        return
+    inner, at = _is_word(name[-1]), text.find(name)
+    while at >= 0:
+        end = at + len(name)
+        bounded = inner != (end < len(text) and _is_word(text[end]))
+        if bounded:
+            yield at, end
+        at = text.find(name, end if bounded else at + 1)
+
+
 def _is_word(ch: str) -> bool:
     return ch.isalnum() or ch == "_"
 
@@ -155,18 +173,30 @@ class Declarations:
     def closing(self) -> dict[int, int]:
         return _parentheses(self.mask)
 
+    @cached_property
+    def opening(self) -> dict[int, int]:
+        return {end: start for start, end in self.closing.items()}
+
+    @cached_property
+    def other_line_ends(self) -> bool:
+        return any(c in self.text for c in _OTHER_LINE_ENDS)
+
     @cached_property
     def functions(self) -> list[tuple[str, int, str, int]]:
         """``(name, its position, argument text, position of the body brace)`` of what looks like a declaration, in order."""
         found, mask = [], self.mask
-        for start, end in sorted(self.closing.items()):
-            if tail := _TO_BRACE.match(mask, end + 1):
-                high = _skip_back(mask, start, str.isspace)
-                low = _skip_back(mask, high, _is_word)
-                before = _skip_back(mask, low, _is_blank)
-                if low < high and not (before and mask[before - 1] in ".:"):
-                    found.append((mask[low:high], low, mask[start + 1 : end], tail.end() - 1))
-        return found
+        backwards, n = mask[::-1], len(mask)
+        for m in _CLOSED.finditer(mask):
+            end = m.start()
+            start = mask.rfind("(", max(0, end - WINDOW), end)
+            if start < 0 or mask.find(")", start, end) >= 0:
+                # Far away, or others in between.
+                start = self.opening.get(end, -1)
+            before = _BEFORE.match(backwards, n - start) if start >= 0 else None
+            if before and not before.group(2):
+                low, high = n - before.end(1), n - before.start(1)
+                found.append((start, (mask[low:high], low, mask[start + 1 : end], m.start(1))))
+        return [f for _, f in sorted(found)]
 
     def _functions_named(self, name: str) -> list[tuple[str, int, str, int]]:
         """The same for a name that is not one plain word."""
@@ -189,7 +219,7 @@ class Declarations:
         if end is None:
             return None
         first, last = self.text.count("\n", 0, start) + 1, self.text.count("\n", 0, end) + 1
-        if _OTHER_LINE_END.search(self.text):
+        if self.other_line_ends:
             return {"start_line": first, "end_line": last, "body": "\n".join(self.text.splitlines()[first - 1 : last])}
         low, high = self._lines(start, end)
         return {"start_line": first, "end_line": last, "body": self.text[low:high]}
@@ -201,10 +231,10 @@ class Declarations:
 
     def _type(self, name: str) -> tuple[int, int] | None:
         """Start and opening brace of the first type of that name."""
-        for m in re.finditer(re.escape(name) + r"\b", self.mask):
-            start = _declaring_word(self.mask, m.start())
+        for at, end in _ends_at_word(self.mask, name):
+            start = _declaring_word(self.mask, at)
             if start is not None:
-                brace = self.mask.find("{", m.end())
+                brace = self.mask.find("{", end)
                 return (start, brace) if brace >= 0 else None
         return None
 
@@ -217,7 +247,7 @@ class Declarations:
         """The functions in the lines of a class that ``class_span`` has found."""
         start, brace = self._type(name)
         low, high = self._lines(start, _closing_brace(self.mask, brace))
-        if _OTHER_LINE_END.search(self.text) or any(a < low < b for a, b in self.wide):
+        if self.other_line_ends or any(a < low < b for a, b in self.wide):
             # The lines read differently by themselves.
             return function_list(body)
         return [
@@ -309,9 +339,22 @@ def find_function_span(text: Column, name: Column, n_params: Column) -> Column:
     return _or_null(_find_function_span(text, name, n_params))
 
 
-@F.pandas_udf(FUNCTIONS_TYPE)
-def list_functions(body: pd.Series) -> pd.Series:
-    return body.map(function_list, na_action="ignore")
+@F.arrow_udf(FUNCTIONS_TYPE)
+def list_functions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        if not len(texts):
+            yield _function_lists([])
+        for part in _portions(texts):
+            yield _function_lists([None if t is None else function_list(t) for t in part.to_pylist()])
+
+
+def _function_lists(found: list[list[dict] | None]) -> pa.Array:
+    """An Arrow array of ``FUNCTIONS_TYPE``, built column by column."""
+    ends = np.cumsum([0, *[len(f or ()) for f in found]]).astype(np.int32)
+    cells = [c for f in found for c in f or ()]
+    columns = [pa.array([c[k] for c in cells], t) for k, t in (("name", pa.string()), ("open_pos", pa.int32()), ("snippet", pa.string()))]
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, ["name", "open_pos", "snippet"]))
+    return pc.if_else(pa.array([f is not None for f in found], pa.bool_()), lists, None) if None in found else lists
 
 
 #: What is asked of a text: a class, or else a function with a number of parameters (null: any).

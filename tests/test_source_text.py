@@ -160,3 +160,27 @@ def test_texts_are_masked_and_listed_in_slices(spark, monkeypatch):
     got = df.select("i", T.mask_source("t").alias("m"), T.list_functions("t").alias("f")).orderBy("i").collect()
     assert [r["m"] for r in got] == [None if t is None else T.masked(t) for t in texts]
     assert [r["f"] and [f.asDict() for f in r["f"]] for r in got] == [None if t is None else T.function_list(t) for t in texts]
+
+
+def test_nested_and_far_parentheses_pair_as_on_a_stack():
+    text = "int a(@B(1) int x) { } int b(" + "int y, " * 100 + "int z) { } c(d() { }) { } ) { } .e() { } (f) {"
+    mask, pairs = T.masked(text), {}
+    stack = []
+    for i, ch in enumerate(mask):
+        if ch == "(":
+            stack.append(i)
+        elif ch == ")" and stack:
+            pairs[stack.pop()] = i
+    found = [(f[0], f[2]) for f in T.Declarations(text).functions]
+    assert [n for n, _ in found] == ["a", "b", "c", "d"] and found[0][1] == "@B(1) int x"
+    for name, args in found:
+        start = next(s for s in pairs if text[:s].endswith(name))
+        assert text[start + 1 : pairs[start]] == args
+
+
+def test_names_need_no_pattern_each(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a pattern for a name")
+
+    monkeypatch.setattr(T.re, "finditer", refuse)
+    assert T.class_span("class Ab { } class A { }", "A")["body"] == "class Ab { } class A { }"
