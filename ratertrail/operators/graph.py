@@ -283,7 +283,7 @@ def is_ancestor(pairs: DataFrame, commit_parents: DataFrame, commits: DataFrame
 def content_digests(blobs: DataFrame) -> DataFrame:
     """Content by SHA-256 and length, taken at the scan so that texts stay out of shuffles."""
     return blobs.filter(F.col("content").isNotNull()).select(
-        "repo", "sha", "path", F.struct(F.sha2("content", 256), F.length("content")).alias("digest")
+        "repo", "sha", "path", F.struct(F.sha2("content", 256).alias("hash"), F.length("content").alias("length")).alias("digest")
     )
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ratertrail.functions.scalar import CLASS_SMELLS, parse_class_name, parse_function_name
 from ratertrail.operators.graph import content_digests
+from ratertrail.session import cut_lineage
 
 # Thresholds of the conditions, the look-ahead window, words before "(" that name
 # no function, and the patterns of trivial accessors, branches and calls.
@@ -461,6 +462,25 @@ def entity_status(
 ENTITIES_AT_ONCE = 256
 
 
+#: Characters of text that one task of the join with the texts gets, about.
+TEXT_A_TASK = 1 << 26
+#: With more lists than this the join is left to sort and merge: the size of texts that are made or compressed is misjudged, and they don't fit a broadcast.
+LISTS_TO_MERGE = 100_000
+
+
+def _with_texts(lists: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The rows with the ``content`` at their ``repo, sha, path``: the only join that moves texts.
+
+    Texts may compress a hundredfold, so that partitions of a fair size on the wire are far too large; their number goes by the digests' lengths.
+    """
+    key = ["repo", "sha", "path"]
+    lists = cut_lineage(lists)
+    rows, length = lists.agg(F.count("*"), F.coalesce(F.sum("digest.length"), F.lit(0))).first()
+    tasks = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), length // TEXT_A_TASK + 1)
+    texts = blobs.select(*key, "content")
+    return lists.repartition(tasks, *key).join(texts.hint("merge") if rows > LISTS_TO_MERGE else texts, key)
+
+
 def status_by_revision(revisions: DataFrame, blobs: DataFrame, conditions: dict[str, Callable] | None = None) -> DataFrame:
     """Adds ``readable, alive, holds`` to revisions with ``repo, sha, path, smell, code_name``.
 
@@ -468,17 +488,16 @@ def status_by_revision(revisions: DataFrame, blobs: DataFrame, conditions: dict[
     up in its declarations (in goes of about ``ENTITIES_AT_ONCE``, so that no list grows without bound).
     """
     key, what = ["repo", "sha", "path"], ["smell", "code_name"]
-    digests = content_digests(blobs.join(revisions.select(*key).distinct(), key, "left_semi"))
-    keyed = revisions.join(digests, key, "left")
+    # Digests are taken at the scan, so this join moves no text; the rows are read three times below.
+    keyed = cut_lineage(revisions.join(content_digests(blobs), key, "left"))
     known = keyed.filter(F.col("digest").isNotNull())
     asked = known.select("digest", *what).distinct()
-    holder = known.groupBy("digest").agg(F.min(F.struct(*key)).alias("at"), F.approx_count_distinct(F.struct(*what)).alias("n")).select("digest", "at.*", "n")
-    goes = F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / ENTITIES_AT_ONCE).cast("int")))
-    texts = holder.join(blobs, key).select("digest", "content", goes.alias("go"))
-    sizes = holder.select("digest", (F.floor(F.col("n") / ENTITIES_AT_ONCE) + 1).alias("goes"))
-    lists = asked.join(sizes, "digest").withColumn("go", F.pmod(F.xxhash64(*what), "goes").cast("int"))
-    lists = lists.groupBy("digest", "go").agg(F.collect_list(F.struct(*what, _entity(*what).alias("entity"))).alias("asked"))
-    read = lists.join(texts, ["digest", "go"]).withColumn("read", read_entities(F.col("content"), F.transform("asked", lambda a: a["entity"]), conditions is not None))
+    holder = known.groupBy("digest").agg(F.min(F.struct(*key)).alias("at"), F.approx_count_distinct(F.struct(*what)).alias("n"))
+    holder = holder.select("digest", "at", (F.floor(F.col("n") / ENTITIES_AT_ONCE) + 1).alias("goes"))
+    lists = asked.join(holder, "digest").withColumn("go", F.pmod(F.xxhash64(*what), "goes").cast("int"))
+    lists = lists.groupBy("digest", "go").agg(F.any_value("at").alias("at"), F.collect_list(F.struct(*what, _entity(*what).alias("entity"))).alias("asked"))
+    read = _with_texts(lists.select("digest", "at.*", "asked"), blobs)
+    read = read.withColumn("read", read_entities(F.col("content"), F.transform("asked", lambda a: a["entity"]), conditions is not None))
     each = read.select("digest", F.explode(F.arrays_zip("asked", "read")).alias("z")).select("digest", "z.asked.smell", "z.asked.code_name", F.col("z.read").alias("read"))
     alive, holds = _judged(F.col("read"), "smell", CONDITIONS if conditions is None else conditions)
     judged = each.select("digest", *what, alive.alias("alive"), holds.alias("holds"))

@@ -184,3 +184,14 @@ def test_names_need_no_pattern_each(monkeypatch):
 
     monkeypatch.setattr(T.re, "finditer", refuse)
     assert T.class_span("class Ab { } class A { }", "A")["body"] == "class Ab { } class A { }"
+
+
+def test_texts_spread_by_their_length(spark, monkeypatch):
+    monkeypatch.setattr(T, "TEXT_A_TASK", 1000)
+    monkeypatch.setattr(T, "LISTS_TO_MERGE", 30)
+    blobs = spark.createDataFrame([("r", str(i), "p", f"class A{i} {{ }}" + " " * 985) for i in range(40)], "repo string, sha string, path string, content string")
+    lists = T.content_digests(blobs).select("digest", "repo", "sha", "path")
+    joined = T._with_texts(lists, blobs)
+    # Blanks compress to nothing, yet no task gets many of them.
+    assert joined.rdd.getNumPartitions() >= 40
+    assert joined.count() == 40 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
