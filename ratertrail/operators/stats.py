@@ -18,6 +18,9 @@ from ratertrail.functions.tails import EXACT_CELLS, chi2_sf, exact_rank_tails, n
 from ratertrail.operators.summaries import long_form, pivot_labels, value_histogram
 from ratertrail.session import cut_lineage
 
+#: Parts into which votes are dealt for agreement; up to 200 are written without a sort.
+VOTE_TASKS = 200
+
 
 def chi_square_test(df: DataFrame, row: str, col: str, count: str | None = None) -> DataFrame:
     """Independence of two labels: ``chi2, dof, p_value, cramers_v, min_expected, n``.
@@ -224,23 +227,25 @@ def rater_pairs(
     """How often two different raters of one instance gave ranks ``(a, b)``: ``by, a, b, n``.
 
     Each unordered pair counts once in both orders. Pairs are counted, never formed: an instance
-    with c_a and c_b votes has c_a * c_b ordered pairs, minus those of one rater with itself.
+    with c_a and c_b votes has c_a * c_b ordered pairs, minus those of one rater with itself. Votes
+    are dealt by instance and rater into ``VOTE_TASKS`` parts that are not merged again, so that the
+    groups of a task stay a small share of all; sums are held for a <= b only.
     """
     k = len(order_of_labels)
-    ranked = df.select(*instance, *[b for b in by if b not in instance], rater, ordinal_rank(label, order_of_labels).alias("__rank"))
-    ranked = ranked.filter(F.col("__rank").isNotNull() & F.col(rater).isNotNull())
-    per_rater = ranked.groupBy(*instance, *[b for b in by if b not in instance], rater).agg(
-        *[F.count_if(F.col("__rank") == i).alias(f"c{i}") for i in range(k)]
-    )
-    grid = [(i, j) for i in range(k) for j in range(k)]
+    group = [*instance, *[b for b in by if b not in instance]]
+    ranked = df.select(*group, rater, ordinal_rank(label, order_of_labels).alias("__rank"))
+    ranked = ranked.filter(F.col("__rank").isNotNull() & F.col(rater).isNotNull()).repartition(VOTE_TASKS, *group, rater)
+    per_rater = ranked.groupBy(*group, rater).agg(*[F.count_if(F.col("__rank") == i).alias(f"c{i}") for i in range(k)])
+    half = [(i, j) for i in range(k) for j in range(i, k)]
     product = lambda x, i, j: F.col(f"{x}{i}") * F.col(f"{x}{j}")
-    per_instance = per_rater.groupBy(*instance, *[b for b in by if b not in instance]).agg(
-        *[F.sum(f"c{i}").alias(f"t{i}") for i in range(k)], *[F.sum(product("c", i, j)).alias(f"s{i}_{j}") for i, j in grid]
+    per_instance = per_rater.groupBy(*group).agg(
+        *[F.sum(f"c{i}").alias(f"t{i}") for i in range(k)], *[F.sum(product("c", i, j)).alias(f"s{i}_{j}") for i, j in half]
     )
     totals = per_instance.groupBy(*by).agg(
-        *[F.sum(product("t", i, j) - F.col(f"s{i}_{j}")).alias(f"p{i}_{j}") for i, j in grid]
+        *[F.sum(product("t", i, j) - F.col(f"s{i}_{j}")).alias(f"p{i}_{j}") for i, j in half]
     )
-    cells = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(f"p{i}_{j}").alias("n")) for i, j in grid])
+    pairs = lambda i, j: F.col(f"p{min(i, j)}_{max(i, j)}")
+    cells = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), pairs(i, j).alias("n")) for i in range(k) for j in range(k)])
     return totals.select(*by, F.explode(cells).alias("cell")).select(*by, "cell.a", "cell.b", "cell.n")
 
 

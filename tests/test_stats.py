@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from itertools import combinations
 from statistics import median
 
@@ -96,6 +97,23 @@ def test_kappa_from_formed_pairs(spark):
     assert all(counts[i, j] == both.count((i, j)) for i in range(4) for j in range(4))
 
 
+def test_votes_are_dealt_in_small_parts(spark):
+    """The groups of raters do not stand beside those of the dedupe in one task, and three labels give symmetric counts."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(3), rng.randrange(6), rng.choice("xyz"), rng.choice("pq")) for _ in range(90)] + [(1, None, "x", "p"), (1, 2, None, "p"), (None, 1, "x", "q"), (None, 2, "z", "q")]
+    df = spark.createDataFrame(rows, "inst int, rater int, g string, kind string").distinct()
+    out = stats.rater_pairs(df, ["inst"], "rater", "g", list("xyz"), by=["kind"])
+    kept = [r for r in {tuple(r) for r in rows} if r[1] is not None and r[2] is not None]
+    want = {(k, a, b): 0 for k in "pq" for a in range(3) for b in range(3)}
+    for a in kept:
+        for b in kept:
+            if a[0] == b[0] and a[3] == b[3] and a[1] != b[1]:
+                want[a[3], "xyz".index(a[2]), "xyz".index(b[2])] += 1
+    assert {(r.kind, r.a, r.b): r.n for r in out.collect()} == want
+    dealt = stats.rater_pairs(df, ["inst"], "rater", "g")
+    assert f"hashpartitioning(inst, rater, {stats.VOTE_TASKS})".replace(" ", "") in re.sub(r"#\d+|\s", "", dealt._jdf.queryExecution().executedPlan().toString())
+
+
 def test_missing_smell_counts_as_present(spark):
     df = spark.createDataFrame([(1, "blob", "none"), (2, "blob", "minor"), (2, "data class", "none"), (3, "blob", "none"), (3, "data class", "none"), (4, "blob", "major"), (4, "data class", "minor")], "s int, smell string, g string")
     run = lambda **kw: {r.s: r.group for r in stats.cooccurrence_group(df, "s", "smell", "g", **kw).collect()}
