@@ -79,6 +79,43 @@ def test_information_survives_ties(spark):
     assert got["same"] == pytest.approx(math.log(3), abs=0.05) and got["flat"] < 0.1
 
 
+@pytest.fixture
+def short_stretches(spark, monkeypatch):
+    monkeypatch.setattr(M, "STRETCH_ROWS", 7)
+    monkeypatch.setattr(M, "RUN_ROWS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_information_across_stretches(spark, short_stretches, monkeypatch):
+    """Stretches and runs of a few rows: the same number, and only what lies at their ends is ranked by running totals."""
+    ranked = []
+    totals = M.running_totals
+    monkeypatch.setattr(M, "running_totals", lambda line, *rest: ranked.append(line.count()) or totals(line, *rest))
+    rng = random.Random(5)
+    rows = [(rng.choice([-1, 1]) * 10 ** rng.uniform(-4, 4), rng.choice("aaaab")) for _ in range(200)] + [(1.5, "c"), (200.25, "c"), (3.25, "d"), (0.5, "d"), (-0.5, "d")]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(rows)], "id int, x double, y string")
+    rows_of.clear()
+    for _, y in rows:
+        rows_of[y] = rows_of.get(y, 0) + 1
+    assert M.mutual_information(df, ["x"], "y", "id", jitter=False).first().mi == pytest.approx(_mi_brute(rows), abs=1e-9)
+    monkeypatch.setattr(M, "STRETCH_ROWS", 100_000)
+    monkeypatch.setattr(M, "RUN_ROWS", 20)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ranked.clear()
+    assert M.mutual_information(df, ["x"], "y", "id", jitter=False).first().mi == pytest.approx(_mi_brute(rows), abs=1e-9)
+    assert ranked and sum(ranked) < len(rows), "not three marks for each row"
+
+
+def test_information_counts_rows_of_one_key_together(spark, short_stretches):
+    """Copies of a row share their count, tied or not; all rows tied in one value spread over many stretches."""
+    once = spark.range(40).select("id", (F.col("id") % 2).alias("y"), (F.col("id") * F.col("id") % 37).cast("double").alias("x"), F.lit(1.0).alias("flat"))
+    got = {r.feature: r.mi for r in M.mutual_information(once.unionByName(once), ["x", "flat"], "y", "id", jitter=False).collect()}
+    assert got["flat"] == pytest.approx(1.5, abs=1e-9), "digamma(40) + digamma(3) - digamma(40) - digamma(1): 40 keys, each alone in its radius of zero"
+    assert set(got) == {"x", "flat"} and got["x"] >= 0
+
+
 def test_pruning_keeps_the_better_of_a_pair(table):
     assert M.prune_correlated(table, {"loc": 0.2, "rfc": 0.3, "noise": 0.1}) == ["loc"]
     assert M.prune_correlated(table, {"loc": 0.3, "rfc": 0.3}) == ["rfc"], "the later one loses a tie"
