@@ -8,6 +8,7 @@ from ratertrail.models import benchmark as B
 from ratertrail.models import learners as L
 from ratertrail.models import selection as M
 from ratertrail.models import splits
+from ratertrail.queries import views as V
 
 
 @pytest.fixture(scope="module")
@@ -116,6 +117,17 @@ def test_information_counts_rows_of_one_key_together(spark, short_stretches):
     assert set(got) == {"x", "flat"} and got["x"] >= 0
 
 
+def test_metrics_count_each_distinct_column_by_itself(spark, tmp_path):
+    """Null suppliers and orders are not counted, a part without any has 0; no row is expanded once more for each count."""
+    lines = [(10, 1, 5, 1), (10, 1, 5, 2), (11, 1, 6, 3), (None, 1, None, 4), (12, 2, None, 5), (12, 2, None, 6), (13, None, 5, 1), (14, 9, 5, 1)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    spark.createDataFrame([(*r, 2.0, 250.0) for r in lines], schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 8), (2, 3), (3, 4)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    out = V.metrics(spark, str(tmp_path))
+    assert {tuple(r) for r in out.collect()} == {(1, 4, 2, 2, 8, 8, 4, 0, 1, 0), (2, 2, 0, 1, 4, 4, 0, 2, 3, 3)}
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pruning_keeps_the_better_of_a_pair(table):
     assert M.prune_correlated(table, {"loc": 0.2, "rfc": 0.3, "noise": 0.1}) == ["loc"]
     assert M.prune_correlated(table, {"loc": 0.3, "rfc": 0.3}) == ["rfc"], "the later one loses a tie"
