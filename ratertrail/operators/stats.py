@@ -229,7 +229,8 @@ def rater_pairs(
     Each unordered pair counts once in both orders. Pairs are counted, never formed: an instance
     with c_a and c_b votes has c_a * c_b ordered pairs, minus those of one rater with itself. Votes
     are dealt by instance and rater into ``VOTE_TASKS`` parts that are not merged again, so that the
-    groups of a task stay a small share of all; sums are held for a <= b only.
+    groups of a task stay a small share of all; sums are held for a <= b only. The votes of one rater on
+    one instance meet in one task, which only counts them.
     """
     k = len(order_of_labels)
     group = [*instance, *[b for b in by if b not in instance]]
